@@ -67,7 +67,7 @@ WITH RECURSIVE slim AS (
   SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n_docs FROM slim GROUP BY source
 ), whole AS MATERIALIZED (
   SELECT CAST(sum(tokens) AS BIGINT) AS total, CAST(count(*) AS DOUBLE) AS n FROM sizes
-), natural AS (
+), unmixed AS (
   SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) >= {mixing.TARGET_ENTROPY} * ln(any_value(n)) OR 1.0 / sum(p) >= {mixing.MAX_REPEATS} AS enough
   FROM (SELECT tokens / CAST(total AS DOUBLE) AS p, n FROM sizes, whole)
 ), bisect AS (
@@ -85,7 +85,7 @@ WITH RECURSIVE slim AS (
     ) GROUP BY step, low, high, mid
   )
 ), exponent AS (
-  SELECT CASE WHEN (SELECT enough FROM natural) OR (SELECT n FROM whole) < 2 THEN 1.0
+  SELECT CASE WHEN (SELECT enough FROM unmixed) OR (SELECT n FROM whole) < 2 THEN 1.0
               ELSE (SELECT round((low + high) / 2, 6) FROM bisect WHERE step = {mixing.STEPS}) END AS a
 ), quotas AS (
   SELECT source, tokens, n_docs,
