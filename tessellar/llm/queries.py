@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_index, mixing, packing, pii, quality_qda, rules, token_counts
+from . import exact_index, mixing, ngram_join, packing, pii, quality_qda, rules, substring_index, token_counts
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -40,12 +44,19 @@ def op8_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), bpe_path())
 
 
+def op9_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.dedup_substrings(documents(spark, sf_dir))
+
+
 def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_index.exact_dedup(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_source_mix, op4_quality_qda, op5_pii_trees, op6_hilbert_pack, op7_rule_cascade, op8_prefix_tokens, op10_exact_index)
+    f.__name__: f
+    for f in (
+        op2_ngram_jaccard, op3_source_mix, op4_quality_qda, op5_pii_trees, op6_hilbert_pack, op7_rule_cascade, op8_prefix_tokens, op9_substring_index, op10_exact_index,
+    )
 }
 
 EXACT_SQL = r"""
@@ -113,4 +124,47 @@ SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch,
 FROM dealt
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mix": MIX_SQL, "op10_exact_index": EXACT_SQL}
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s
+  FROM w
+), tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS o
+    FROM tokens x JOIN tokens y USING (t) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+  WHERE 100 * o >= 80 * (na + nb - o)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(other) AS component_id FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+"""
+
+SUBSTRING_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS x
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS i FROM w)
+), firsts AS (SELECT x, min(doc_id) AS f FROM windows GROUP BY x
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps
+  FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (x) WHERE f < doc_id)
+  GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(ws) AS n,
+    CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END AS k
+  FROM w LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": JACCARD_SQL, "op9_substring_index": SUBSTRING_SQL, "op3_source_mix": MIX_SQL, "op10_exact_index": EXACT_SQL,
+}
