@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import exact_index, mixing, packing, rules
+from tessellar.llm import exact_index, mixing, ngram_join, packing, rules
 from tessellar.llm.common import documents, keep
 from tessellar.llm.queries import bpe_path
 
@@ -19,6 +19,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_index.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of Jaccard 0.8 hold together."""
+    return ngram_join.one_of_each(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents dealt to the target weights of their sources; a document can be left out or come more than once."""
     return mixing.mixed_documents(docs)
@@ -29,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, bpe_path())
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("source mix", source_mix), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("n-gram join", near_copies), ("source mix", source_mix), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_index, mixing, ngram_join, packing, pii, quality_qda, rules, substring_index, token_counts
+from . import brown_lm, exact_index, mixing, ngram_join, packing, pii, quality_qda, rules, substring_index, token_counts
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_texts(documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_ngram_jaccard, op3_source_mix, op4_quality_qda, op5_pii_trees, op6_hilbert_pack, op7_rule_cascade, op8_prefix_tokens, op9_substring_index, op10_exact_index,
+        op1_brown_lm, op2_ngram_jaccard, op3_source_mix, op4_quality_qda, op5_pii_trees, op6_hilbert_pack, op7_rule_cascade, op8_prefix_tokens, op9_substring_index, op10_exact_index,
     )
 }
 
