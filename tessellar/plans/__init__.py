@@ -1,6 +1,6 @@
 """Queries bound to the tables: views of them as graphs and snapshots, and one registered query for each operator."""
 
-from . import graph_queries, snapshot_queries, text_queries, traversal_queries
+from . import graph_queries, report_queries, snapshot_queries, text_queries, traversal_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "snapshot_queries", "text_queries", "traversal_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "report_queries", "snapshot_queries", "text_queries", "traversal_queries"]
