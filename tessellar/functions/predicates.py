@@ -91,3 +91,13 @@ def glob_pattern(glob: Column) -> Column:
 def like_literal(text: str) -> str:
     """Text as a LIKE pattern of itself, with the escape character backslash."""
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def component(path: Column, root: Column) -> Column:
+    """The component that a file's path names: tests, examples, its first folder under src, or its own stem; files that
+    only name their folder belong to core."""
+    under = F.when((root != "") & path.startswith(F.concat(root, F.lit("/"))), F.substr(path, F.length(root) + 2)).otherwise(path)
+    first = F.split(F.regexp_replace(under, "^src/", ""), "/")[0]
+    stem = F.regexp_replace(first, r"\.[^.]*$", "")
+    plain = F.when(~first.contains("."), first).when(stem.isin("lib", "main", "mod", "__init__", "__main__"), "core").otherwise(stem)
+    return F.when(under.startswith("tests/"), "tests").when(under.startswith("examples/"), "examples").otherwise(plain)

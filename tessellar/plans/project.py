@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import diff, traversal
 from ..sources.python_facts import facts, resolve
-from ..sources.worktree import capture
+from ..sources.worktree import capture, line_diffs
 from ..storage import keep
 
 
@@ -42,3 +43,35 @@ def analyse(spark: SparkSession, root: str, before: Snapshot | None = None) -> S
     edges = keep(resolve(nodes, parsed.select(F.explode("edges").alias("e")).select("e.*")), "edges")
     broken = parsed.where("diagnostic is not null").select(F.col("diagnostic").alias("code"), "path")
     return Snapshot(files, parsed, nodes, edges, wrong.unionByName(broken))
+
+
+#: Kinds of nodes that a review lists; containers change with whatever they hold.
+REVIEWED = ["function", "type", "field"]
+
+
+def changes(before: Snapshot, after: Snapshot) -> DataFrame:
+    """stable_key, qualified, path, id, state, reasons, priority. Copies of a key cancel one for one by fingerprint; what
+    is left alone on both sides is modified, anything else removed and added."""
+    kept = lambda s: s.nodes.where(F.col("kind").isin(REVIEWED))
+    states = diff.multiset_diff(kept(before), kept(after), "stable_key", ["fingerprint"]).select("stable_key", "state")
+    row = lambda s, n: kept(s).groupBy("stable_key").agg(F.min(F.struct("start", "id", "qualified", "path", "signature", "visibility")).alias(n))
+    met = states.join(row(before, "old"), "stable_key", "left").join(row(after, "new"), "stable_key", "left")
+    state, public = F.col("state"), (F.coalesce("old.visibility", F.lit("")) == "public") | (F.coalesce("new.visibility", F.lit("")) == "public")
+    changed = (F.col("old.signature") != F.col("new.signature")) | (F.col("old.visibility") != F.col("new.visibility"))
+    reason = F.when(state == "removed", "definition removed").when(state == "added", "definition added").when(changed, "signature changed").otherwise("implementation changed")
+    at = F.when(state == "removed", F.col("old")).otherwise(F.col("new"))
+    return met.select("stable_key", "state", reason.alias("reason"), diff.priority(state, changed, public).alias("priority"), at.alias("n")).select(
+        "stable_key", "n.qualified", "n.path", "n.id", "state", "reason", "priority"
+    )
+
+
+def review(before: Snapshot, after: Snapshot) -> dict[str, DataFrame]:
+    """changes in review order, callers within two reverse steps of what changed, and the line diffs of changed files."""
+    found = keep(changes(before, after), "changes")
+    calls = before.edges.unionByName(after.edges).where("kind = 'calls' and target is not null")
+    old = before.nodes.select("stable_key", "id").unionByName(after.nodes.select("stable_key", "id")).join(found.select("stable_key"), "stable_key", "left_semi")
+    return {
+        "changes": found.orderBy(F.desc("priority"), "path", "qualified", "id"),
+        "callers": traversal.two_hops(calls, old.select("id").distinct()),
+        "files": line_diffs(before.files, after.files),
+    }

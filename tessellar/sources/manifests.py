@@ -73,3 +73,18 @@ def internal_relations(found: DataFrame) -> DataFrame:
     """source, target of packages whose declared dependency names another captured package, outside development."""
     names = found.where("kind = 'package'").select(F.col("package").alias("target")).distinct()
     return found.where("alias is not null and kind <> 'dev'").join(names, "target").select(F.col("package").alias("source"), "target").distinct()
+
+
+def targets(files: DataFrame, found: DataFrame) -> DataFrame:
+    """package, kind, name, path of the build targets that a cargo package has by where its files lie."""
+    roots = found.where("kind = 'package' and manifest like '%Cargo.toml'").select("root", "package").distinct()
+    own = owners(files.select("path"), roots.select(F.col("root").alias("prefix"))).join(roots.withColumnRenamed("root", "prefix"), "prefix")
+    inner = F.when(F.col("prefix") == "", F.col("path")).otherwise(F.substr("path", F.length("prefix") + 2))
+    stem = F.regexp_extract("inner", r"([^/]+?)(/main)?\.rs$", 1)
+    folder = F.regexp_extract("inner", r"^(src/bin|tests|benches|examples)/([^/]+\.rs|[^/]+/main\.rs)$", 1)
+    kind = (
+        F.when(F.col("inner") == "src/lib.rs", "lib").when(F.col("inner") == "src/main.rs", "bin").when(F.col("inner") == "build.rs", "build")
+        .when(folder == "src/bin", "bin").when(folder == "tests", "test").when(folder == "benches", "bench").when(folder == "examples", "example")
+    )
+    name = F.when(F.col("inner").isin("src/lib.rs", "src/main.rs"), F.col("package")).otherwise(stem)
+    return own.withColumn("inner", inner).select("package", kind.alias("kind"), name.alias("name"), "path").where("kind is not null")

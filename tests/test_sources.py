@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellar.operators import diff
-from tessellar.plans.project import analyse
+from tessellar.functions import predicates
+from tessellar.plans.project import analyse, review
 from tessellar.sources import manifests, revision, worktree
 from tessellar.streaming import incremental
 
@@ -71,6 +72,33 @@ def test_reuse_and_review(spark, tree):
     assert {(names[k], s) for k, s in changed} == {("shop.price.total", "modified"), ("shop.price.maybe", "removed"), ("shop.price.use", "removed")}
 
 
+def test_review(spark, tree):
+    first = analyse(spark, str(tree))
+    (tree / "src/shop/price.py").write_text("def total(x, y):\n    return x\n")
+    (tree / "src/shop/cart.py").write_text(TREE["src/shop/cart.py"].replace("return 1", "return 2"))
+    found = review(first, analyse(spark, str(tree), first))
+    got = [(r.qualified, r.state, r.reason, r.priority) for r in found["changes"].collect()]
+    assert got == [
+        ("shop.price.maybe", "removed", "definition removed", 3), ("shop.price.total", "modified", "signature changed", 3),
+        ("shop.price.use", "removed", "definition removed", 3), ("shop.cart.helper", "modified", "implementation changed", 1),
+    ]
+    names = {r.id: r.qualified for r in first.nodes.collect()}
+    callers = {(names.get(r.target), names.get(r.caller)) for r in found["callers"].collect()}
+    assert {("shop.price.total", "shop.cart.Cart.add"), ("shop.cart.helper", "shop.cart.é")} <= callers
+    files = {r.path: r.diff for r in found["files"].collect()}
+    assert "-    return 1" in files["src/shop/cart.py"] and "+    return 2" in files["src/shop/cart.py"]
+
+
+def test_targets_and_components(spark):
+    paths = ["Cargo.toml", "src/lib.rs", "src/bin/run.rs", "tests/it.rs", "sub/Cargo.toml", "sub/src/main.rs", "sub/build.rs", "sub/benches/b/main.rs", "src/x/y.rs"]
+    files = spark.createDataFrame([(p, '[package]\nname = "top"' if p == "Cargo.toml" else '[package]\nname = "sub"' if p.endswith("toml") else "") for p in paths], "path string, content string")
+    got = {tuple(r)[:3] for r in manifests.targets(files, manifests.manifests(files)).collect()}
+    assert got == {("top", "lib", "top"), ("top", "bin", "run"), ("top", "test", "it"), ("sub", "bin", "sub"), ("sub", "build", "build"), ("sub", "bench", "b")}
+    rows = [("a/src/lib.rs", "a"), ("a/src/io/x.rs", "a"), ("a/tests/t.rs", "a"), ("pkg/mod.py", ""), ("src/util.py", "")]
+    named = spark.createDataFrame(rows, "path string, root string").select("path", predicates.component(F.col("path"), F.col("root")).alias("c"))
+    assert {r.path: r.c for r in named.collect()} == {"a/src/lib.rs": "core", "a/src/io/x.rs": "io", "a/tests/t.rs": "tests", "pkg/mod.py": "pkg", "src/util.py": "util"}
+
+
 def test_manifests(spark, tree):
     files, _ = worktree.capture(spark, str(tree))
     found = manifests.manifests(files)
