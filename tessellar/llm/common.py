@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import keep
+
+__all__ = ["BLANKS", "BLANK_CLASS", "WORD_CLASS", "broadcast_if", "crc_bucket", "documents", "fold", "keep", "map_texts", "mix", "small_batches", "words_of"]
+
 #: The ASCII blanks that part words, as a string and as a Java / RE2 character class.
 BLANKS = " \t\n\r\x0b\x0c"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -35,25 +37,6 @@ def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and any executor can
-    read it again after another one is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
 def map_texts(df: DataFrame, kernel: Callable[[dict], dict], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over whole rows. kernel: columns as Python lists (or numpy arrays) -> output columns."""
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
