@@ -118,3 +118,17 @@ def test_caps(spark):
     rows = spark.createDataFrame([("k", i) for i in range(5)], "key string, v int")
     got = aggregates.first_of_each(rows, ["key"], [F.asc("v")], 2).collect()
     assert [(r.v, r.total, r.truncated) for r in sorted(got, key=lambda r: r.v)] == [(0, 5, True), (1, 5, True)]
+
+
+def test_shared_tables(spark):
+    from pathlib import Path
+
+    from tessellar import storage
+
+    kept = storage.keep(spark.range(3).withColumn("x", F.lit(None).cast("string")), "t")
+    assert kept.schema.names == ["id", "x"] and kept.count() == 3
+    assert storage.keep(kept.limit(0), "t").count() == 0
+    folder = Path(storage.tables_dir(spark).removeprefix("file://"))
+    assert folder.is_dir()
+    storage.clear(spark)
+    assert not folder.exists()
