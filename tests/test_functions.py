@@ -132,3 +132,15 @@ def test_shared_tables(spark):
     assert folder.is_dir()
     storage.clear(spark)
     assert not folder.exists()
+
+
+def test_shared_folder_where_none_is_set(spark):
+    from types import SimpleNamespace
+
+    from tessellar import storage
+
+    held = {"conf": SimpleNamespace(get=lambda k, d: None), "sparkContext": SimpleNamespace(getCheckpointDir=lambda: held["dir"], setCheckpointDir=lambda x: held.update(dir=x)), "dir": None}
+    fake = SimpleNamespace(**{k: held[k] for k in ("conf", "sparkContext")})
+    first = storage.shared_dir(fake)
+    assert first.startswith("file:///") and storage.shared_dir(fake) == first
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", None).rstrip("/")
