@@ -118,15 +118,18 @@ def jaccard_components(rows):
     return sorted(repr((rows[i][0], len(sets[i]), least[find(i)])) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("frequent", [ngram_join.FREQUENT, 1])
-def test_jaccard(docs, rows, monkeypatch, frequent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)  # 1: nearly every shared token takes the second join
+@pytest.mark.parametrize(("frequent", "block"), [(ngram_join.FREQUENT, 1500), (1, 1500), (2, 2)])
+def test_jaccard(docs, rows, monkeypatch, frequent, block):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)  # few: nearly all documents that share a token are dense
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = sorted(repr(tuple(r)) for r in ngram_join.jaccard_components(docs).collect())
     assert got == jaccard_components(rows)
 
 
-def test_prefix_shares_a_signature(spark):
+@pytest.mark.parametrize("frequent", [1, 4, 32])
+def test_prefix_shares_a_signature(spark, monkeypatch, frequent):
     """Sets at the very threshold, with every common token frequent, still meet in the second join."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     rng = random.Random(5)
     pool = list(range(1, 400))
     rows, sets = [], []
@@ -138,7 +141,7 @@ def test_prefix_shares_a_signature(spark):
             base += rng.sample([p for p in pool if p not in base], 5)
         sets.append(base)
         rows += [(v, len(base), t * 7919) for t in base]
-    lists = ngram_join.frequent_join(spark.createDataFrame(rows, "v long, n long, token long")).collect()
+    lists = ngram_join.dense_lists(spark.createDataFrame(rows, "v long, n long, token long")).collect()
     held = defaultdict(set)
     for r in lists:
         held[r.v].add(r.token)
