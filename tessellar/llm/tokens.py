@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 from array import array
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import regex
@@ -16,7 +18,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Chunks that a worker remembers; at the bound it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,8 +70,11 @@ class ByteBpe:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self._steps = Remembered(self._steps_of)
-        self._pieces: dict[bytes, list[int]] = {}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._pieces: dict[bytes, tuple[list[int], list[int]]] = {}  # last tokens and counts of all prefixes
+        self._pairs: dict[int, bool] = {}
+        self._changes: dict[str, bytes] = {}
+        self.size = 1 + max(self.ranks.values())
+        self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
 
     # ids
@@ -82,33 +87,48 @@ class ByteBpe:
 
     # prefix counts
 
-    def _follows(self, a: bytes, b: bytes) -> bool:
-        """Do the merges leave a and b apart when they stand side by side?"""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) > 4 * REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.fast._encode_single_piece(a + b) == [self.ranks[a], self.ranks[b]]
-        return known
+    def _follows(self, pair: int) -> bool:
+        """Do the merges leave two tokens (first * size + second) apart when they stand side by side?"""
+        if len(self._pairs) > 4 * REMEMBERED:
+            self._pairs.clear()
+        a, b = divmod(pair, self.size)
+        self._pairs[pair] = apart = self.fast._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return apart
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """Tokens of every byte prefix of one pre-token. The encoding of a prefix of i bytes ends in the one token t
-        that may follow the last token of the prefix of i - len(t) bytes; it has one token more than that prefix."""
-        known = self._pieces.get(piece)
+        that may follow the last token of the prefix of i - len(t) bytes; it has one token more than that prefix.
+        What is known of a pre-token that this one begins with is carried on."""
+        pieces = self._pieces
+        known = pieces.get(piece)
         if known is not None:
-            return known
-        n, ranks, follows = len(piece), self.ranks, self._follows
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for s in range(max(0, i - self.longest), i):
-                t = piece[s:i]
-                if t in ranks and (s == 0 or follows(last[s], t)):
-                    last[i], count[i] = t, count[s] + 1
-                    break
-        if len(self._pieces) > REMEMBERED:
-            self._pieces.clear()
-        self._pieces[piece] = count
+            return known[1]
+        n, rank, pairs, size, longest = len(piece), self.ranks.get, self._pairs, self.size, self.longest
+        for k in range(n - 1, 1, -1):
+            known = pieces.get(piece[:k])
+            if known is not None:
+                last, count = known[0][:], known[1][:]
+                break
+        else:
+            k, last, count = 0, [-1], [0]
+        for i in range(k + 1, n + 1):
+            for s in range(i - longest if i > longest else 0, i):
+                t = rank(piece[s:i])
+                if t is None:
+                    continue
+                if s:
+                    pair = last[s] * size + t
+                    apart = pairs.get(pair)
+                    if apart is None:
+                        apart = self._follows(pair)
+                    if not apart:
+                        continue
+                last.append(t)
+                count.append(count[s] + 1)
+                break
+        if len(pieces) > REMEMBERED // 2:
+            pieces.clear()
+        pieces[piece] = last, count
         return count
 
     def _counts_from(self, text: str) -> list[int]:
@@ -140,9 +160,24 @@ class ByteBpe:
             blank = own
         return out
 
+    def _piece_steps(self, piece: str) -> bytes:
+        """Changes of the count over the code points of one pre-token."""
+        known = self._changes.get(piece)
+        if known is None:
+            counts = self.piece_counts(piece.encode())
+            if not piece.isascii():
+                counts = [0, *(counts[k] for k in accumulate(len(c.encode()) for c in piece))]
+            if len(self._changes) > REMEMBERED // 2:
+                self._changes.clear()
+            self._changes[piece] = known = array("h", map(sub, counts[1:], counts)).tobytes()
+        return known
+
     def _steps_of(self, part: str) -> bytes:
-        counts = self._counts_from(" " + part)
-        return array("h", [b - a for a, b in zip([0, *counts], counts, strict=False)]).tobytes()
+        text = " " + part
+        if "'" not in part and len(part.split()) == 1:  # each pre-token counts for itself at every prefix
+            return b"".join(map(self._piece_steps, self.pattern.findall(text)))
+        counts = self._counts_from(text)
+        return array("h", map(sub, counts, [0, *counts])).tobytes()
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Exact tokens of every code-point prefix: n + 1 numbers for n code points, the first 0."""
