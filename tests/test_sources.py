@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessellar.operators import diff
 from tessellar.functions import predicates
 from tessellar.plans.project import analyse, review
-from tessellar.sources import manifests, revision, worktree
+from tessellar.sources import manifests, python_facts, revision, worktree
 from tessellar.streaming import incremental
 
 TREE = {
@@ -131,3 +131,10 @@ def test_stream(spark, tmp_path):
         incremental.fold_into(incremental.arrivals(spark, root), cache, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.path, r.content) for r in spark.table(cache).select("path", "content", F.lit(1)).collect()) == [("a.py", "1"), ("a.py", "2")]
     spark.sql(f"drop table {cache}")
+
+
+def test_facts_of_a_long_file_are_whole(spark):
+    """More calls than any array was once cut to, and what comes after them."""
+    text = "def last():\n    pass\n\n\n" + "f()\n" * 100_001 + "last()\n\n\ndef after():\n    pass\n"
+    row = python_facts.facts(spark.createDataFrame([("long.py", text)], "path string, content string")).select(F.size("edges").alias("n"), F.element_at("edges", -1).target_name.alias("last"), F.element_at("nodes", -1).qualified.alias("node"), "diagnostic").first()
+    assert tuple(row) == (100_002, "last", "long.after", None)
