@@ -1,13 +1,17 @@
 """Language-model scores from a Brown class bigram.
 
 P(word | previous word) = P(class | previous class) * P(word | class). Classes come from three places: the end of a text
-has its own; the EXCHANGED most frequent words are put into CLASSES classes by exchange clustering, which moves one word
-after another to the class that raises the likelihood of the class bigrams most, until a sweep moves nothing (SWEEPS at
-most); every other word, known or not, has one of SUFFIXES classes by a hash of its last two bytes, so that no table of
-all words has to be sent to the tasks. Class transitions are smoothed towards class frequencies, emissions by 0.5.
-
-Counts are Spark aggregates over all training texts. The exchange itself works on the (EXCHANGED + SUFFIXES + 1) squared
-table of bigram counts, whose size those parameters fix. Scoring needs the count of every word: the KNOWN most frequent
+has its own; the words that occur LEAST times or more are put into CLASSES classes by exchange clustering, the CLUSTERED
+most frequent ones where there are more, so that the least count grows with the corpus; every other word, known or not,
+has one of SUFFIXES classes by a hash of its last two bytes, so that no table of all words has to be sent to the tasks.
+Class transitions are smoothed towards class frequencies, emissions by 0.5.
+
+Counts are Spark aggregates over all training texts. Exchange moves words to the class that raises the likelihood of the
+class bigrams most. It starts from the EXCHANGED most frequent words, moved one after another on the driver over their
+own (EXCHANGED + SUFFIXES + 1) squared table. Then ROUNDS rounds run in tasks: a task holds all neighbours of its words
+and picks their classes by the class-by-class table, which is sent to it with the class of each clustered word. The
+first round places all words; later ones move every other word, and one that does not raise the likelihood is undone
+and is the last. Scoring needs the count of every word: the KNOWN most frequent
 words go to the tasks as a dictionary of bounded size, the rest of a text's distinct words are joined with the whole
 vocabulary, and what the join adds is summed by text.
 
@@ -33,6 +37,10 @@ from .common import crc_bucket, fold, keep, map_texts, small_batches
 
 KNOWN = 100_000
 EXCHANGED, CLASSES, SUFFIXES, SWEEPS = 500, 48, 64, 6
+#: Words in classes of their own choice, at most, and how often they occur at least; rounds in tasks.
+CLUSTERED, LEAST, ROUNDS = 100_000, 5, 5
+#: Clustered words are dealt to so many buckets; neighbours counted at once in a task.
+BUCKETS, AT_ONCE = 256, 2_000_000
 #: Pseudo-counts of a class transition, spread by class frequency.
 SPREAD = 4.0
 #: The end of a text among words; no word is empty.
@@ -83,29 +91,102 @@ class Numbers(dict):
         return -1
 
 
-def bigrams(train: DataFrame, units: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring units: END, the exchanged words, and the suffix classes."""
-    size = 1 + EXCHANGED + SUFFIXES
+def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def neighbours(train: DataFrame, units: dict[bytes, int]) -> DataFrame:
+    """Counts of neighbouring units: END, the clustered words, and the suffix classes. A row has int32 arrays: words (of
+    units), sizes (entries of each word), others (twice the neighbour, and 1 where it comes before the word), and int64 n.
+    All entries of a clustered word are in one row; END and suffix classes have the entries where they come first."""
+    size, most = 1 + len(units) + SUFFIXES, len(units)
     small_batches(train.sparkSession)
     known = train.sparkSession.sparkContext.broadcast(units)
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, unit = np.zeros(size * size, np.int64), Numbers(known.value)
+    sent = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())])
+    packed = pa.schema([(k, pa.binary()) for k in ("words", "sizes", "others", "n")])
+
+    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pair, n = np.unique(np.concatenate(held), return_counts=True)
+        first, second = pair // size, pair % size
+        back = (second > 0) & (second <= most)
+        word, other = np.concatenate([first, second[back]]), np.concatenate([2 * second, 2 * first[back] + 1])
+        n = np.concatenate([n, n[back]])
+        bucket = np.where((word > 0) & (word <= most), word, other >> 1) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        codes, n, bucket = (word * (2 * size) + other)[order], n[order], bucket[order]
+        ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        for part in np.array_split(np.flatnonzero(np.diff(ends)), 8):
+            if len(part):
+                cut = lambda x: pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in part], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), cut(codes), cut(n.astype("<i4"))], schema=sent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, n = Numbers(known.value), [], 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 words = fold(x).split()
                 at = np.zeros(len(words) + 2, np.int64)
                 own = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
                 for k in np.flatnonzero(own < 0):
-                    own[k] = EXCHANGED - CLASSES + suffix_class(words[k])
+                    own[k] = most - CLASSES + suffix_class(words[k])
                 at[1:-1] = own
-                np.add.at(table, at[:-1] * size + at[1:], 1)
-        pairs = np.flatnonzero(table)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(table[pairs])], schema=schema)
+                held.append(at[:-1] * size + at[1:])
+                n += len(at)
+                if n >= AT_ONCE:
+                    yield from dealt(held)
+                    held, n = [], 0
+        if held:
+            yield from dealt(held)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+        more = 0
+        for batch in batches:
+            for c, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                new.append((np.frombuffer(c, "<i8"), np.frombuffer(k, "<i4").astype(np.int64)))
+                more += len(new[-1][0])
+            if more > max(len(codes), AT_ONCE):
+                codes, n = summed(np.concatenate([codes, *(x for x, _ in new)]), np.concatenate([n, *(x for _, x in new)]))
+                new, more = [], 0
+        codes, n = summed(np.concatenate([codes, *(x for x, _ in new)]), np.concatenate([n, *(x for _, x in new)]))
+        word, others = codes // (2 * size), (codes % (2 * size)).astype("<i4")
+        first = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word)) if len(word) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(first) - 1:
+            stop = max(at + 1, int(np.searchsorted(first, first[at] + 200_000, "right")) - 1)
+            part = slice(first[at], first[stop])
+            held = (word[first[at:stop]].astype("<i4"), np.diff(first[at : stop + 1]).astype("<i4"), others[part], n[part])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in held], schema=packed)
+            at = stop
+
+    rows = train.select("text").mapInArrow(count, "bucket int, codes binary, n binary")
+    return rows.repartition("bucket").mapInArrow(pack, "words binary, sizes binary, others binary, n binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield tuple(np.frombuffer(x, kind).astype(np.int64) for x, kind in zip(row, ("<i4", "<i4", "<i4", "<i8"), strict=True))
+
+
+def between_groups(pairs: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
+    """Counts of neighbouring groups, of which each unit has one."""
+    known = pairs.sparkSession.sparkContext.broadcast(group)
 
-    got = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, of = np.zeros(size * size, np.int64), known.value
+        for batch in batches:
+            for words, sizes, others, n in unpacked(batch):
+                ahead = others % 2 == 0
+                np.add.at(table, (of[np.repeat(words, sizes)] * size + of[others >> 1])[ahead], n[ahead])
+        cells = np.flatnonzero(table)
+        if len(cells):
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], names=["pair", "n"])
+
+    got = pairs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size * size)
     out[[r.pair for r in got]] = [r.n for r in got]
     return out.reshape(size, size)
@@ -162,6 +243,82 @@ def exchange(counts: np.ndarray, n_words: int) -> np.ndarray:
     return owner
 
 
+def x_log(v: np.ndarray) -> np.ndarray:
+    return v * np.log(np.maximum(v, 1e-12))
+
+
+def likelihood(between: np.ndarray) -> float:
+    return float(x_log(between).sum() - x_log(between.sum(1)).sum() - x_log(between.sum(0)).sum())
+
+
+def best_class(between: np.ndarray, at: int, ahead: np.ndarray, behind: np.ndarray, own: float) -> int:
+    """Class 1 .. CLASSES where a word of class ``at`` raises the likelihood most. ahead and behind are its counts by
+    class, without the ``own`` pairs of the word with itself."""
+    base, out, into = between.copy(), between.sum(1), between.sum(0)
+    base[at] -= ahead
+    base[:, at] -= behind
+    base[at, at] -= own
+    out[at] -= ahead.sum() + own
+    into[at] -= behind.sum() + own
+    to = slice(1, 1 + CLASSES)
+    gain = np.zeros(CLASSES)
+    for cells, more in ((base[to], ahead), (base[:, to].T, behind)):
+        met = np.flatnonzero(more)
+        now = cells[:, met]
+        raised = x_log(now + more[met]) - x_log(now)
+        gain += raised.sum(1)
+        inner = np.flatnonzero((met > 0) & (met <= CLASSES))  # the cell of a class with itself is counted below
+        gain[met[inner] - 1] -= raised[met[inner] - 1, inner]
+    self = np.diag(base)[to]
+    gain += x_log(self + ahead[to] + behind[to] + own) - x_log(self)
+    gain -= x_log(out[to] + ahead.sum() + own) - x_log(out[to]) + x_log(into[to] + behind.sum() + own) - x_log(into[to])
+    best = int(np.argmax(gain))
+    return at if 1 <= at <= CLASSES and gain[best] <= gain[at - 1] + 1e-9 else 1 + best
+
+
+def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, most: int, turn: int | None) -> np.ndarray:
+    """owner after each clustered word, or each whose turn it is, has chosen by the counts as they are."""
+    size = len(between)
+    known = pairs.sparkSession.sparkContext.broadcast((owner, between))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = known.value
+        for batch in batches:
+            for words, sizes, others, n in unpacked(batch):
+                row = np.repeat(np.arange(len(words)), sizes)
+                itself = (others >> 1) == words[row]
+                cell = (row * 2 + others % 2) * size + of[others >> 1]
+                sums = np.bincount(cell[~itself], n[~itself], len(words) * 2 * size).reshape(-1, 2, size)
+                own = np.bincount(row[itself & (others % 2 == 0)], n[itself & (others % 2 == 0)], len(words))
+                mine = [k for k, w in enumerate(words.tolist()) if 0 < w <= most and (turn is None or (w // BUCKETS + w) % 2 == turn)]
+                best = [best_class(table, of[words[k]], *sums[k], own[k]) for k in mine]
+                yield pa.RecordBatch.from_arrays([pa.array(words[mine], pa.int32()), pa.array(best, pa.int32())], names=["word", "class"])
+
+    out = owner.copy()
+    for r in pairs.mapInArrow(run, "word int, class int").toLocalIterator():
+        out[r["word"]] = r["class"]
+    return out
+
+
+def cluster(pairs: DataFrame, clustered: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit, and the counts of neighbouring classes."""
+    most, size = len(clustered), 1 + CLASSES + SUFFIXES
+    first = min(EXCHANGED, most)
+    suffixes = np.array([suffix_class(w) for w in clustered[first:]], np.int64)
+    ends = 1 + CLASSES + np.arange(SUFFIXES)
+    group = np.concatenate([np.arange(1 + first), suffixes + EXCHANGED - CLASSES, ends + EXCHANGED - CLASSES])
+    seeds = exchange(between_groups(pairs, group, 1 + EXCHANGED + SUFFIXES), first)
+    owner = np.concatenate([seeds[: 1 + first], suffixes, ends])
+    between = between_groups(pairs, owner, size)
+    for k in range(ROUNDS if most else 0):
+        tried = moves(pairs, owner, between, most, None if k == 0 else k % 2)
+        table = between_groups(pairs, tried, size)
+        if k and likelihood(table) <= likelihood(between):
+            break
+        owner, between = tried, table
+    return owner, between
+
+
 @dataclass
 class Model:
     """What scoring tasks need; everything but ``numbers`` and its three columns has a size set by the parameters."""
@@ -170,6 +327,7 @@ class Model:
     base: np.ndarray  # log10 of their base probability
     emit: np.ndarray  # log10 P(word | class)
     classes: np.ndarray
+    own: dict[bytes, int]  # classes of the clustered words that are not among them
     steps: np.ndarray  # log10 P(class | class)
     rare: np.ndarray  # by class: log10 of the emission's denominator
     unit: float  # log10 of the base denominator
@@ -181,31 +339,31 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
     words = keep(vocabulary(train), "lm-vocabulary")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = most_frequent(words.where(F.length("word") > 0), KNOWN)
-    moved = [w for w, _ in top[:EXCHANGED]]
-    counts = bigrams(train, {w: 1 + k for k, w in enumerate(moved)})
-    owner = exchange(counts, len(moved))
+    clustered = [w for w, _ in most_frequent(words.where(F.length("word") > 0).where(F.col("c") >= LEAST), CLUSTERED)]
+    pairs = keep(neighbours(train, {w: 1 + k for k, w in enumerate(clustered)}), "lm-neighbours")
+    owner, between = cluster(pairs, clustered)
     size = 1 + CLASSES + SUFFIXES
-    member = np.eye(size)[owner]
-    between = member.T @ counts @ member
     mass = between.sum(0)  # tokens of each class
     share = (mass + 0.5) / (mass.sum() + 0.5 * size)
     steps = np.log10((between + SPREAD * share) / (between.sum(1, keepdims=True) + SPREAD))
     kinds = np.zeros(size)  # distinct words of each class
     kinds[0] = 1
-    np.add.at(kinds, owner[1 : 1 + len(moved)], 1)
+    np.add.at(kinds, owner[1 : 1 + len(clustered)], 1)
     suffix = (F.crc32(F.expr("substring(word, -2, 2)")) % SUFFIXES).cast("int")
     for r in words.where(F.length("word") > 0).groupBy(suffix.alias("s")).count().collect():
         kinds[1 + CLASSES + r.s] = r["count"]
-    for w in moved:
+    for w in clustered:
         kinds[suffix_class(w)] -= 1
     open_slot = np.arange(size) > CLASSES  # unknown words only occur in suffix classes
     below = np.log10(mass + 0.5 * np.maximum(kinds + open_slot, 1))
     unit = float(np.log10(n + 0.5 * (v + 1)))
     c = np.array([x for _, x in top], float)
-    classes = np.array([*owner[1 : 1 + len(moved)], *(suffix_class(w) for w, _ in top[EXCHANGED:])], np.int64)
+    own = dict(zip(clustered, owner[1:].tolist()))
+    classes = np.array([own.get(w) or suffix_class(w) for w, _ in top], np.int64)
     numbers = {w: k for k, (w, _) in enumerate(top)}
+    own = {w: k for w, k in own.items() if w not in numbers}
     ends = mass[0]
-    model = Model(numbers, np.log10(c + 0.5) - unit, np.log10(c + 0.5) - below[classes] if len(c) else c, classes, steps, below, unit, (float(np.log10(ends + 0.5)) - unit, float(np.log10(ends + 0.5) - below[0]), int(ends > 0)))
+    model = Model(numbers, np.log10(c + 0.5) - unit, np.log10(c + 0.5) - below[classes] if len(c) else c, classes, own, steps, below, unit, (float(np.log10(ends + 0.5)) - unit, float(np.log10(ends + 0.5) - below[0]), int(ends > 0)))
     return model, words, n
 
 
@@ -227,7 +385,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             frequent = at >= 0
             c[1:-1][frequent] = m.classes[at[frequent]]
             seen = [text[k] for k in rare]
-            own = np.fromiter(map(suffix_class, seen), np.int64, len(seen))
+            own = np.fromiter((m.own.get(w) or suffix_class(w) for w in seen), np.int64, len(seen))
             c[1:-1][rare] = own
             tf = Counter(seen)
             out["n_tokens"].append(len(text) + 1)

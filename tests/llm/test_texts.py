@@ -312,3 +312,44 @@ def test_mixing_repetition_limit_and_odd_rows(spark, docs):
 ])
 def test_empty(spark, call):
     assert call(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_past_the_seeds_are_clustered(spark, monkeypatch):
+    """Two kinds of words that take turns end in different classes, where the driver moves an eighth of them and their ends tell nothing."""
+    monkeypatch.setattr(brown_lm, "EXCHANGED", 100)
+    rng = random.Random(3)
+    texts = [" ".join(f"{'ab'[k % 2]}{rng.randint(0, 39)}z{rng.randint(0, 9)}zz" for k in range(60)) for _ in range(600)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    count = Counter(w.encode() for t in texts for w in t.split())
+    clustered = [w for w, _ in brown_lm.most_frequent(brown_lm.vocabulary(train).where("length(word) > 0"), 100_000)]
+    assert len(clustered) == len(count) == 800
+    pairs = brown_lm.neighbours(train, {w: 1 + k for k, w in enumerate(clustered)}).cache()
+    owner, between = brown_lm.cluster(pairs, clustered)
+    assert all(1 <= c <= brown_lm.CLASSES for c in owner[1:801]) and between.sum() == 61 * 600
+    kinds = defaultdict(Counter)
+    for w, c in zip(clustered, owner[1:], strict=False):
+        kinds[c][w[:1]] += 1
+    assert sum(max(k.values()) for k in kinds.values()) >= 0.95 * 800
+    member = np.eye(len(between))[owner]
+    number = {w: 1 + k for k, w in enumerate(clustered)}
+    words_at = [np.array([0, *(number[w.encode()] for w in t.split()), 0]) for t in texts]
+    assert np.array_equal(between, sum(member[x[:-1]].T @ member[x[1:]] for x in words_at))
+
+
+def test_best_class_is_the_best_by_brute_force():
+    rng = np.random.default_rng(5)
+    size = 1 + brown_lm.CLASSES + brown_lm.SUFFIXES
+    units = size + 40
+    owner = np.concatenate([np.arange(size), rng.integers(1, 1 + brown_lm.CLASSES, 40)])
+    counts = rng.poisson(0.3, (units, units)).astype(float)
+    for w in range(size, units, 9):
+        member = np.eye(size)[owner]
+        ahead, behind, own = counts[w] @ member, counts[:, w] @ member, counts[w, w]
+        ahead[owner[w]] -= own
+        behind[owner[w]] -= own
+        score = []
+        for c in range(1, 1 + brown_lm.CLASSES):
+            m = member.copy()
+            m[w] = np.eye(size)[c]
+            score.append(brown_lm.likelihood(m.T @ counts @ m))
+        assert brown_lm.best_class(member.T @ counts @ member, owner[w], ahead, behind, own) == 1 + int(np.argmax(score))
