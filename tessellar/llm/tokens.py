@@ -1,8 +1,9 @@
 """Byte-level BPE over the public vocabulary files.
 
 Ids come from one pass of the same merges over the text; a text with a special string goes to the tokenizers library.
-Prefix counts are joined from chunks: a text parts before every space that stands between two non-blanks, no pre-token
-of the byte-level pattern spans such a place, and a worker keeps the tables of chunks in a bounded dictionary.
+Prefix counts come from a dynamic program over the bytes of each distinct pre-token, whose steps a worker remembers
+within bounds; a text's steps are those of its pre-tokens side by side, but for runs of blanks, which are one pre-token
+for the prefixes that end in them. All of it is linear in the text.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from array import array
 from itertools import accumulate
 from operator import sub
 
+import ahocorasick
 import numpy as np
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Chunks that a worker remembers; at the bound it starts anew.
-REMEMBERED = 500_000
+#: Pre-tokens that a worker remembers in each of two generations, the bytes of their steps together, and the longest.
+REMEMBERED, REMEMBERED_BYTES, LONGEST_KNOWN = 400_000, 24 << 20, 256
+#: Pairs of tokens that a worker remembers.
+PAIRS = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -28,29 +32,31 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def is_blank(text: str) -> bool:
-    r"""Are all its characters \s to the pattern? Python's isspace() also takes the four ASCII separators."""
-    return text.isspace() and not any("\x1c" <= c <= "\x1f" for c in text)
-
-
-class Unsafe(Exception):
-    """A part of a text beside whose space stands another blank."""
-
-
 class Remembered(dict):
-    """What is known of parts that follow a space; bounded."""
+    """Steps of pre-tokens, bounded in number and bytes: a full generation becomes the old one, and what is asked for
+    again moves up. Steps of long pre-tokens are made anew each time."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held, self.old = make, 0, {}
 
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise Unsafe
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[part] = made = self.make(part)
-        return made
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece) or self.make(piece)
+        if len(piece) <= LONGEST_KNOWN:
+            if len(self) >= REMEMBERED or self.held > REMEMBERED_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self.held += len(found)
+            self[piece] = found
+        return found
+
+
+def after_blanks(steps: bytes, lead: int) -> bytes:
+    """Steps of a stretch of text whose first blank has been counted, by ``lead``, as the last of a run."""
+    own = np.frombuffer(steps, np.int16)
+    rest = own[1:].copy()
+    rest[0] += own[0] - lead
+    return rest.tobytes()
 
 
 class ByteBpe:
@@ -69,135 +75,101 @@ class ByteBpe:
         self.ranks = {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self._steps = Remembered(self._steps_of)
-        self._pieces: dict[bytes, tuple[list[int], list[int]]] = {}  # last tokens and counts of all prefixes
+        self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.blanks = regex.compile(r"\s{2,}")
+        self._steps = Remembered(self.piece_steps)
         self._pairs: dict[int, bool] = {}
-        self._changes: dict[str, bytes] = {}
         self.size = 1 + max(self.ranks.values())
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.ending = ahocorasick.Automaton()  # tokens by the place where they end, bytes as Latin-1
+        for t, i in self.ranks.items():
+            self.ending.add_word(t.decode("latin-1"), (len(t), i))
+        self.ending.make_automaton()
 
     # ids
 
     def ids(self, text: str) -> np.ndarray:
-        """Exactly the library's ids, as uint32."""
-        if any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        """Exactly the library's ids, as uint32. Texts with special strings, and those with runs of blanks that are too
+        long for the quick pattern, go to the library."""
+        if not self.special_at.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     # prefix counts
 
     def _follows(self, pair: int) -> bool:
         """Do the merges leave two tokens (first * size + second) apart when they stand side by side?"""
-        if len(self._pairs) > 4 * REMEMBERED:
+        if len(self._pairs) > PAIRS:
             self._pairs.clear()
         a, b = divmod(pair, self.size)
         self._pairs[pair] = apart = self.fast._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return apart
 
-    def piece_counts(self, piece: bytes) -> list[int]:
+    def piece_counts(self, piece: bytes) -> array:
         """Tokens of every byte prefix of one pre-token. The encoding of a prefix of i bytes ends in the one token t
-        that may follow the last token of the prefix of i - len(t) bytes; it has one token more than that prefix.
-        What is known of a pre-token that this one begins with is carried on."""
-        pieces = self._pieces
-        known = pieces.get(piece)
-        if known is not None:
-            return known[1]
-        n, rank, pairs, size, longest = len(piece), self.ranks.get, self._pairs, self.size, self.longest
-        for k in range(n - 1, 1, -1):
-            known = pieces.get(piece[:k])
-            if known is not None:
-                last, count = known[0][:], known[1][:]
-                break
-        else:
-            k, last, count = 0, [-1], [0]
-        for i in range(k + 1, n + 1):
-            for s in range(i - longest if i > longest else 0, i):
-                t = rank(piece[s:i])
-                if t is None:
+        that may follow the last token of the prefix of i - len(t) bytes; it has one token more than that prefix."""
+        pairs, size = self._pairs, self.size
+        last, count = array("i", [-1]), array("i", [0])
+        done = 0
+        for end, (n, t) in self.ending.iter(piece.decode("latin-1")):
+            if end < done:
+                continue
+            before = end + 1 - n
+            if before:
+                pair = last[before] * size + t
+                apart = pairs.get(pair)
+                if apart is None:
+                    apart = self._follows(pair)
+                if not apart:
                     continue
-                if s:
-                    pair = last[s] * size + t
-                    apart = pairs.get(pair)
-                    if apart is None:
-                        apart = self._follows(pair)
-                    if not apart:
-                        continue
-                last.append(t)
-                count.append(count[s] + 1)
-                break
-        if len(pieces) > REMEMBERED // 2:
-            pieces.clear()
-        pieces[piece] = last, count
+            last.append(t)
+            count.append(count[before] + 1)
+            done = end + 1
         return count
 
-    def _counts_from(self, text: str) -> list[int]:
-        """Tokens of every code-point prefix (1 ..) of a text without special strings."""
-        out: list[int] = []
-        base = at = 0
-        run_base, run_at, blank = 0, 0, False  # the run of blanks that reaches up to here
-        for piece in self.pattern.findall(text):
-            own = is_blank(piece)
-            if own and not blank:
-                run_base, run_at = base, at
-            counts = self.piece_counts(piece.encode())
-            if not (own or blank) and piece[0] != "'" and piece.isascii():
-                out += [base + c for c in counts[1:]]
-                base += counts[-1]
-                at += len(piece)
-                continue
-            byte = 0
-            for k, c in enumerate(piece, 1):
-                byte += len(c.encode())
-                if (own or blank and k == 1) and is_blank(c):  # blanks at an end are one pre-token
-                    out.append(run_base + self.piece_counts(text[run_at : at + k].encode())[-1])
-                elif k > 1 and piece[0] == "'" and k < len(piece):  # a contraction cut short is two pre-tokens
-                    out.append(base + sum(self.piece_counts(x.encode())[-1] for x in self.pattern.findall(piece[:k])))
-                else:
-                    out.append(base + counts[byte])
-            base += counts[-1]
-            at += len(piece)
-            blank = own
-        return out
-
-    def _piece_steps(self, piece: str) -> bytes:
-        """Changes of the count over the code points of one pre-token."""
-        known = self._changes.get(piece)
-        if known is None:
+    def piece_steps(self, piece: str) -> bytes:
+        """Changes of the count over the code points of one pre-token, as int16."""
+        if piece[0] == "'" and piece[1:2].isalpha():  # a contraction cut short is two pre-tokens
+            counts = [sum(self.piece_counts(x.encode())[-1] for x in self.pattern.findall(piece[:k])) for k in range(len(piece) + 1)]
+        else:
             counts = self.piece_counts(piece.encode())
             if not piece.isascii():
                 counts = [0, *(counts[k] for k in accumulate(len(c.encode()) for c in piece))]
-            if len(self._changes) > REMEMBERED // 2:
-                self._changes.clear()
-            self._changes[piece] = known = array("h", map(sub, counts[1:], counts)).tobytes()
-        return known
-
-    def _steps_of(self, part: str) -> bytes:
-        text = " " + part
-        if "'" not in part and len(part.split()) == 1:  # each pre-token counts for itself at every prefix
-            return b"".join(map(self._piece_steps, self.pattern.findall(text)))
-        counts = self._counts_from(text)
-        return array("h", map(sub, counts, [0, *counts])).tobytes()
+        return array("h", map(sub, counts[1:], counts)).tobytes()
+
+    def plain_steps(self, text: str) -> bytes:
+        """Steps over a text without special strings. Where no blanks stand side by side, a pre-token counts for itself at
+        every prefix. A run of blanks is one pre-token while it is the end; what follows it then takes its last blank."""
+        steps, pieces = self._steps.__getitem__, self.pattern.findall
+        out: list[bytes] = []
+        at, lead = 0, None
+        for run in self.blanks.finditer(text):
+            found = b"".join(map(steps, pieces(text, at, run.start())))
+            out += [found if lead is None else after_blanks(found, lead), self.piece_steps(run[0])]
+            if run.end() == len(text):
+                return b"".join(out)
+            at, lead = run.end() - 1, int(np.frombuffer(out[-1], np.int16)[-1])
+        found = b"".join(map(steps, pieces(text, at)))
+        return b"".join([*out, found if lead is None else after_blanks(found, lead)])
+
+    def steps(self, text: str) -> bytes:
+        """Changes of the exact token count over the code points of a text, as int16. A special string is ordinary text
+        until its last character, which makes it one token."""
+        out: list[bytes] = []
+        at = 0
+        for m in self.special_at.finditer(text):
+            before = self.plain_steps(text[at : m.end() - 1])
+            found = np.frombuffer(before, np.int16)
+            out += [before, array("h", [1 - int(found[m.start() - at :].sum())]).tobytes()]
+            at = m.end()
+        return b"".join([*out, self.plain_steps(text[at:])])
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Exact tokens of every code-point prefix: n + 1 numbers for n code points, the first 0."""
-        for s in self.special:
-            if s in text:
-                left, _, right = text.partition(s)
-                before = self.prefix_counts(left + s[:-1])
-                whole = before[len(left)] + 1
-                return np.concatenate([before, whole + self.prefix_counts(right)])
-        parts = text.split(" ")
-        if len(parts) >= 3:
-            try:
-                middle = np.frombuffer(b"".join(map(self._steps.__getitem__, parts[1:-1])), np.int16)
-                if parts[0] and not parts[0][-1].isspace() and parts[-1] and not parts[-1][0].isspace():
-                    first, final = self._counts_from(parts[0]), self._counts_from(" " + parts[-1])
-                    inner = np.cumsum(middle, dtype=np.int64) + first[-1]
-                    return np.concatenate([[0], first, inner, inner[-1] + np.array(final, np.int64)])
-            except Unsafe:
-                pass
-        return np.array([0, *self._counts_from(text)], np.int64)
+        return np.concatenate([[0], np.cumsum(np.frombuffer(self.steps(text), np.int16), dtype=np.int64)])
 
 
 _LOADED: dict[str, ByteBpe] = {}
