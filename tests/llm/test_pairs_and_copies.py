@@ -86,12 +86,43 @@ def test_exact_dedup(docs, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, _, _, k, _ in want if k and d is not None)
 
 
-def test_directory_doubles_only_where_full(spark):
-    entries = spark.range(2000).selectExpr("case when id < 1900 then id else shiftleft(id, 53) end as key").distinct()
-    cells = {r.cell: r for r in exact_index.directory(entries, 64).collect()}
-    depths = {r.depth for r in cells.values()}
-    assert max(depths) == exact_index.MAX_DEPTH  # 1900 keys of one cell cannot part
-    assert len(depths) > 1 and all(r.bucket <= r.cell for r in cells.values())
+@pytest.mark.parametrize("capacity", [1, 64, 5000])
+def test_directory_doubles_only_where_full(spark, capacity):
+    """Every bucket is one range of keys; it holds no more than capacity, and its parent would hold more."""
+    keys = spark.range(2000).selectExpr("case when id < 1900 then id when id < 1950 then -id else shiftleft(id, 53) end as key").distinct()
+    levels = exact_index.directory(keys, capacity)
+    rows = exact_index.routed(keys, levels).collect()
+    assert len(rows) == keys.count() and (len(levels) == 4) == (capacity < 1900)
+    unsigned = [(r.key % 2**64, r.depth, r.bucket % 2**64) for r in rows]
+    held = defaultdict(list)
+    for k, depth, bucket in unsigned:
+        assert bucket <= k < bucket + 2 ** (64 - depth)
+        held[depth, bucket].append(k)
+    assert all(len(v) <= capacity for v in held.values())
+    for depth, bucket in held:
+        if depth:
+            width = 2 ** (65 - depth)
+            assert sum(bucket // width == k // width for k, _, _ in unsigned) > capacity
+
+
+@pytest.mark.parametrize("hot", [1, 256])
+def test_chains_part_texts_of_one_key(spark, monkeypatch, hot):
+    """A hash of the length alone: different texts share keys, and the owner's comparison tells them apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_index, "HOT", hot)
+    monkeypatch.setattr(exact_index.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    rows = [(k, "ab"[k % 2] * (k % 5) + "c" * (k % 3)) for k in range(90)]
+    digests, index = exact_index.build_index(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    got = {r.sha.hex(): r for r in index.collect()}
+    groups = defaultdict(list)
+    for k, t in rows:
+        groups[sha256(t.encode()).hexdigest()].append(k)
+    assert {s: (r.keep_id, r.group_size) for s, r in got.items()} == {s: (min(v), len(v)) for s, v in groups.items()}
+    chains = defaultdict(list)
+    for r in got.values():
+        chains[r.key].append(r.chain)
+    assert all(sorted(c) == list(range(len(c))) for c in chains.values()) and max(map(len, chains.values())) > 1
 
 
 def jaccard_components(rows):
