@@ -1,24 +1,24 @@
 """Language-model scores from a Brown class bigram.
 
-P(word | previous word) = P(class | previous class) * P(word | class). Classes come from three places: the end of a text
-has its own; the words that occur LEAST times or more are put into CLASSES classes by exchange clustering, the CLUSTERED
-most frequent ones where there are more, so that the least count grows with the corpus; every other word, known or not,
-has one of SUFFIXES classes by a hash of its last two bytes, so that no table of all words has to be sent to the tasks.
-Class transitions are smoothed towards class frequencies, emissions by 0.5.
-
-Counts are Spark aggregates over all training texts. Exchange moves words to the class that raises the likelihood of the
-class bigrams most. It starts from the EXCHANGED most frequent words, moved one after another on the driver over their
-own (EXCHANGED + SUFFIXES + 1) squared table. Then ROUNDS rounds run in tasks: a task holds all neighbours of its words
-and picks their classes by the class-by-class table, which is sent to it with the class of each clustered word. The
-first round places all words; later ones move every other word, and one that does not raise the likelihood is undone
-and is the last. Scoring needs the count of every word: the KNOWN most frequent
-words go to the tasks as a dictionary of bounded size, the rest of a text's distinct words are joined with the whole
-vocabulary, and what the join adds is summed by text.
+P(word | previous word) = P(class | previous class) * P(word | class). The end of a text has a class of its own. All other
+classes, CLASSES of them, are found by exchange clustering over units: each word that occurs LEAST times or more is a unit
+(the CLUSTERED most frequent ones where there are more, so that the least count grows with the corpus), and the rarer
+words, known or not, come together in POOLS by their last two bytes, each pool a unit that is clustered by the contexts of
+all its words. So every class is learned. Class transitions are smoothed towards class frequencies, emissions by 0.5.
+
+Counts are Spark aggregates over all training texts. Exchange moves a unit to the class that raises the likelihood of the
+class bigrams most. It is seeded by the pools and the SEEDS most frequent words, moved one after another over their own
+squared table, whose size the parameters fix; other words begin in the class of their pool. Then ROUNDS rounds run in
+tasks: a task holds all neighbours of its units and picks their classes by the class-by-class table, which is sent to it
+with the class of each unit. The first round moves all units; later ones move every other unit, and one that does not
+raise the likelihood is undone and is the last. Scoring needs the count of every word: the KNOWN most frequent words go to
+the tasks as a dictionary of bounded size, the rest of a text's distinct words are joined with the whole vocabulary, and
+what the join adds is summed by text.
 
 Training texts are those whose crc32(doc_id as text) mod 5 is not 1 (a null doc_id trains). A-Z are lower-cased, words
 are runs of other than the six ASCII blanks, and each text has one end, which also is the context of its first word.
-Null text is empty: its end alone. Rows that repeat count each; empty input gives an empty result; extra columns are
-ignored.
+Null text is empty: its end alone. Rows that repeat count each; words that tie in count go by their bytes; very long texts
+take time and memory in proportion; empty input gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,19 +36,19 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, fold, keep, map_texts, small_batches
 
 KNOWN = 100_000
-EXCHANGED, CLASSES, SUFFIXES, SWEEPS = 500, 48, 64, 6
-#: Words in classes of their own choice, at most, and how often they occur at least; rounds in tasks.
+SEEDS, CLASSES, POOLS, SWEEPS = 500, 64, 256, 5
+#: Words that are units of their own, at most, and how often they occur at least; rounds in tasks.
 CLUSTERED, LEAST, ROUNDS = 100_000, 5, 5
-#: Clustered words are dealt to so many buckets; neighbours counted at once in a task.
-BUCKETS, AT_ONCE = 256, 2_000_000
+#: Units are dealt to so many buckets; neighbours counted at once in a task; units placed at once.
+BUCKETS, AT_ONCE, PLACED = 256, 2_000_000, 128
 #: Pseudo-counts of a class transition, spread by class frequency.
 SPREAD = 4.0
 #: The end of a text among words; no word is empty.
 END = b""
 
 
-def suffix_class(word: bytes) -> int:
-    return 1 + CLASSES + zlib.crc32(word[-2:]) % SUFFIXES
+def pool_of(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % POOLS
 
 
 def rows_with_bucket(docs: DataFrame) -> DataFrame:
@@ -99,10 +99,10 @@ def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours(train: DataFrame, units: dict[bytes, int]) -> DataFrame:
-    """Counts of neighbouring units: END, the clustered words, and the suffix classes. A row has int32 arrays: words (of
-    units), sizes (entries of each word), others (twice the neighbour, and 1 where it comes before the word), and int64 n.
-    All entries of a clustered word are in one row; END and suffix classes have the entries where they come first."""
-    size, most = 1 + len(units) + SUFFIXES, len(units)
+    """Counts of neighbouring units: END (0), the clustered words, and the pools. A row has int32 arrays: words (units),
+    sizes (entries of each), others (twice the neighbour, and 1 where it comes before the unit), and int64 n. All entries
+    of a unit are in one row; END has only those where it comes first."""
+    size, most = 1 + len(units) + POOLS, len(units)
     small_batches(train.sparkSession)
     known = train.sparkSession.sparkContext.broadcast(units)
     sent = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())])
@@ -111,10 +111,10 @@ def neighbours(train: DataFrame, units: dict[bytes, int]) -> DataFrame:
     def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pair, n = np.unique(np.concatenate(held), return_counts=True)
         first, second = pair // size, pair % size
-        back = (second > 0) & (second <= most)
+        back = second > 0
         word, other = np.concatenate([first, second[back]]), np.concatenate([2 * second, 2 * first[back] + 1])
         n = np.concatenate([n, n[back]])
-        bucket = np.where((word > 0) & (word <= most), word, other >> 1) % BUCKETS
+        bucket = np.where(word > 0, word, other >> 1) % BUCKETS
         order = np.argsort(bucket, kind="stable")
         codes, n, bucket = (word * (2 * size) + other)[order], n[order], bucket[order]
         ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
@@ -131,7 +131,7 @@ def neighbours(train: DataFrame, units: dict[bytes, int]) -> DataFrame:
                 at = np.zeros(len(words) + 2, np.int64)
                 own = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
                 for k in np.flatnonzero(own < 0):
-                    own[k] = most - CLASSES + suffix_class(words[k])
+                    own[k] = most + 1 + pool_of(words[k])
                 at[1:-1] = own
                 held.append(at[:-1] * size + at[1:])
                 n += len(at)
@@ -192,50 +192,57 @@ def between_groups(pairs: DataFrame, group: np.ndarray, size: int) -> np.ndarray
     return out.reshape(size, size)
 
 
-def exchange(counts: np.ndarray, n_words: int) -> np.ndarray:
-    """Class of each unit. Units 1 .. n_words are moved among classes 1 .. CLASSES; END and suffix units stay."""
-    total_classes = 1 + CLASSES + SUFFIXES
-    owner = np.concatenate([[0], 1 + np.arange(EXCHANGED) % CLASSES, 1 + CLASSES + np.arange(SUFFIXES)])
-    member = np.eye(total_classes)[owner]
-    between = member.T @ counts @ member
-    x_log = lambda v: v * np.log(np.maximum(v, 1e-12))
+def x_log(v: np.ndarray) -> np.ndarray:
+    return v * np.log(np.maximum(v, 1e-12))
 
-    def with_word(base: np.ndarray, to: int, ahead: np.ndarray, behind: np.ndarray, own: float) -> float:
-        """Likelihood of the rows and columns that change when a word joins class ``to``."""
-        row, col = base[to] + ahead, base[:, to] + behind
-        row[to] += behind[to] + own
-        rest = np.arange(total_classes) != to
-        mass_out, mass_in = row.sum(), col[rest].sum() + row[to]
-        return x_log(row).sum() + x_log(col[rest]).sum() - x_log(mass_out) - x_log(mass_in)
 
-    def alone(base: np.ndarray, to: int) -> float:
-        rest = np.arange(total_classes) != to
-        return x_log(base[to]).sum() + x_log(base[rest, to]).sum() - x_log(base[to].sum()) - x_log(base[:, to].sum())
+def likelihood(between: np.ndarray) -> float:
+    return float(x_log(between).sum() - x_log(between.sum(1)).sum() - x_log(between.sum(0)).sum())
 
+
+def best_classes(between: np.ndarray, at: np.ndarray, ahead: np.ndarray, behind: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each of some units, of class ``at`` >= 1, the class >= 1 where it raises the likelihood most while the others
+    stay. ahead and behind are its counts by class, without its ``own`` pairs with itself."""
+    n, size = ahead.shape
+    one, to = np.arange(n), np.arange(1, size)
+    gain = np.zeros((n, size - 1))
+    inner = np.diag(between)[1:] - (to == at[:, None]) * (ahead[one, at] + behind[one, at] + own)[:, None]
+    for table, more, back in ((between, ahead, behind), (between.T, behind, ahead)):
+        cells = np.repeat(table[None, 1:], n, axis=0)  # the unit taken out of its class
+        cells[one, at - 1] -= more
+        cells[one, :, at] -= back[:, 1:]
+        cells[one, at - 1, at] -= own
+        raised = x_log(cells + more[:, None]) - x_log(cells)
+        gain += raised.sum(2) - raised[:, to - 1, to]  # the cell of a class with itself is counted below
+        mass, whole = table.sum(1)[1:], (more.sum(1) + own)[:, None]
+        left = mass - (to == at[:, None]) * whole
+        gain -= x_log(left + whole) - x_log(left)
+    gain += x_log(inner + ahead[:, 1:] + behind[:, 1:] + own[:, None]) - x_log(inner)
+    best = np.argmax(gain, axis=1)
+    return np.where(gain[one, best] > gain[one, at - 1] + 1e-9, 1 + best, at)
+
+
+def exchange(counts: np.ndarray) -> np.ndarray:
+    """Class of each unit of a small table; unit 0, the end, has class 0, the others are moved one after another."""
+    owner = np.concatenate([[0], 1 + np.arange(len(counts) - 1) % CLASSES])
+    member = np.eye(1 + CLASSES)[owner]
+    between = member.T @ counts @ member
+    busy = np.flatnonzero(counts.sum(0)[1:] + counts.sum(1)[1:]) + 1
     for _ in range(SWEEPS):
         moved = 0
-        for w in range(1, n_words + 1):
-            ahead, behind, own = counts[w] @ member, counts[:, w] @ member, counts[w, w]
-            at = owner[w]
-            ahead[at] -= own  # the word's own pairs go with it
+        for w in busy:
+            ahead, behind, own, at = counts[w] @ member, counts[:, w] @ member, counts[w, w], owner[w]
+            ahead[at] -= own  # the unit's own pairs go with it
             behind[at] -= own
-            base = between.copy()
-            base[at] -= ahead
-            base[:, at] -= behind
-            base[at, at] -= own
-            gains = []
-            for c in range(1, 1 + CLASSES):
-                # pairs with other classes also change the other classes' cells, which are the cells of row and column c
-                gains.append(with_word(base, c, ahead, behind, own) - alone(base, c))
-            best = 1 + int(np.argmax(gains))
-            if best != at and gains[best - 1] > gains[at - 1] + 1e-9:
-                moved += 1
-            else:
-                best = at
-            base[best] += ahead
-            base[:, best] += behind
-            base[best, best] += own
-            between, owner[w] = base, best
+            best = best_classes(between, owner[w : w + 1], ahead[None], behind[None], np.array([own]))[0]
+            if best == at:
+                continue
+            moved += 1
+            for c, sign in ((at, -1), (best, 1)):
+                between[c] += sign * ahead
+                between[:, c] += sign * behind
+                between[c, c] += sign * own
+            owner[w] = best
             member[w] = 0
             member[w, best] = 1
         if not moved:
@@ -243,41 +250,8 @@ def exchange(counts: np.ndarray, n_words: int) -> np.ndarray:
     return owner
 
 
-def x_log(v: np.ndarray) -> np.ndarray:
-    return v * np.log(np.maximum(v, 1e-12))
-
-
-def likelihood(between: np.ndarray) -> float:
-    return float(x_log(between).sum() - x_log(between.sum(1)).sum() - x_log(between.sum(0)).sum())
-
-
-def best_class(between: np.ndarray, at: int, ahead: np.ndarray, behind: np.ndarray, own: float) -> int:
-    """Class 1 .. CLASSES where a word of class ``at`` raises the likelihood most. ahead and behind are its counts by
-    class, without the ``own`` pairs of the word with itself."""
-    base, out, into = between.copy(), between.sum(1), between.sum(0)
-    base[at] -= ahead
-    base[:, at] -= behind
-    base[at, at] -= own
-    out[at] -= ahead.sum() + own
-    into[at] -= behind.sum() + own
-    to = slice(1, 1 + CLASSES)
-    gain = np.zeros(CLASSES)
-    for cells, more in ((base[to], ahead), (base[:, to].T, behind)):
-        met = np.flatnonzero(more)
-        now = cells[:, met]
-        raised = x_log(now + more[met]) - x_log(now)
-        gain += raised.sum(1)
-        inner = np.flatnonzero((met > 0) & (met <= CLASSES))  # the cell of a class with itself is counted below
-        gain[met[inner] - 1] -= raised[met[inner] - 1, inner]
-    self = np.diag(base)[to]
-    gain += x_log(self + ahead[to] + behind[to] + own) - x_log(self)
-    gain -= x_log(out[to] + ahead.sum() + own) - x_log(out[to]) + x_log(into[to] + behind.sum() + own) - x_log(into[to])
-    best = int(np.argmax(gain))
-    return at if 1 <= at <= CLASSES and gain[best] <= gain[at - 1] + 1e-9 else 1 + best
-
-
-def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, most: int, turn: int | None) -> np.ndarray:
-    """owner after each clustered word, or each whose turn it is, has chosen by the counts as they are."""
+def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, turn: int | None) -> np.ndarray:
+    """owner after each unit, or each whose turn it is, has chosen by the counts as they are."""
     size = len(between)
     known = pairs.sparkSession.sparkContext.broadcast((owner, between))
 
@@ -285,14 +259,18 @@ def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, most: int, t
         of, table = known.value
         for batch in batches:
             for words, sizes, others, n in unpacked(batch):
-                row = np.repeat(np.arange(len(words)), sizes)
-                itself = (others >> 1) == words[row]
-                cell = (row * 2 + others % 2) * size + of[others >> 1]
-                sums = np.bincount(cell[~itself], n[~itself], len(words) * 2 * size).reshape(-1, 2, size)
-                own = np.bincount(row[itself & (others % 2 == 0)], n[itself & (others % 2 == 0)], len(words))
-                mine = [k for k, w in enumerate(words.tolist()) if 0 < w <= most and (turn is None or (w // BUCKETS + w) % 2 == turn)]
-                best = [best_class(table, of[words[k]], *sums[k], own[k]) for k in mine]
-                yield pa.RecordBatch.from_arrays([pa.array(words[mine], pa.int32()), pa.array(best, pa.int32())], names=["word", "class"])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                mine = np.flatnonzero((words > 0) & ((words // BUCKETS + words) % 2 == turn if turn is not None else True))
+                for some in np.array_split(mine, -(-len(mine) // PLACED)) if len(mine) else ():
+                    entry = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in some])
+                    row = np.repeat(np.arange(len(some)), sizes[some])
+                    other, times = others[entry], n[entry].astype(float)
+                    itself = (other >> 1) == words[some][row]
+                    cell = (row * 2 + other % 2) * size + of[other >> 1]
+                    sums = np.bincount(cell[~itself], times[~itself], len(some) * 2 * size).reshape(-1, 2, size)
+                    own = np.bincount(row[itself & (other % 2 == 0)], times[itself & (other % 2 == 0)], len(some))
+                    best = best_classes(table, of[words[some]], sums[:, 0], sums[:, 1], own)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[some], pa.int32()), pa.array(best, pa.int32())], names=["word", "class"])
 
     out = owner.copy()
     for r in pairs.mapInArrow(run, "word int, class int").toLocalIterator():
@@ -302,19 +280,18 @@ def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, most: int, t
 
 def cluster(pairs: DataFrame, clustered: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Class of each unit, and the counts of neighbouring classes."""
-    most, size = len(clustered), 1 + CLASSES + SUFFIXES
-    first = min(EXCHANGED, most)
-    suffixes = np.array([suffix_class(w) for w in clustered[first:]], np.int64)
-    ends = 1 + CLASSES + np.arange(SUFFIXES)
-    group = np.concatenate([np.arange(1 + first), suffixes + EXCHANGED - CLASSES, ends + EXCHANGED - CLASSES])
-    seeds = exchange(between_groups(pairs, group, 1 + EXCHANGED + SUFFIXES), first)
-    owner = np.concatenate([seeds[: 1 + first], suffixes, ends])
+    first, size = min(SEEDS, len(clustered)), 1 + CLASSES
+    pools = np.array([pool_of(w) for w in clustered[first:]], np.int64)
+    group = np.concatenate([np.arange(1 + first), 1 + first + pools, 1 + first + np.arange(POOLS)])
+    owner = exchange(between_groups(pairs, group, 1 + first + POOLS))[group]
     between = between_groups(pairs, owner, size)
-    for k in range(ROUNDS if most else 0):
-        tried = moves(pairs, owner, between, most, None if k == 0 else k % 2)
+    for k in range(ROUNDS):
+        tried = moves(pairs, owner, between, None if k == 0 else k % 2)
         table = between_groups(pairs, tried, size)
-        if k and likelihood(table) <= likelihood(between):
-            break
+        if likelihood(table) <= likelihood(between):
+            if k:
+                break
+            continue
         owner, between = tried, table
     return owner, between
 
@@ -328,11 +305,16 @@ class Model:
     emit: np.ndarray  # log10 P(word | class)
     classes: np.ndarray
     own: dict[bytes, int]  # classes of the clustered words that are not among them
+    pools: np.ndarray  # classes of the pools
     steps: np.ndarray  # log10 P(class | class)
     rare: np.ndarray  # by class: log10 of the emission's denominator
     unit: float  # log10 of the base denominator
     end: tuple[float, float, int]  # base, emission, known
 
+    def class_of(self, word: bytes) -> int:
+        """Class of a word that is not among the KNOWN."""
+        return self.own.get(word) or int(self.pools[pool_of(word)])
+
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
     """(model, vocabulary, N)."""
@@ -342,28 +324,27 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
     clustered = [w for w, _ in most_frequent(words.where(F.length("word") > 0).where(F.col("c") >= LEAST), CLUSTERED)]
     pairs = keep(neighbours(train, {w: 1 + k for k, w in enumerate(clustered)}), "lm-neighbours")
     owner, between = cluster(pairs, clustered)
-    size = 1 + CLASSES + SUFFIXES
+    size, pools = 1 + CLASSES, owner[1 + len(clustered) :]
     mass = between.sum(0)  # tokens of each class
     share = (mass + 0.5) / (mass.sum() + 0.5 * size)
     steps = np.log10((between + SPREAD * share) / (between.sum(1, keepdims=True) + SPREAD))
-    kinds = np.zeros(size)  # distinct words of each class
+    kinds = np.zeros(size)  # distinct words of each class, and one yet unknown for each pool
     kinds[0] = 1
-    np.add.at(kinds, owner[1 : 1 + len(clustered)], 1)
-    suffix = (F.crc32(F.expr("substring(word, -2, 2)")) % SUFFIXES).cast("int")
-    for r in words.where(F.length("word") > 0).groupBy(suffix.alias("s")).count().collect():
-        kinds[1 + CLASSES + r.s] = r["count"]
+    np.add.at(kinds, owner[1:], 1)
+    pool = (F.crc32(F.expr("substring(word, -2, 2)")) % POOLS).cast("int")
+    for r in words.where(F.length("word") > 0).groupBy(pool.alias("p")).count().collect():
+        kinds[pools[r.p]] += r["count"]
     for w in clustered:
-        kinds[suffix_class(w)] -= 1
-    open_slot = np.arange(size) > CLASSES  # unknown words only occur in suffix classes
-    below = np.log10(mass + 0.5 * np.maximum(kinds + open_slot, 1))
+        kinds[pools[pool_of(w)]] -= 1
+    below = np.log10(mass + 0.5 * np.maximum(kinds, 1))
     unit = float(np.log10(n + 0.5 * (v + 1)))
     c = np.array([x for _, x in top], float)
     own = dict(zip(clustered, owner[1:].tolist()))
-    classes = np.array([own.get(w) or suffix_class(w) for w, _ in top], np.int64)
+    classes = np.array([own.get(w) or pools[pool_of(w)] for w, _ in top], np.int64)
     numbers = {w: k for k, (w, _) in enumerate(top)}
     own = {w: k for w, k in own.items() if w not in numbers}
     ends = mass[0]
-    model = Model(numbers, np.log10(c + 0.5) - unit, np.log10(c + 0.5) - below[classes] if len(c) else c, classes, own, steps, below, unit, (float(np.log10(ends + 0.5)) - unit, float(np.log10(ends + 0.5) - below[0]), int(ends > 0)))
+    model = Model(numbers, np.log10(c + 0.5) - unit, np.log10(c + 0.5) - below[classes] if len(c) else c, classes, own, pools, steps, below, unit, (float(np.log10(ends + 0.5)) - unit, float(np.log10(ends + 0.5) - below[0]), int(ends > 0)))
     return model, words, n
 
 
@@ -385,7 +366,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             frequent = at >= 0
             c[1:-1][frequent] = m.classes[at[frequent]]
             seen = [text[k] for k in rare]
-            own = np.fromiter((m.own.get(w) or suffix_class(w) for w in seen), np.int64, len(seen))
+            own = np.fromiter(map(m.class_of, seen), np.int64, len(seen))
             c[1:-1][rare] = own
             tf = Counter(seen)
             out["n_tokens"].append(len(text) + 1)
