@@ -8,7 +8,9 @@ through the cached factor.
 
 Learning uses labelled rows whose crc32(doc_id as text) mod 4 is not 2; language, source and ids are no inputs. Null
 text is empty. Rows with a null label are not learned from; a label given twice counts twice; without rows of both
-labels every score is the share of label 1 (0.5 without labels). Empty input gives an empty result.
+labels every score is the share of label 1 (0.5 without labels). Rows that repeat a doc_id are scored each, and each is
+learned from where its id is labelled; texts that tie get equal scores; very long texts take time in proportion; extra
+columns of both tables are ignored. Empty input gives an empty result.
 """
 
 from __future__ import annotations
