@@ -1,35 +1,44 @@
 """Substring dedup by a log-structured fingerprint index.
 
 A window is WINDOW consecutive words. Windows in a row share an anchor: the least of the hashed ANCHOR-word runs inside
-them (leftmost of equals), so equal windows always have equal anchors at equal offsets. An index entry is such a stretch
-of windows: (anchor, stretch hash), the first document that holds it and where. A batch of documents becomes one sorted,
-immutable run of entries in the shared folder; runs are never changed, only merged into a new one (``compact``).
-
-A batch is resolved against the runs by merge joins on the anchor. Where one stretch hash is all that an anchor has, the
-stretch as a whole repeats or does not. Where an anchor has several, the candidates are verified: their windows are
-hashed from the texts (two 64-bit hashes of all WINDOW words) and each window gets the first document that holds it.
-Only one occurrence of each distinct stretch is verified, however many documents hold it.
-
-A document loses every word that lies in a window whose words also start in a document of smaller doc_id. Words are
-unchanged runs of other than the six ASCII blanks. Null text has no words; a document of fewer than WINDOW words loses
-nothing; a null doc_id is never smaller nor larger; rows that repeat a doc_id do not count against each other; empty
-input gives an empty result; extra columns are ignored.
+them (leftmost of equals), so equal windows always have equal anchors at equal offsets. An entry is such a stretch of
+windows: its anchor, two 64-bit hashes of all its words, the first document that holds it and where.
+
+``SubstringIndex`` keeps immutable runs, sorted by their key, in a folder with a manifest, and is opened again by a later
+call: runs of entries, and runs of window hashes for the stretches that had to be compared window by window. A batch is
+resolved as it comes: its entries are joined by anchor with all historical runs (merge joins), what they share is verified,
+the verdict is returned, and the batch's own runs are added. Before a batch, runs of one size class are compacted into one
+of the next when there are FANOUT of them.
+
+Verification: a stretch whose two hashes some earlier document has is repeated as a whole. The first document of a stretch
+is compared window by window (two 64-bit hashes of all WINDOW words, made from the texts) where its anchor has other
+stretches; a historical stretch is read from its text once, when a batch first meets its anchor with another stretch.
+
+A document loses every word that lies in a window whose words also start in a document of smaller doc_id that came with
+its own or an earlier batch; what was judged is not judged again, so batches come by ascending doc_id where all documents
+are to count, as ``dedup_substrings`` makes them. Words are unchanged runs of other than the six ASCII blanks. Null text
+has no words; a document of fewer than WINDOW words loses nothing; a null doc_id is never smaller nor larger; rows that
+repeat a doc_id do not count against each other; very long texts are cut into overlapping parts; empty input gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from hashlib import sha256
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, keep, map_texts, mix, words_of
+from ..storage import tables_dir
+from .common import keep, map_texts, mix, words_of
 from .shingles import Spans, run_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 8
-#: Runs that may stand beside one another before they are merged, and batches that the whole-table query forms.
-FANOUT, BATCHES = 2, 2
+#: Runs of one size class that are merged into one of the next, and batches that the whole-table query forms.
+FANOUT, BATCHES = 2, 3
 #: Up to so many wanted texts (16 bytes each) are broadcast to filter the texts; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _AT = np.uint64((1 << 26) - 1)
@@ -52,102 +61,163 @@ def stretches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, n)), mix(grams[place[starts]])
 
 
+ENTRY = "doc_id long, mark long, at int, windows int, anchor long, s1 long, s2 long"
+#: A second word hash, for second hashes of runs.
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+
+
 def entries(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), at, windows, anchor, stretch for every stretch of every text."""
+    """doc_id, mark (hash of the text), at, windows, anchor, s1, s2 for every stretch of every text."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
 
     def run(cols: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "mark", "at", "windows", "anchor", "stretch")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "mark", "at", "windows", "anchor", "s1", "s2")}
         for doc_id, mark, text in zip(cols["doc_id"], cols["mark"], cols["text"], strict=True):
             hashes = word_hashes(words_of(text))
             for base in range(0, max(len(hashes) - WINDOW + 1, 0), 1 << 25):  # very long texts in overlapping parts
                 part = hashes[base : base + (1 << 25) + WINDOW - 1]
                 at, n, anchor = stretches(part)
-                whole = Spans(part).of(at, at + n + WINDOW - 1)
-                for name, v in (("at", at + base), ("windows", n), ("anchor", anchor.view(np.int64)), ("stretch", whole.view(np.int64))):
+                ends = at + n + WINDOW - 1
+                lanes = (Spans(x).of(at, ends).view(np.int64) for x in (part, mix(part ^ _OTHER)))
+                for name, v in zip(("at", "windows", "anchor", "s1", "s2"), (at + base, n, anchor.view(np.int64), *lanes), strict=True):
                     out[name].append(v)
                 out["doc_id"].append(np.full(len(at), doc_id))
                 out["mark"].append(np.full(len(at), mark))
         return {k: np.concatenate([np.empty(0, np.int64), *v]) for k, v in out.items()}
 
-    return map_texts(rows, run, "doc_id long, mark long, at int, windows int, anchor long, stretch long")
+    return map_texts(rows, run, ENTRY)
+
+
+KEY = ["anchor", "s1", "s2"]
+FIRST = ["first_doc", "mark", "at", "windows"]
+
 
+def merged_entries(rows: DataFrame) -> DataFrame:
+    """One row for each stretch of rows (KEY, FIRST, last_doc): its first holder and its last document."""
+    found = rows.groupBy(*KEY).agg(F.min(F.struct(*FIRST)).alias("f"), F.max("last_doc").alias("last_doc"))
+    return found.select(*KEY, "f.*", "last_doc").sortWithinPartitions(*KEY)
 
-def sorted_run(found: DataFrame) -> DataFrame:
-    """One immutable run: an entry for each (anchor, stretch), by anchor, with its first and last document."""
-    first = F.min(F.struct("doc_id", "mark", "at", "windows")).alias("f")
-    run = found.groupBy("anchor", "stretch").agg(first, F.max("doc_id").alias("last_doc"))
-    return keep(run.select("anchor", "stretch", "f.*", "last_doc").withColumnRenamed("doc_id", "first_doc").sortWithinPartitions("anchor", "stretch"), "substring-run")
 
+def merged_windows(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("w1", "w2").agg(F.min("first").alias("first")).sortWithinPartitions("w1", "w2")
 
-def compact(runs: list[DataFrame]) -> DataFrame:
-    """All runs merged into one new run."""
-    both = runs[0]
-    for r in runs[1:]:
-        both = both.unionByName(r)
-    first = F.min(F.struct("first_doc", "mark", "at", "windows")).alias("f")
-    merged = both.groupBy("anchor", "stretch").agg(first, F.max("last_doc").alias("last_doc"))
-    return keep(merged.select("anchor", "stretch", "f.*", "last_doc").sortWithinPartitions("anchor", "stretch"), "substring-run")
 
+def merged_keys(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEY).distinct().sortWithinPartitions(*KEY)
 
-def add_batch(runs: list[DataFrame], found: DataFrame) -> list[DataFrame]:
-    """The runs with one more for a batch's entries; merged when more than FANOUT stand side by side."""
-    runs = [*runs, sorted_run(found)]
-    return [compact(runs)] if len(runs) > FANOUT else runs
 
+MERGE = {"entries": merged_entries, "windows": merged_windows, "compared": merged_keys}
 
-def verified(index: DataFrame, docs: DataFrame) -> DataFrame:
-    """anchor, stretch, firsts: of each stretch to verify, the first document of each of its windows."""
-    wanted = keep(index.groupBy(F.col("first_doc").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("anchor", "stretch", "at", "windows")).alias("todo")), "substring-wanted")
+
+def windows_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """KEY, first, k, w1, w2: hashes of every window of the wanted stretches (KEY, FIRST), from the texts of docs."""
+    todo = wanted.groupBy(F.col("first_doc").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct(*KEY, "at", "windows")).alias("todo"))
+    todo = keep(todo, "substring-wanted")  # a text's own stretches: no more than it has words
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
     same = (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark"))
-    n = wanted.count()
-    if n <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(wanted.select("__id", "__mark")), same, "left_semi")
-    texts = texts.join(wanted, same).select("doc_id", "text", "todo")
+    if todo.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(todo.select("__id", "__mark")), same, "left_semi")
+    texts = texts.join(todo, same).select("doc_id", "text", "todo")
 
     def run(cols: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("first_doc", "anchor", "stretch", "k", "w1", "w2")}
-        for doc_id, text, todo in zip(cols["doc_id"], cols["text"], cols["todo"], strict=True):
+        out: dict[str, list] = {k: [] for k in ("first", *KEY, "k", "w1", "w2")}
+        for doc_id, text, wanted in zip(cols["doc_id"], cols["text"], cols["todo"], strict=True):
             hashes = word_hashes(words_of(text))
-            lanes = Spans(hashes), Spans(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)))
-            n = np.array([t["windows"] for t in todo])
+            n = np.array([t["windows"] for t in wanted])
             k = np.concatenate([np.arange(x) for x in n])
-            at = np.repeat([t["at"] for t in todo], n) + k
-            out["first_doc"].append(np.full(len(k), doc_id))
-            out["anchor"].append(np.repeat(np.array([t["anchor"] for t in todo], np.int64), n))
-            out["stretch"].append(np.repeat(np.array([t["stretch"] for t in todo], np.int64), n))
+            at = np.repeat([t["at"] for t in wanted], n) + k
+            out["first"].append(np.full(len(k), doc_id))
+            for name in KEY:
+                out[name].append(np.repeat(np.array([t[name] for t in wanted], np.int64), n))
             out["k"].append(k)
-            for name, lane in zip(("w1", "w2"), lanes, strict=True):
-                out[name].append(lane.of(at, at + WINDOW).view(np.int64))
+            for name, lane in (("w1", hashes), ("w2", mix(hashes ^ _OTHER))):
+                out[name].append(Spans(lane).of(at, at + WINDOW).view(np.int64))
         return {name: np.concatenate([np.empty(0, np.int64), *v]) for name, v in out.items()}
 
-    windows = keep(map_texts(texts, run, "first_doc long, anchor long, stretch long, k int, w1 long, w2 long"), "substring-windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("first_doc").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    placed = windows.join(first, ["w1", "w2"])
-    return placed.groupBy("anchor", "stretch").agg(F.collect_list(F.struct("k", "first")).alias("firsts"))
-
-
-def repeats(found: DataFrame, runs: list[DataFrame], docs: DataFrame) -> DataFrame:
-    """doc_id, mark, cuts: ranges (from, to) of windows of found that start in an earlier document of docs, too.
-
-    runs has to cover found itself; docs has to hold every document that the runs were made of."""
-    index = runs[0] if len(runs) == 1 else compact(runs)
-    anchors = index.groupBy("anchor").agg(F.min("first_doc").alias("lo"), F.max("last_doc").alias("hi"), F.count(F.lit(1)).alias("kinds"))
-    shared = keep(index.join(anchors.where("lo < hi"), "anchor").drop("lo", "hi"), "substring-shared")
-    checked = verified(shared.where("kinds > 1"), docs)
-    whole = shared.select("anchor", "stretch", F.when(F.col("first_doc") < F.col("last_doc"), F.col("first_doc")).alias("whole_first"))
-    known = keep(whole.join(checked, ["anchor", "stretch"], "left").where("whole_first is not null or firsts is not null"), "substring-known")
-    met = found.join(known, ["anchor", "stretch"])
-    by_window = F.expr("transform(filter(firsts, x -> x.first < doc_id), x -> struct(at + x.k as `from`, at + x.k + 1 as `to`))")
-    cuts = F.when(F.col("whole_first") < F.col("doc_id"), F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("windows")).alias("to")))).otherwise(by_window)
-    met = met.select("doc_id", "mark", cuts.alias("cuts")).where(F.size("cuts") > 0)
-    return met.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts"))
+    return map_texts(texts, run, "first long, anchor long, s1 long, s2 long, k int, w1 long, w2 long")
+
+
+class SubstringIndex:
+    """Runs in a folder. ``manifest`` gets a row for each run of each version; the highest version counts."""
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        try:
+            rows = spark.read.schema("version long, kind string, level int, run string").json(f"{self.path}/manifest").collect()
+        except AnalysisException:  # a new index
+            rows = []
+        self.version = max((r.version for r in rows), default=0)
+        self.runs = [(r.kind, r.level, r.run) for r in rows if r.version == self.version and r.run]
+
+    def _commit(self, runs: list[tuple[str, int, str]]) -> None:
+        self.version += 1
+        self.runs = runs
+        rows = [(self.version, *r) for r in runs] or [(self.version, "", 0, "")]
+        self.spark.createDataFrame(rows, "version long, kind string, level int, run string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name
+
+    def history(self, kind: str) -> DataFrame | None:
+        """All rows of the runs of a kind."""
+        names = [run for k, _, run in self.runs if k == kind]
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names]) if names else None
+
+    def compact(self) -> None:
+        """Merge the runs of a kind and level into one of the next level while there are ``fanout`` of them."""
+        runs = list(self.runs)
+        for kind, merge in MERGE.items():
+            level = 0
+            while level <= max((n for k, n, _ in runs if k == kind), default=-1):
+                own = [r for r in runs if r[:2] == (kind, level)]
+                if len(own) >= self.fanout:
+                    rows = self.spark.read.parquet(*[f"{self.path}/{r[2]}" for r in own])
+                    runs = [r for r in runs if r not in own] + [(kind, level + 1, self._write(merge(rows)))]
+                level += 1
+        if runs != self.runs:
+            self._commit(runs)
+
+    def add(self, found: DataFrame, docs: DataFrame) -> DataFrame:
+        """Resolve a batch of entries against the runs and itself, then add its runs. docs holds the texts of the batch and
+        of all earlier ones. doc_id, mark, cuts: ranges (from, to) of windows that start in an earlier document, too."""
+        self.compact()
+        one = found.select(*KEY, F.col("doc_id").alias("first_doc"), "mark", "at", "windows", F.col("doc_id").alias("last_doc"))
+        run = self._write(merged_entries(one))
+        both = self.spark.read.parquet(f"{self.path}/{run}").withColumn("old", F.lit(False))
+        past, compared, known = (self.history(k) for k in ("entries", "compared", "windows"))
+        if past is not None:
+            met = past.join(both.select("anchor").distinct(), "anchor", "left_semi")
+            both = both.unionByName(keep(met.withColumn("old", F.lit(True)), "substring-met"))
+        kind = F.struct("s1", "s2")
+        anchors = both.groupBy("anchor").agg(F.min("first_doc").alias("lo"), F.max("last_doc").alias("hi"), (F.min(kind) != F.max(kind)).alias("several"))
+        shared = both.join(anchors.where("lo < hi").drop("lo", "hi"), "anchor")
+        firsts = shared.groupBy(*KEY).agg(F.min(F.struct(*FIRST, "old")).alias("f"), F.max("last_doc").alias("last_doc"), F.bool_or("several").alias("several"))
+        firsts = keep(firsts.select(*KEY, "f.*", "last_doc", "several"), "substring-firsts")
+        todo = firsts.where("several")
+        if compared is not None:
+            todo = todo.where("not old").unionByName(todo.where("old").join(compared, KEY, "left_anti"))
+        todo = keep(todo.select(*KEY, *FIRST), "substring-todo")
+        made = keep(windows_of(todo, docs), "substring-windows")
+        held = made.select("w1", "w2", "first")
+        if known is not None:
+            held = held.unionByName(known.join(held.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi"))
+        least = held.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
+        earlier = made.join(least, ["w1", "w2"]).where("least < first")
+        earlier = earlier.groupBy(*KEY).agg(F.collect_set("k").alias("ks"))  # of one stretch: at most WINDOW - ANCHOR + 1
+        judged = firsts.select(*KEY, "first_doc", "last_doc").join(earlier, KEY, "left").where("first_doc < last_doc or ks is not null")
+        whole = F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("windows")).alias("to")))
+        single = F.transform("ks", lambda k: F.struct((F.col("at") + k).alias("from"), (F.col("at") + k + 1).alias("to")))
+        lost = found.join(judged.drop("last_doc"), KEY)  # a stretch's later holders lose it whole, its first what others had
+        lost = lost.select("doc_id", "mark", F.when(F.col("first_doc") < F.col("doc_id"), whole).otherwise(single).alias("cuts")).where("cuts is not null")
+        cuts = keep(lost.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts")), "substring-cuts")
+        self._commit([*self.runs, ("entries", 0, run), ("windows", 0, self._write(merged_windows(made))), ("compared", 0, self._write(merged_keys(todo)))])
+        return cuts
 
 
 def without_repeats(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    cuts = keep(cuts, "substring-cuts")
+    """doc_id, n_words, n_removed, kept_sha256 for every row of docs. cuts: rows of doc_id, mark and their ranges."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     inner = cuts.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "cuts")
     same = (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark"))
@@ -177,12 +247,18 @@ def without_repeats(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     return map_texts(texts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_substrings(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The whole table as batches of ascending doc_id: runs are added batch by batch, then every text is judged."""
+def dedup_substrings(docs: DataFrame, batches: int = BATCHES, path: str | None = None) -> DataFrame:
+    """The whole table as batches of ascending doc_id, each resolved against the index of those before it."""
+    spark = docs.sparkSession
     found = keep(entries(docs), "substring-entries")
     least, most = found.agg(F.min("doc_id"), F.max("doc_id")).first()
-    runs: list[DataFrame] = []
+    index = SubstringIndex(spark, path or f"{tables_dir(spark)}/substring-index-{uuid.uuid4().hex}")
+    cuts = []
     for b in range(batches if least is not None else 1):
         low, high = (least + (most - least + 1) * x // batches for x in (b, b + 1)) if least is not None else (0, 0)
-        runs = add_batch(runs, found.where(F.col("doc_id").between(low, high - 1)))
-    return without_repeats(docs, repeats(found, runs, docs))
+        inside = F.col("doc_id").between(low, high - 1)
+        cuts.append(index.add(found.where(inside), docs.where(F.col("doc_id") < high)))
+    whole = cuts[0]
+    for c in cuts[1:]:
+        whole = whole.unionByName(c)
+    return without_repeats(docs, whole)

@@ -207,6 +207,26 @@ def test_substring_index(docs, rows, monkeypatch, batches, limit):
     assert got == windows_removed(rows)
 
 
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_batches_in_separate_calls(spark, rows, tmp_path, fanout):
+    """The index is opened anew for every batch; verdicts come batch by batch and equal brute force; runs are compacted."""
+    ids = sorted({r[0] for r in rows if r[0] is not None})
+    parts = [ids[k * len(ids) // 5 : (k + 1) * len(ids) // 5] for k in range(5)]
+    so_far, got, merged = [], [], 0
+    for part in parts:
+        batch = [r for r in rows if r[0] in part]
+        so_far += batch
+        frame = spark.createDataFrame(batch, SCHEMA)
+        index = substring_index.SubstringIndex(spark, str(tmp_path / "index"), fanout)
+        levels = [level for kind, level, _ in index.runs if kind == "entries"]
+        assert len(levels) <= 2 * fanout and all(levels.count(n) <= fanout for n in levels)
+        cuts = index.add(substring_index.entries(frame), spark.createDataFrame(so_far, SCHEMA))
+        got += [repr(tuple(r)) for r in substring_index.without_repeats(frame, cuts).collect()]
+        merged = max(merged, *[level for _, level, _ in index.runs])
+    got += [repr(tuple(r)) for r in substring_index.without_repeats(spark.createDataFrame([r for r in rows if r[0] is None], SCHEMA), cuts).collect()]
+    assert sorted(got) == windows_removed(rows) and merged >= 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     df = queries.QUERIES[name](spark, TABLES)
