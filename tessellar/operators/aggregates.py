@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def located_edges(edges: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
-    """Edges with the package of both ends; how='left' keeps edges of unknown targets."""
-    ends = nodes.select("id", "package")
-    out = edges.join(ends.toDF("source", "source_package"), "source")
-    return out.join(ends.toDF("target", "target_package"), "target", how)
+def located_edges(edges: DataFrame, nodes: DataFrame, how: str = "inner", targets: DataFrame | None = None) -> DataFrame:
+    """Edges with the package of both ends; how='left' keeps edges of unknown targets. targets: the nodes that edges lead
+    to, where these are others than those they leave from."""
+    ends = lambda df, side: df.select(F.col("id").alias(side), F.col("package").alias(f"{side}_package"))
+    return edges.join(ends(nodes, "source"), "source").join(ends(nodes if targets is None else targets, "target"), "target", how)
 
 
-def component_relations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def component_relations(edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Relations between different packages by kind."""
-    met = located_edges(edges, nodes).where("source_package <> target_package")
+    met = located_edges(edges, nodes, targets=targets).where("source_package <> target_package")
     return met.groupBy("source_package", "target_package", "kind").agg(F.count(F.lit(1)).alias("relations"))
 
 
@@ -28,10 +28,10 @@ def component_summary(nodes: DataFrame) -> DataFrame:
     )
 
 
-def dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct packages that reach each package directly."""
-    met = located_edges(edges, nodes).where("source_package <> target_package")
-    return met.groupBy(F.col("target_package").alias("package")).agg(F.count_distinct("source_package").alias("dependents"))
+def dependents(relations: DataFrame) -> DataFrame:
+    """Distinct packages that reach each package directly, from the relations between packages."""
+    pairs = relations.select("source_package", F.col("target_package").alias("package")).distinct()
+    return pairs.groupBy("package").agg(F.count(F.lit(1)).alias("dependents"))
 
 
 def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:

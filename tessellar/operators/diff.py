@@ -22,11 +22,15 @@ def multiset_diff(before: DataFrame, after: DataFrame, key: str, value: list[str
 
 
 def by_key(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
-    """key, state: added, removed or modified as the sorted lists of values differ."""
-    whole = lambda df, n: df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(n))
-    met = whole(before, "old").join(whole(after, "new"), key, "full")
-    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
-    return met.select(key, state.alias("state")).where("state is not null")
+    """key, state: added, removed or modified as the values of a key differ as multisets. Copies are counted by value, so no
+    list of a key's values is gathered."""
+    tagged = lambda df, old: df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")).withColumn("old", F.lit(old))
+    signed = F.when(F.col("old"), F.col("n")).otherwise(-F.col("n"))
+    met = tagged(before, True).unionByName(tagged(after, False)).groupBy(key, value)
+    met = met.agg(F.sum(signed).alias("d"), F.bool_or("old").alias("was"), F.bool_or(~F.col("old")).alias("now"))
+    sums = met.groupBy(key).agg(F.bool_or(F.col("d") != 0).alias("differs"), F.bool_or("was").alias("was"), F.bool_or("now").alias("now"))
+    state = F.when(~F.col("was"), "added").when(~F.col("now"), "removed").when(F.col("differs"), "modified")
+    return sums.select(key, state.alias("state")).where("state is not null")
 
 
 def one_sided(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

@@ -36,3 +36,12 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     part = rows.orderBy(*order).offset(offset).limit(limit)
     return part.join(F.broadcast(total)).withColumn("truncated", F.col("total") > offset + limit)
+
+
+def symbols(nodes: DataFrame, package: str | None = None, path: str | None = None, kind: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of nodes under the filters that are given: a package or path that begins so, a kind; by path and id."""
+    found = nodes
+    for column, start in (("package", package), ("path", path)):
+        found = found.where(F.col(column).startswith(start)) if start else found
+    found = found.where(F.col("kind") == kind) if kind else found
+    return page(found, [F.asc("path"), F.asc("id")], offset, limit)

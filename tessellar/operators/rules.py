@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.predicates import glob_pattern
 
+# How the target of a relation was established where it counts as known.
+KNOWN_RESOLUTIONS = ["resolved", "semantic", "static", "interface", "virtual"]
 
-def violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Relations whose ends match both globs of a rule (position, from_glob, to_glob). Rules are a user's declared list,
-    so they are the broadcast side."""
-    ends = nodes.select("id", "path")
-    met = edges.join(ends.toDF("source", "source_path"), "source").join(ends.toDF("target", "target_path"), "target")
-    compiled = rules.withColumn("f", glob_pattern(F.col("from_glob"))).withColumn("t", glob_pattern(F.col("to_glob")))
-    hit = F.expr("source_path rlike f and target_path rlike t")
-    return met.join(F.broadcast(compiled), hit).select("position", "source", "target", "kind")
+
+def known_target(resolution: str) -> Column:
+    return F.col(resolution).isin(KNOWN_RESOLUTIONS)
+
+
+def violations(edges: DataFrame, nodes: DataFrame, rules: list[tuple[int, str, str]]) -> DataFrame:
+    """Relations whose ends match both globs of a rule (position, from_glob, to_glob); a relation comes once for each rule.
+    Every pattern is a literal and is matched once for each node, on the path: nodes carry the positions of the rules whose
+    globs they match, and nodes that match none take no part in the joins."""
+    hits = lambda k: F.filter(F.array(*[F.when(F.regexp(F.col("path"), glob_pattern(F.lit(r[k]))), r[0]) for r in rules]), lambda p: p.isNotNull())
+    side = lambda name, k: nodes.select(F.col("id").alias(name), F.col("path").alias(f"{name}_path"), hits(k).alias(f"__{name}")).where(F.size(f"__{name}") > 0)
+    met = edges.join(side("source", 1), "source").join(side("target", 2), "target")
+    return met.withColumn("position", F.explode(F.array_intersect("__source", "__target"))).drop("__source", "__target")
+
+
+def first_findings(found: DataFrame, n: int) -> DataFrame:
+    """The first n findings by the paths of their ends, with place, total and whether more follow."""
+    order = ["source_path", "target_path", "id", "position"]
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    placed = found.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return placed.join(F.broadcast(total)).withColumn("truncated", F.col("total") > n)
 
 
 def owners(paths: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, lookup, rules
 from .registry import query
-from .views import LINKS_SQL, NODES_SQL, USES_SQL, links, nodes, table, uses
+from .views import LINKS_SQL, NODES_SQL, USES_SQL, links, nodes, package_keys, table, use_keys, uses
 
 WITH_G = f"WITH {NODES_SQL.strip()}, {USES_SQL.strip()}"
 
 
+def relations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations between packages, kind by kind on number keys."""
+    packages = package_keys(spark, sf_dir)
+    parts = [aggregates.component_relations(keys.withColumn("kind", F.lit(kind)), packages["order"], packages[to]) for kind, to, keys in use_keys(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"""{WITH_G}
 SELECT s.package AS source_package, t.package AS target_package, u.kind, count(*) AS relations
 FROM uses u JOIN nodes s ON u.source = s.id JOIN nodes t ON u.target = t.id WHERE s.package <> t.package GROUP BY ALL""")
 def component_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.component_relations(uses(spark, sf_dir), nodes(spark, sf_dir))
+    return relations_of(spark, sf_dir)
 
 
 @query(f"WITH {NODES_SQL} SELECT package, kind, count(*) AS n FROM nodes GROUP BY package, kind")
@@ -43,7 +50,7 @@ SELECT package, dependents, row_number() OVER (ORDER BY dependents DESC, package
   FROM uses u JOIN nodes s ON u.source = s.id JOIN nodes t ON u.target = t.id WHERE s.package <> t.package GROUP BY t.package)
 ORDER BY dependents DESC, package LIMIT 32""")
 def dependents_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = aggregates.top(aggregates.dependents(uses(spark, sf_dir), nodes(spark, sf_dir)), [F.desc("dependents"), F.asc("package")], 32)
+    ranked = aggregates.top(aggregates.dependents(relations_of(spark, sf_dir)), [F.desc("dependents"), F.asc("package")], 32)
     return ranked.withColumn("place", F.col("place").cast("long"))
 
 
@@ -102,14 +109,23 @@ def unique_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULES = [(0, "*/customer/*/order/*", "parts/Brand#1*"), (1, "ASIA/*", "*/supplier/?"), (2, "EUROPE/*", "EUROPE/*/supplier/*")]
 RULES_SQL = "rules AS (SELECT * FROM (VALUES (0, '^.*/customer/.*/order/.*$', '^parts/Brand#1.*$'), (1, '^ASIA/.*$', '^.*/supplier/.$'), (2, '^EUROPE/.*$', '^EUROPE/.*/supplier/.*$')) v(position, f, t))"
+VIOLATIONS_SQL = f"""{WITH_G}, {RULES_SQL}, broken AS (
+  SELECT position, u.id, u.source, u.target, u.kind, s.path AS source_path, t.path AS target_path FROM uses u JOIN nodes s ON u.source = s.id JOIN nodes t ON u.target = t.id
+  JOIN rules ON regexp_matches(s.path, f) AND regexp_matches(t.path, rules.t))"""
 
 
-@query(f"""{WITH_G}, {RULES_SQL}
-SELECT position, u.source, u.target, u.kind FROM uses u JOIN nodes s ON u.source = s.id JOIN nodes t ON u.target = t.id
-JOIN rules ON regexp_matches(s.path, f) AND regexp_matches(t.path, rules.t)""")
+@query(f"{VIOLATIONS_SQL} SELECT position, source, target, kind FROM broken")
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = spark.createDataFrame(RULES, "position int, from_glob string, to_glob string")
-    return rules.violations(uses(spark, sf_dir), nodes(spark, sf_dir), declared)
+    return rules.violations(uses(spark, sf_dir), nodes(spark, sf_dir), RULES).select("position", "source", "target", "kind")
+
+
+@query(f"""{VIOLATIONS_SQL} SELECT position, source, target, CAST(place AS INTEGER) AS place, total, total > 100 AS truncated FROM (
+  SELECT *, row_number() OVER (ORDER BY source_path, target_path, id, position) AS place, count(*) OVER () AS total FROM broken WHERE kind = 'uses_supplier') WHERE place <= 100""")
+def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 findings on relations of known target, by the paths of their ends, with the total."""
+    known = uses(spark, sf_dir).withColumn("resolution", F.when(F.col("kind") == "uses_supplier", "static").otherwise("unresolved"))
+    found = rules.violations(known.where(rules.known_target("resolution")), nodes(spark, sf_dir), RULES)
+    return rules.first_findings(found, 100).select("position", "source", "target", "place", "total", "truncated")
 
 
 @query(f"""WITH {NODES_SQL}, prefixes AS (SELECT path AS prefix FROM nodes WHERE kind IN ('region', 'nation', 'customer'))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import traversal
 from .registry import query
@@ -45,16 +44,6 @@ def reach_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.reach(edges, least_user(edges)).agg(F.count(F.lit(1)).alias("reached"))
 
 
-@query(f"""WITH RECURSIVE {FOLLOWS_SQL}, seeds AS (SELECT DISTINCT source AS id FROM follows ORDER BY 1 LIMIT 10),
-{WALK.format(seed="seeds.id", start="FROM seeds", near="source", far="target", depth=2)}
-SELECT seed, id, min(depth) AS depth FROM walk GROUP BY seed, id""")
-def scenario_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scenarios in one walk: every row carries its seed."""
-    edges = follows(spark, sf_dir)
-    seeds = edges.select(F.col("source").alias("id")).distinct().orderBy("id").limit(10)
-    return traversal.reach(edges, seeds, 2)
-
-
 @query(f"""WITH {FOLLOWS_SQL}, t AS (SELECT min(target) AS id FROM follows), one AS (SELECT source, target FROM follows JOIN t ON target = t.id)
 SELECT target, source AS caller, 1 AS hops, source AS via FROM one
 UNION ALL SELECT o.target, f.source, 2, min(f.target) FROM one o JOIN follows f ON f.target = o.source
@@ -72,43 +61,6 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.ancestors(nodes(spark, sf_dir), 4)
 
 
-@query(f"""WITH {NODES_SQL}, l1 AS (SELECT n.id, row_number() OVER (ORDER BY n.id) AS r FROM nodes n WHERE kind = 'nation'),
-l2 AS (SELECT parent, id, row_number() OVER (PARTITION BY parent ORDER BY id) AS r FROM nodes WHERE kind = 'customer'),
-l3 AS (SELECT parent, id, row_number() OVER (PARTITION BY parent ORDER BY id) AS r FROM nodes WHERE kind = 'order')
-SELECT l1.id || '>' || l2.id || '>' || l3.id AS route FROM l1 JOIN l2 ON l2.parent = l1.id AND l2.r <= 6 JOIN l3 ON l3.parent = l2.id AND l3.r <= 6""")
-def routes_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes from nations to orders, at most six children at every step."""
-    g = nodes(spark, sf_dir).select("id", "kind", "parent")
-    child = lambda kind: g.where(F.col("kind") == kind).withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("id"))).where("r <= 6")
-    second = child("customer").select(F.col("parent").alias("a"), F.col("id").alias("b"))
-    third = child("order").select(F.col("parent").alias("b"), F.col("id").alias("c"))
-    first = g.where("kind = 'nation'").select(F.col("id").alias("a"))
-    return first.join(second, "a").join(third, "b").select(F.concat_ws(">", "a", "b", "c").alias("route"))
-
-
-@query(f"""WITH {FOLLOWS_SQL}, two AS (SELECT source, target FROM follows UNION SELECT a.source, b.target FROM follows a JOIN follows b ON a.target = b.source),
-r AS (SELECT source AS id, count(*) AS reach FROM two GROUP BY source), m AS (SELECT max(reach) AS top FROM r)
-SELECT id, reach, top FROM r, m WHERE reach * 10 >= top * 9 ORDER BY id LIMIT 1""")
-def trunk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of all starts that reach at least nine tenths of the widest reach within two steps."""
-    edges = follows(spark, sf_dir)
-    second = edges.join(edges.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target"))
-    reach = edges.unionByName(second).distinct().groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
-    top = reach.agg(F.max("reach").alias("top"))
-    return reach.join(F.broadcast(top), F.col("reach") * 10 >= F.col("top") * 9).orderBy("id").limit(1)
-
-
-@query()
-def trace_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A capped walk in edge order from the busiest supplier back to orders and on; at most 100 nodes and 500 edges."""
-    edges = uses(spark, sf_dir)
-    busiest = edges.where("kind = 'uses_supplier'").groupBy("target").count().orderBy(F.desc("count"), "target").first()
-    start = busiest[0] if busiest else "supplier:0"
-    found, kept, truncated = traversal.trace(edges, start, 2, 100, incoming=True)
-    rows = [(k, e[1], e[2], truncated, len(found)) for k, e in enumerate(kept)]
-    return spark.createDataFrame(rows, "place int, source string, target string, truncated boolean, nodes int")
-
-
 @query(f"""WITH {NODES_SQL}, {USES_SQL}, t AS (SELECT u.source, n.package FROM uses u JOIN nodes n ON u.target = n.id AND u.kind = 'uses_supplier')
 SELECT package, count(DISTINCT source) AS tests, count(*) AS links FROM t GROUP BY package""")
 def linked_tests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 G: nodes are regions, nations, customers, suppliers, orders and parts; a parent is the containing node; edges are
 contains (parent to child) and uses_part / uses_supplier (order to what its lines name).
-U: users follow one another within an event type and day.
+U: users follow one another within an event type and hour.
 L: page hosts link to the targets of their anchors.
 Snapshots: line items by line status, F before and O after, keyed by part and line number.
 """
@@ -59,13 +59,32 @@ homes AS (
 )"""
 
 
+def use_keys(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
+    """(kind, kind of the target, distinct source and target keys) of what orders use; keys are numbers."""
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = lambda k: lines.select(F.col("l_orderkey").alias("source"), F.col(k).alias("target")).distinct()
+    return [("uses_part", "part", pairs("l_partkey")), ("uses_supplier", "supplier", pairs("l_suppkey"))]
+
+
+def package_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """id (a number) and package of orders, suppliers and parts, as in ``nodes``."""
+    t = lambda name: table(spark, sf_dir, name)
+    home = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey", F.col("n_name").alias("package"))
+    customer = t("customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "package")
+    return {
+        "order": t("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), "package"),
+        "supplier": t("supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), "package"),
+        "part": t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("package")),
+    }
+
+
 def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source, target, kind of the distinct order -> part and order -> supplier relations."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    ends = F.array(*[F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(f"{to}:"), F.col(k).cast("string")).alias("target")) for kind, to, k in (("uses_part", "part", "l_partkey"), ("uses_supplier", "supplier", "l_suppkey"))])
-    out = lines.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("source"), F.explode(ends).alias("e"))
-    out = out.select("source", "e.target", "e.kind").distinct()
-    return out.withColumn("id", F.concat_ws(">", "source", "target"))
+    parts = []
+    for kind, to, keys in use_keys(spark, sf_dir):
+        named = keys.select(F.concat(F.lit("order:"), F.col("source").cast("string")).alias("source"), F.concat(F.lit(f"{to}:"), F.col("target").cast("string")).alias("target"))
+        parts.append(named.withColumn("kind", F.lit(kind)))
+    return parts[0].unionByName(parts[1]).withColumn("id", F.concat_ws(">", "source", "target"))
 
 
 USES_SQL = """
@@ -77,17 +96,33 @@ uses AS (
 
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target: users whose events follow one another within an event type and day."""
-    order = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
-    steps = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id").withColumn("source", F.lag("user_id").over(order))
-    return steps.where("source is not null and source <> user_id").select("source", F.col("user_id").alias("target")).distinct()
-
-
+    """source, target: users whose events follow one another within an event type and hour."""
+    return calls(spark, sf_dir, ()).where("source <> target").select("source", "target").distinct()
+
+
+def calls(spark: SparkSession, sf_dir: str, unknown: tuple[str, ...] = ("error", "signup")) -> DataFrame:
+    """id, source, target, resolution, kind: every event leads from the user before it, within an event type and hour, to
+    its own; that of an error is not resolved and that of a signup is external."""
+    order = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    steps = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").withColumn("source", F.lag("user_id").over(order))
+    target = F.when(~F.col("event_type").isin(list(unknown)), F.col("user_id")) if unknown else F.col("user_id")
+    resolution = F.when(F.col("event_type") == "error", "unresolved").when(F.col("event_type") == "signup", "external").otherwise("resolved")
+    return steps.where("source is not null").select(F.col("event_id").alias("id"), "source", target.alias("target"), resolution.alias("resolution"), F.col("event_type").alias("kind"))
+
+
+CALLS_SQL = """
+steps AS (
+  SELECT event_id, user_id, event_type, lag(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS source FROM events
+), calls AS MATERIALIZED (
+  SELECT event_id AS id, source, CASE WHEN event_type NOT IN ('error', 'signup') THEN user_id END AS target,
+         CASE event_type WHEN 'error' THEN 'unresolved' WHEN 'signup' THEN 'external' ELSE 'resolved' END AS resolution, event_type AS kind
+  FROM steps WHERE source IS NOT NULL
+)"""
 FOLLOWS_SQL = """
-follows AS MATERIALIZED (
-  SELECT DISTINCT source, target FROM (
-    SELECT lag(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS source, user_id AS target FROM events)
-  WHERE source IS NOT NULL AND source <> target
+steps AS (
+  SELECT event_id, user_id, lag(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS source FROM events
+), follows AS MATERIALIZED (
+  SELECT DISTINCT source, user_id AS target FROM steps WHERE source IS NOT NULL AND source <> user_id
 )"""
 
 
