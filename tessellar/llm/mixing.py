@@ -8,7 +8,8 @@ blocks by a seeded hash; blocks are taken in order up to the quota, and the bloc
 sort spans a source: the running sum over blocks has at most MAX_BLOCKS rows, and one block holds some n / MAX_BLOCKS.
 
 A document weighs its words plus one (its end), so empty texts are dealt too. A null source is the source "(none)".
-Rows that repeat a doc_id are dealt together. Empty input gives an empty result. Extra columns are carried.
+Rows that repeat a doc_id are dealt together and tie in order; very long texts weigh their words. Empty input gives an
+empty result. Extra columns are carried.
 """
 
 from __future__ import annotations
@@ -64,8 +65,10 @@ def mixing_plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float
     (block) and edge_key: in epoch ``whole``, documents of earlier blocks and of the edge block up to that key go in."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_CLASS)) + 1
     slim = keep(docs.select("doc_id", source_of().alias("source"), words.cast("long").alias("tokens")), "mix-slim")
-    sizes = keep(slim.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).coalesce(1), "mix-sizes")
+    sizes = keep(slim.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "mix-sizes")
     n_sources, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    one_file = lambda df: df.coalesce(1) if n_sources <= BROADCAST_SOURCES else df
+    sizes = keep(one_file(sizes), "mix-sizes")  # read again in each step
     budget = total if budget is None else budget
     a = solve_exponent(sizes, budget, total, n_sources, target, repeats) if total else 1.0
     power = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(a))
@@ -83,12 +86,12 @@ def mixing_plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float
     inside = inside.withColumn("used", F.sum("tokens").over(Window.partitionBy("source").orderBy("key")))  # peers share a doc_id
     cut = inside.where(F.col("used") <= F.col("room")).groupBy("source").agg(F.max("key").alias("edge_key"))
     plan = plan.join(edges.drop("room"), "source", "left").join(cut, "source", "left")
-    return keep(plan.withColumn("edge_key", F.coalesce("edge_key", F.lit(-1))).coalesce(1), "mix-plan"), n_sources, slim
+    return keep(one_file(plan.withColumn("edge_key", F.coalesce("edge_key", F.lit(-1)))), "mix-plan"), n_sources, slim
 
 
 def draw(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
-    """rows (doc_id, source, any more) repeated as the plan says, with epoch and block. Within an epoch, block is the
-    document's place in that epoch's block permutation."""
+    """rows (doc_id, source, any more) repeated as the plan says, with epoch, block and order_key. An epoch of a source is its
+    documents by block, and within a block by order_key: another permutation in every epoch."""
     inner = plan.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("n_blocks").alias("__blocks"), F.col("edge").alias("__edge"), F.col("edge_key").alias("__edge_key"))
     met = rows.join(broadcast_if(inner, n_sources, BROADCAST_SOURCES), source_of() == F.col("__source"))
     key = draw_key(F.col("__whole"))
@@ -96,11 +99,12 @@ def draw(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     extra = F.when((block < F.col("__edge")) | ((block == F.col("__edge")) & (key <= F.col("__edge_key"))), 1).otherwise(0)
     copies = (F.col("__whole") + extra).cast("int")
     met = met.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    return met.withColumn("block", draw_key(F.col("epoch")) % F.col("__blocks")).drop("__source", "__whole", "__blocks", "__edge", "__edge_key")
+    met = met.withColumn("order_key", draw_key(F.col("epoch")))
+    return met.withColumn("block", F.col("order_key") % F.col("__blocks")).drop("__source", "__whole", "__blocks", "__edge", "__edge_key")
 
 
 def mix_sources(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float = MAX_REPEATS, budget: int | None = None) -> DataFrame:
-    """doc_id, source, tokens, epoch, block: one row for each time that a document is dealt."""
+    """doc_id, source, tokens, epoch, block, order_key: one row for each time that a document is dealt."""
     plan, n, slim = mixing_plan(docs, target, repeats, budget)
     return draw(slim, plan, n)
 

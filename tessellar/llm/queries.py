@@ -123,9 +123,10 @@ WITH RECURSIVE slim AS (
 ), dealt AS (
   SELECT doc_id, source, tokens, n_blocks, unnest(range(CAST(n AS BIGINT))) AS epoch FROM copies
 )
-SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch,
-       CAST('0x' || substr(md5('{mixing.SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) % n_blocks AS block
-FROM dealt
+SELECT doc_id, source, tokens, epoch, order_key % n_blocks AS block, order_key
+FROM (SELECT doc_id, source, tokens, n_blocks, CAST(epoch AS INTEGER) AS epoch,
+             CAST('0x' || substr(md5('{mixing.SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS order_key
+      FROM dealt)
 """
 
 JACCARD_SQL = r"""
