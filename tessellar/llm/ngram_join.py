@@ -3,7 +3,7 @@
 A document is its set of distinct 5-word shingles, as 64-bit hashes. Two sets of Jaccard 0.8 or more share a token among
 the first n - ceil(0.8 n) + 1 tokens of each, in any order that is common to both. The work goes in stages:
 
-1. Equal sets fall into one class; only class representatives go on.
+1. Sets of equal size and equal 128-bit fingerprints fall into one class; only class representatives go on.
 2. Each representative shows a prefix in hash order that is a fifth longer than it needs. A token that more than FREQUENT
    of them show is frequent (passages that many documents share, or groups of copies) and goes behind all rare ones. The
    longer prefix has enough rare tokens for most documents; these are plain. The others are dense, and read whole.
@@ -20,12 +20,14 @@ the first n - ceil(0.8 n) + 1 tokens of each, in any order that is common to bot
    Pairs of different components in short lists are verified as pairs; long lists are compared block by block inside
    tasks, which return links only.
 
-Every link rests on an intersection of whole sets. No partner is dropped: only pairs already in one component are passed
-over.
+Every link between classes rests on an intersection of whole sets. No partner is dropped: only pairs already in one
+component are passed over.
 
 Words are runs of other than the six ASCII blanks, A-Z lower-cased. Null or blank text: the empty set, linked with
 nothing. Fewer than five words: the whole sequence is the one shingle. Rows are the vertices, so rows that repeat a
-doc_id are compared each, and a component's id is its smallest doc_id (nulls last). Empty input gives an empty result.
+doc_id are compared each, and a component's id is its smallest doc_id (nulls last). A very long text is one set; blocks of
+long lists are sized by tokens. Empty input gives an empty result; extra columns are ignored, and carried by
+``one_of_each``.
 """
 
 from __future__ import annotations
@@ -45,8 +47,8 @@ WORDS = 5
 PERCENT = 80
 #: A token of more documents than this is frequent; lists up to this length are compared pair by pair.
 FREQUENT = 32
-#: Documents in a block of a long list.
-BLOCK = 1500
+#: Documents and tokens (8 bytes each) in a block of a long list, on average.
+BLOCK, BLOCK_TOKENS = 1500, 2_000_000
 #: Up to so many wanted rows (at most 24 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -191,9 +193,10 @@ def link_blocks(rows: pd.DataFrame) -> pd.DataFrame:
 
 def long_lists(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components within long lists (head, v, c). Lists of one head are one; its documents are
-    dealt to blocks, and each pair of blocks is a group of bounded size."""
-    own = lists.select("head", "v", "c").distinct()
-    sized = own.join(own.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "head")
+    dealt to blocks, by their number and their tokens, and each pair of blocks is a group of bounded size."""
+    own = lists.select("head", "v", "c").distinct().join(sets.select("v", "n"), "v")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    sized = own.join(own.groupBy("head").agg(blocks.alias("blocks")), "head")
     dealt = sized.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "c")
     return dealt.join(sets.select("v", "tokens"), "v").groupBy("head", "i", "j").applyInPandas(link_blocks, "a long, b long")
