@@ -7,7 +7,8 @@ cut every ``length`` tokens. What is left at the end of a range is cut at powers
 is bounded by the sort, however many documents share a key: equal keys part by doc_id and by a hash of the ids.
 
 Null text is empty, and an empty document is its end token. Rows that repeat are packed each, with pieces of their own;
-rows equal in doc_id and ids are interchangeable. Empty input gives an empty result; extra columns are ignored.
+rows equal in doc_id and ids are interchangeable. A very long text is many pieces of neighbouring sequences. Empty input
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

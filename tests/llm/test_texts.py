@@ -104,6 +104,19 @@ def test_hilbert_steps_are_short():
     assert np.abs(np.diff(points[np.argsort(key)], axis=0)).sum(1).max() == 1
 
 
+def test_packed_neighbours_are_alike(spark):
+    """Documents of one kind of words lie together: neighbours along the curve share a kind far more often than by chance."""
+    rng = random.Random(6)
+    kinds = [[f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in x] for x in ("lmn", "prs", "tvz", "xyw")]
+    rows = [(i, " ".join(rng.choice(kinds[i % 4]) for _ in range(rng.randint(80, 200)))) for i in range(400)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), queries.bpe_path(), 256).collect()
+    by_sequence = defaultdict(set)
+    for p in pieces:
+        by_sequence[p.sequence_id].add(p.doc_id % 4)
+    shared = [s for s, docs in ((s, {p.doc_id for p in pieces if p.sequence_id == s}) for s in by_sequence) if len(docs) > 1]
+    assert sum(len(by_sequence[s]) == 1 for s in shared) > 0.6 * len(shared)
+
+
 def brute_rules(text):
     w = words(text)
     seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
