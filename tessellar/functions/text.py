@@ -65,3 +65,37 @@ def lines(text: Column) -> Column:
 def byte_position(text: Column, characters: Column) -> Column:
     """UTF-8 bytes of the first so many characters."""
     return F.octet_length(text.substr(F.lit(1), characters))
+
+
+def line_of(text: Column, position: Column) -> Column:
+    """1-based line of a 1-based character position; null where the position is not above 0."""
+    before = text.substr(F.lit(1), position - 1)
+    return F.when(position > 0, F.length(before) - F.length(F.translate(before, "\n", "")) + 1)
+
+
+def column_of(text: Column, position: Column) -> Column:
+    """1-based column, in characters, of a 1-based character position."""
+    before = text.substr(F.lit(1), position - 1)
+    return F.when(position > 0, F.length(F.substring_index(before, "\n", -1)) + 1)
+
+
+def evidence_of(text: Column, needle: Column) -> Column:
+    """Where a needle first stands: bytes from and to, line and column; null where it does not."""
+    at = F.position(needle, text)
+    start = byte_position(text, at - 1)
+    span = F.struct(start.alias("start_byte"), (start + F.octet_length(needle)).alias("end_byte"), line_of(text, at).alias("line"), column_of(text, at).alias("column"))
+    return F.when(at > 0, span)
+
+
+def path_link(path: Column) -> Column:
+    """Percent-encoded but for slashes."""
+    encoded = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    return F.replace(F.replace(F.replace(encoded, F.lit("%2F"), F.lit("/")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def narrowed(reference: Column, n_lines: Column) -> Column:
+    """id, first and last of a reference id#L2-L9 or id#L2, within n_lines; null where it points outside."""
+    part = lambda k: F.nullif(F.regexp_extract(reference, "^([^#]+)#L([0-9]+)(?:-L([0-9]+))?$", k), F.lit(""))
+    first, last = part(2).cast("long"), F.coalesce(part(3), part(2)).cast("long")
+    whole = F.struct(part(1).alias("id"), first.alias("first"), last.alias("last"))
+    return F.when((first >= 1) & (first <= last) & (last <= n_lines), whole)

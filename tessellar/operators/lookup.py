@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.predicates import like_literal
 
@@ -45,3 +46,23 @@ def symbols(nodes: DataFrame, package: str | None = None, path: str | None = Non
         found = found.where(F.col(column).startswith(start)) if start else found
     found = found.where(F.col("kind") == kind) if kind else found
     return page(found, [F.asc("path"), F.asc("id")], offset, limit)
+
+
+def inspect(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, around: int = 50) -> DataFrame:
+    """section, place, id, other, kind, truncated: the candidates of a query, or its one node with up to ``around`` edges on
+    each side. Only the candidates, of which there are limit + 1 at most, are looked at before the edges are."""
+    found = find_nodes(nodes, query, limit + 1).select("id", "qualified", "kind").collect()
+    spark = nodes.sparkSession
+    schema = "section string, place int, id string, other string, kind string, truncated boolean"
+    if len(found) != 1:
+        rows = [("candidate", k, r.id, r.qualified, r.kind, len(found) > limit) for k, r in enumerate(found[:limit], 1)]
+        return spark.createDataFrame(rows, schema)
+    node = found[0]
+    out = spark.createDataFrame([("node", 1, node.id, node.qualified, node.kind, False)], schema)
+    for section, near, far in (("outgoing", "source", "target"), ("incoming", "target", "source")):
+        side = edges.where(F.col(near) == node.id).orderBy("id").limit(around + 1)
+        placed = side.withColumn("place", F.row_number().over(Window.orderBy("id")))
+        size = F.count(F.lit(1)).over(Window.partitionBy())
+        part = placed.withColumn("truncated", size > around).where(F.col("place") <= around)
+        out = out.unionByName(part.select(F.lit(section).alias("section"), "place", "id", F.col(far).alias("other"), "kind", "truncated"))
+    return out

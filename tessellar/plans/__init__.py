@@ -1,6 +1,6 @@
 """Queries bound to the tables: views of them as graphs and snapshots, and one registered query for each operator."""
 
-from . import graph_queries, report_queries, scope_queries, snapshot_queries, text_queries, traversal_queries, walk_queries
+from . import evidence_queries, flow_queries, graph_queries, report_queries, scope_queries, snapshot_queries, text_queries, traversal_queries, walk_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "report_queries", "scope_queries", "snapshot_queries", "text_queries", "traversal_queries", "walk_queries"]
+__all__ = ["ORACLES", "QUERIES", "evidence_queries", "flow_queries", "graph_queries", "report_queries", "scope_queries", "snapshot_queries", "text_queries", "traversal_queries", "walk_queries"]
