@@ -23,3 +23,8 @@ def validity(evidence: DataFrame, current: DataFrame, key: str, value: str) -> D
     """evidence rows with valid: is the value stored with them still the current one?"""
     now = current.select(key, F.col(value).alias("__now"))
     return evidence.join(now, key, "left").withColumn("valid", F.col(value).eqNullSafe(F.col("__now"))).drop("__now")
+
+
+def appeared(absent: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """Keys that were noted as absent and are there now."""
+    return current.select(key).join(absent.select(key).distinct(), key, "left_semi")

@@ -45,7 +45,7 @@ def two_hops(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
     """id, ancestor, distance along parent references of a forest no deeper than depth: one join a level."""
-    parents = nodes.where("parent is not null").select("id", "parent")
+    parents = keep(nodes.where("parent is not null").select("id", "parent"), "parents")  # each level reads it again
     level = parents.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     out, up = level, parents.toDF("ancestor", "next")
     for k in range(2, depth + 1):

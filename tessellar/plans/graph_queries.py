@@ -141,10 +141,11 @@ def glob_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.members(nodes(spark, sf_dir).select("path"), ["parts/*", "*/supplier/*"], ["parts/Brand#2*"])
 
 
-@query(f"{WITH_G} SELECT n.id, n.kind FROM nodes n WHERE n.kind IN ('part', 'supplier') AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.target = n.id)")
+@query(f"{WITH_G} SELECT n.id, n.package FROM nodes n WHERE n.kind = 'order' AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.source = n.id)")
 def no_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = nodes(spark, sf_dir).where("kind in ('part', 'supplier')").select("id", "kind")
-    return candidates.join(uses(spark, sf_dir).select(F.col("target").alias("id")), "id", "left_anti")
+    """Orders that nothing leads to, seen from the parts: the relations are turned round."""
+    turned = uses(spark, sf_dir).select(F.col("source").alias("id"))
+    return nodes(spark, sf_dir).where("kind = 'order'").select("id", "package").join(turned, "id", "left_anti")
 
 
 @query("""SELECT p_name AS name, min(p_partkey) AS part FROM part GROUP BY p_name HAVING count(*) = 1

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import aggregates, diff
+from ..operators import aggregates, diff, traversal
 from .registry import query
-from .views import LINKS_SQL, NODES_SQL, SNAPSHOTS_SQL, USES_SQL, links, nodes, snapshots, table, uses
+from .views import LINKS_SQL, NODES_SQL, SNAPSHOTS_SQL, USES_SQL, links, nodes, package_keys, snapshots, table, use_keys, uses
 
 
 @query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
@@ -87,8 +87,15 @@ def checklist_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM uses u JOIN nodes s ON u.source = s.id JOIN nodes t ON u.target = t.id GROUP BY ALL""")
 def package_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations once for each pair and kind, with their first evidence."""
-    met = aggregates.located_edges(uses(spark, sf_dir), nodes(spark, sf_dir))
-    return met.groupBy(F.col("source_package").alias("source"), F.col("target_package").alias("target"), "kind").agg(F.min("id").alias("evidence"), F.count_distinct(F.col("source")).alias("callers"))
+    packages, out = package_keys(spark, sf_dir), None
+    for kind, to, keys in use_keys(spark, sf_dir):
+        met = aggregates.located_edges(keys, packages["order"], targets=packages[to])
+        callers = met.select("source_package", "target_package", "source").distinct().groupBy("source_package", "target_package").agg(F.count(F.lit(1)).alias("callers"))
+        name = F.concat(F.lit("order:"), F.col("source").cast("string"), F.lit(f">{to}:"), F.col("target").cast("string"))
+        first = met.groupBy("source_package", "target_package").agg(F.min(name).alias("evidence"))
+        part = first.join(callers, ["source_package", "target_package"]).select(F.col("source_package").alias("source"), F.col("target_package").alias("target"), F.lit(kind).alias("kind"), "evidence", "callers")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""WITH m AS (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY conv_id), s AS (
@@ -102,28 +109,26 @@ def mark_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("marks"), F.count_if(F.col("hash") != F.col("now")).alias("needs_review"))
 
 
-@query(f"""WITH {NODES_SQL}, scope AS (SELECT id FROM nodes WHERE kind <> 'part' AND (contains(package, 'NATION_1') OR contains(path, 'NATION_1') OR id = 'region:0')),
-up AS (SELECT s.id FROM scope s UNION SELECT n.parent FROM scope s JOIN nodes n ON n.id = s.id WHERE n.parent IS NOT NULL)
+@query(f"""WITH RECURSIVE {NODES_SQL}, scope AS (SELECT id FROM nodes WHERE kind <> 'part' AND (contains(package, 'NATION_1') OR contains(path, 'NATION_1') OR id = 'region:0')),
+up AS (SELECT s.id FROM scope s UNION SELECT n.parent FROM up JOIN nodes n ON n.id = up.id WHERE n.parent IS NOT NULL)
 SELECT n.kind, count(*) AS n FROM up JOIN nodes n ON n.id = up.id GROUP BY n.kind""")
 def scope_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes in a scope and their direct parents."""
+    """Nodes in a scope and all that contain them, by kind."""
     g = nodes(spark, sf_dir)
     scope = g.where((F.col("kind") != "part") & (F.col("package").contains("NATION_1") | F.col("path").contains("NATION_1") | (F.col("id") == "region:0")))
-    ids = scope.select("id").unionByName(scope.where("parent is not null").select(F.col("parent").alias("id"))).distinct()
+    above = traversal.ancestors(g, 4).join(scope.select("id"), "id", "left_semi").select(F.col("ancestor").alias("id"))
+    ids = scope.select("id").unionByName(above).distinct()
     return g.join(ids, "id", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {NODES_SQL}, own AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderpriority END AS a0 FROM orders)
-SELECT 'order:' || o_orderkey AS id, coalesce(a0, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END, n_name) AS value,
-  CASE WHEN a0 IS NOT NULL THEN 0 WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 2 END AS distance
-FROM own JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+@query(f"""WITH RECURSIVE {NODES_SQL}, own AS (SELECT id, parent, CASE WHEN kind = 'order' AND name LIKE '1%' OR kind = 'customer' AND name LIKE '%3' OR kind IN ('nation', 'region') AND name LIKE '%1%' THEN name END AS v FROM nodes WHERE kind <> 'part'),
+up(id, base, v, hops) AS (SELECT id, parent, v, 0 FROM own UNION ALL SELECT u.id, o.parent, o.v, u.hops + 1 FROM up u JOIN own o ON u.base = o.id WHERE u.v IS NULL AND u.hops < 6)
+SELECT o.id, max(u.v) AS value, min(u.hops) FILTER (u.v IS NOT NULL) AS distance FROM own o JOIN up u USING (id) GROUP BY o.id""")
 def inherited_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value that a node has itself or takes from the nearest ancestor that has one."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).alias("a0"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("a1"))
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("a2"))
-    met = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return met.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), F.coalesce("a0", "a1", "a2").alias("value"), F.when(F.col("a0").isNotNull(), 0).when(F.col("a1").isNotNull(), 1).otherwise(2).alias("distance"))
+    """A value that a node has itself or takes from the nearest ancestor that has one, six steps away at most."""
+    own, name = nodes(spark, sf_dir).where("kind <> 'part'"), F.col("name")
+    has = ((F.col("kind") == "order") & name.startswith("1")) | ((F.col("kind") == "customer") & name.endswith("3")) | (F.col("kind").isin("nation", "region") & name.contains("1"))
+    return traversal.first_above(own.select("id"), own.where("parent is not null").select("id", "parent"), own.select("id", F.when(has, name).alias("value")), 6)
 
 
 @query("""SELECT l_returnflag AS dimension, order_key, part, total, CASE WHEN total > 100 THEN 100 END AS next_offset FROM (

@@ -32,13 +32,16 @@ def diff_batch_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.by_key(before, after, "key", "fingerprint")
 
 
-FILES_SQL = f"""{WITH_S}, bf AS (SELECT part AS path, string_agg(fingerprint, ',' ORDER BY fingerprint) AS hash FROM b GROUP BY part),
-hf AS (SELECT part AS path, string_agg(fingerprint, ',' ORDER BY fingerprint) AS hash FROM h GROUP BY part)"""
+FILES_SQL = f"""{WITH_S},
+bf AS (SELECT part AS path, CAST(sum(CAST(CAST('0x' || left(fingerprint, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '/' || count(*) AS hash FROM b GROUP BY part),
+hf AS (SELECT part AS path, CAST(sum(CAST(CAST('0x' || left(fingerprint, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '/' || count(*) AS hash FROM h GROUP BY part)"""
 
 
 def files(snapshot: DataFrame) -> DataFrame:
-    """path (part), hash over the sorted fingerprints of its lines."""
-    return snapshot.groupBy(F.col("part").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("fingerprint")), ",").alias("hash"))
+    """path (part), hash: the sum and count of the fingerprints of its lines, which needs no list and no order."""
+    number = F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("decimal(20,0)")
+    whole = F.concat_ws("/", F.sum(number).cast("decimal(30,0)").cast("string"), F.count(F.lit(1)).cast("string"))
+    return snapshot.groupBy(F.col("part").alias("path")).agg(whole.alias("hash"))
 
 
 @query(f"""{FILES_SQL} SELECT coalesce(bf.path, hf.path) AS path, CASE WHEN bf.path IS NULL THEN 'added' WHEN hf.path IS NULL THEN 'removed' ELSE 'modified' END AS state
@@ -114,16 +117,22 @@ def revision_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.next_revision(said, seen.select("conv_id"), "conv_id", "turn").join(seen, "conv_id")
 
 
-@query("""WITH now AS (SELECT doc_id, sha256(text) AS h FROM documents), stored AS (
-  SELECT l.doc_id, sha256(b.text) AS h, b.item_id FROM labels l JOIN benchmark b ON l.doc_id = b.item_id)
-SELECT s.doc_id, s.item_id, s.h IS NOT DISTINCT FROM n.h AS valid, n.doc_id IS NULL AS absent FROM stored s LEFT JOIN now n ON s.doc_id = n.doc_id""")
+@query("""WITH now AS (SELECT doc_id, sha256(text) AS h FROM documents),
+stored AS (SELECT l.doc_id * 2 AS doc_id, sha256(CASE WHEN quality = 1 THEN d.text ELSE lower(d.text) END) AS h FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 2)
+SELECT s.doc_id, n.doc_id IS NOT NULL AND s.h IS NOT DISTINCT FROM n.h AS valid, n.doc_id IS NULL AS absent FROM stored s LEFT JOIN now n ON s.doc_id = n.doc_id
+UNION ALL SELECT doc_id, false, false FROM now WHERE doc_id IN (SELECT DISTINCT conv_id * 3 FROM conversations)""")
 def evidence_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored evidence against the current content: does its hash still hold, is its document still there?"""
-    hashed = lambda df, key: df.select(F.col(key).alias("doc_id"), F.sha2("text", 256).alias("h"))
-    stored = table(spark, sf_dir, "labels").select("doc_id").join(hashed(table(spark, sf_dir, "benchmark"), "item_id"), "doc_id").withColumn("item_id", F.col("doc_id"))
-    current = hashed(table(spark, sf_dir, "documents"), "doc_id")
-    checked = records.validity(stored, current, "doc_id", "h")
-    return checked.join(current.select("doc_id", F.lit(False).alias("there")), "doc_id", "left").select("doc_id", "item_id", "valid", F.col("there").isNull().alias("absent"))
+    """Stored evidence against current contents: hashes that no longer hold, documents that are gone, and documents that
+    are there although they were noted as absent. The notes are made from the labels, in lower case where quality is 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    noted = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("doc_id"), "quality").join(docs, "doc_id", "left")
+    stored = noted.select("doc_id", F.sha2(F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lower("text")), 256).alias("h"))
+    current = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    checked = records.validity(stored, current.withColumn("there", F.lit(True)), "doc_id", "h")
+    appeared = records.appeared(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 3).alias("doc_id")), current, "doc_id")
+    rows = checked.join(current.select("doc_id", F.lit(True).alias("there")), "doc_id", "left").withColumn("absent", F.col("there").isNull())
+    rows = rows.select("doc_id", (F.col("valid") & ~F.col("absent")).alias("valid"), "absent")
+    return rows.unionByName(appeared.select("doc_id", F.lit(False).alias("valid"), F.lit(False).alias("absent")))
 
 
 @query("""WITH e AS (SELECT l_orderkey AS k, 'part:' || l_partkey || '#' || l_linenumber AS v FROM lineitem)

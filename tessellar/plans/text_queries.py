@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import predicates as p
 from ..functions import text as tx
+from ..operators import aggregates, mentions
 from .registry import query
 from .views import LINKS_SQL, links, table
 
@@ -44,10 +44,10 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.concat(base, ending).alias("path"))
 
 
-@query(f"""WITH f AS (SELECT page_id, {PATH_SQL} AS path FROM pages)
-SELECT page_id, path, page_id % 6 IN (0, 1, 2, 4) AS admitted,
-  CASE page_id % 6 WHEN 0 THEN 'documentation' WHEN 2 THEN 'deployment' WHEN 3 THEN 'configuration' WHEN 4 THEN 'documentation' END AS kind,
-  string_split(path, '/')[-1] AS short, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent FROM f""")
+@query(f"""WITH f AS (SELECT page_id, {PATH_SQL} AS path, string_split(path, '/')[-1] AS name FROM pages)
+SELECT page_id, path, regexp_matches(path, '\\.(md|py)$') OR name = 'Dockerfile' OR regexp_matches(path, '(^|/)docs/.*\\.txt$') AS admitted,
+  CASE WHEN regexp_matches(name, '^package-lock\\.json$') THEN 'configuration' WHEN name = 'Dockerfile' THEN 'deployment' WHEN regexp_matches(name, '\\.md$') OR regexp_matches(path, '(^|/)docs/') THEN 'documentation' END AS kind,
+  name AS short, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent FROM f""")
 def path_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
     return page_paths(spark, sf_dir).select("page_id", "path", p.admitted(path).alias("admitted"), p.artifact_kind(path).alias("kind"), tx.short_path(path).alias("short"), tx.parent_path(path).alias("parent"))
@@ -110,28 +110,19 @@ def purpose_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "first_line", F.when(stop > 0, stop - 1).otherwise(F.size(tail)).cast("int").alias("n_lines"))
 
 
-@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))""")
+@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def doc_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first 60 characters of a declared text literally. The declared texts are a bounded list
-    (a stated query set against all rows); it is broadcast while its size is checked to be small, else split in blocks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    needles = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
-    if needles.count() > 10_000:
-        needles = needles.repartition(64, "item_id")
-        return docs.join(needles, F.expr("contains(text, needle)")).select("doc_id", "item_id")
-    return docs.join(F.broadcast(needles), F.expr("contains(text, needle)")).select("doc_id", "item_id")
+    """Documents that hold a declared text literally and whole."""
+    docs, declared = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return mentions.literal(docs, declared, "text", "needle").select("doc_id", "item_id")
 
 
 @query("""SELECT doc_id, source, used, CAST(least(n, 24000 - (used - n)) AS BIGINT) AS taken FROM (
   SELECT doc_id, source, n, CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used FROM (SELECT doc_id, source, least(length(text), 4000) AS n FROM documents)) WHERE used - n < 24000""")
 def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source fills a budget of 24,000 characters with its documents in order, at most 4,000 of each; the last is
-    clamped. Only rows that can still count are kept before the running sum: with n empty ones left out of account, no
-    more than 24,000 documents of a source matter."""
-    capped = table(spark, sf_dir, "documents").select("doc_id", "source", F.least(F.length("text"), F.lit(4000)).cast("long").alias("n"))
-    used = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id"))
-    out = capped.withColumn("used", used).where(F.col("used") - F.col("n") < 24000)
-    return out.select("doc_id", "source", "used", F.least(F.col("n"), F.lit(24000) - (F.col("used") - F.col("n"))).cast("long").alias("taken"))
+    """Each source fills a budget of 24,000 characters with its documents in order, at most 4,000 of each; the last is clamped."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", F.least(F.length("text"), F.lit(4000)).cast("long").alias("n"))
+    return aggregates.within_budget(sized, "source", "doc_id", "n", 24_000).select("doc_id", "source", "used", "taken")
 
 
 @query(r"""SELECT item_id, left(t, 40) || CASE WHEN length(t) > 40 THEN '…' ELSE '' END AS line, regexp_replace(left(t, 40), '([\\`*_\[\]<>])', '\\\1', 'g') AS md

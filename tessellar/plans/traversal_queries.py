@@ -68,3 +68,16 @@ def linked_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = nodes(spark, sf_dir).select(F.col("id").alias("target"), "package")
     met = uses(spark, sf_dir).where("kind = 'uses_supplier'").join(where, "target")
     return met.groupBy("package").agg(F.count_distinct("source").alias("tests"), F.count(F.lit(1)).alias("links"))
+
+
+@query(f"""WITH {FOLLOWS_SQL}, two AS (SELECT source, target FROM follows UNION SELECT a.source, b.target FROM follows a JOIN follows b ON a.target = b.source),
+r AS (SELECT source AS id, least(count(*), 400) AS reach FROM two WHERE source <> target GROUP BY source), m AS (SELECT max(reach) AS top FROM r)
+SELECT id, reach, top FROM r, m WHERE reach * 10 >= top * 9 ORDER BY id LIMIT 1""")
+def trunk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of all starts that reach at least nine tenths of the widest reach within two steps; reaches are cut at 400,
+    so that a start never holds more."""
+    edges = follows(spark, sf_dir).withColumn("id", F.col("target"))
+    walk = traversal.reach_capped(edges, edges.select(F.col("source").alias("id")), 400, 2)
+    reach = walk.nodes.where("id <> seed").groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
+    top = reach.agg(F.max("reach").alias("top"))
+    return reach.join(F.broadcast(top), F.col("reach") * 10 >= F.col("top") * 9).orderBy("id").limit(1)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tomllib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.rules import owners
 
@@ -54,9 +57,13 @@ def manifests(files: DataFrame) -> DataFrame:
     """manifest, root and the rows of ``declared`` for each manifest among files (path, content)."""
     wanted = files.where(F.regexp(F.col("path"), F.lit(r"(^|/)(Cargo\.toml|pyproject\.toml|requirements[^/]*\.txt)$")))
 
-    @F.udf(f"array<struct<{ROW.replace(' string', ':string').replace(' boolean', ':boolean')}>>")
-    def rows(path, content):
-        return declared(path, content)
+    schema = T._parse_datatype_string(ROW)
+    arrow = pa.list_(to_arrow_type(schema))
+
+    @F.arrow_udf(T.ArrayType(schema))
+    def rows(paths: pa.Array, contents: pa.Array) -> pa.Array:
+        both = zip(paths.to_pylist(), contents.to_pylist(), strict=True)
+        return pa.array([[dict(zip(schema.names, r, strict=True)) for r in declared(p, c)] for p, c in both], arrow)
 
     out = wanted.select(F.col("path").alias("manifest"), F.explode(rows("path", "content")).alias("r")).select("manifest", "r.*")
     return out.withColumn("root", F.regexp_extract("manifest", "^(.*)/[^/]*$", 1))

@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.predicates import admitted
 
 BLOBS_A_PARTITION = 500
+# Fixed value: larger blobs are not read.
+MAX_BYTES = 32 << 20
 
 
 def git(root: str, *args: str, given: bytes | None = None) -> bytes:
@@ -19,29 +21,31 @@ def git(root: str, *args: str, given: bytes | None = None) -> bytes:
 
 
 class RevisionReader(DataSourceReader):
-    """The driver lists the tree once; each partition asks one child process for its blobs."""
+    """The driver lists the tree below root once; each partition asks one child process for its blobs, and holds one of them
+    at a time."""
 
     def __init__(self, root: str, revision: str):
         self.root = root
-        self.commit = git(root, "rev-parse", "--verify", f"{revision}^{{commit}}").decode().strip()
+        self.commit = git(root, "rev-parse", "--verify", "--end-of-options", f"{revision}^{{commit}}").decode().strip()
 
     def partitions(self) -> list[InputPartition]:
         listed = []
-        for entry in git(self.root, "ls-tree", "-rz", "--full-tree", self.commit).split(b"\0"):
+        for entry in git(self.root, "ls-tree", "-rzl", self.commit).split(b"\0"):
             meta, _, path = entry.partition(b"\t")
-            mode, kind, blob = (meta.split() + [b""] * 3)[:3]
-            if kind == b"blob" and mode != b"120000":  # no links
+            mode, kind, blob, size = (meta.split() + [b""] * 4)[:4]
+            if kind == b"blob" and mode != b"120000" and int(size) <= MAX_BYTES:  # no links
                 listed.append((blob.decode(), path))
         return [InputPartition(listed[i : i + BLOBS_A_PARTITION]) for i in range(0, len(listed), BLOBS_A_PARTITION)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, bytes]]:
-        out = git(self.root, "cat-file", "--batch", given="".join(f"{b}\n" for b, _ in partition.value).encode())
-        at = 0
-        for _, path in partition.value:
-            end = out.index(b"\n", at)
-            size = int(out[at:end].split()[2])
-            yield path.decode("utf-8", "surrogateescape"), out[end + 1 : end + 1 + size]
-            at = end + size + 2
+        with subprocess.Popen(["git", "--no-optional-locks", "-C", self.root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as child:
+            for blob, path in partition.value:
+                child.stdin.write(f"{blob}\n".encode())
+                child.stdin.flush()
+                size = int(child.stdout.readline().split()[2])
+                yield path.decode("utf-8", "surrogateescape"), child.stdout.read(size)
+                child.stdout.read(1)
+            child.stdin.close()
 
 
 class RevisionSource(DataSource):

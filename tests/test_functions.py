@@ -83,8 +83,10 @@ def test_rules_and_owners(spark):
     assert [r.path for r in rules.members(paths, ["a/*"], ["*/x"]).collect()] == ["a/b/c"]
     nodes = spark.createDataFrame([("1", "ui/a.rs"), ("2", "db/b.rs")], "id string, path string")
     edges = spark.createDataFrame([("1", "2", "calls"), ("2", "1", "calls"), ("1", None, "calls")], "source string, target string, kind string")
-    declared = spark.createDataFrame([(0, "ui/*", "db/?.rs")], "position int, from_glob string, to_glob string")
-    assert [(r.source, r.target) for r in rules.violations(edges, nodes, declared).collect()] == [("1", "2")]
+    declared = [(0, "ui/*", "db/?.rs"), (1, "*", "db/*"), (2, "db.b.rs", "*")]
+    found = rules.violations(edges.withColumn("id", F.concat_ws(">", "source", "target")), nodes, declared)
+    assert {(r.position, r.source, r.target) for r in found.collect()} == {(0, "1", "2"), (1, "1", "2")}
+    assert [(r.place, r.position, r.total, r.truncated) for r in rules.first_findings(found, 1).collect()] == [(1, 0, 2, True)]
 
 
 def test_intervals(spark):
@@ -95,12 +97,8 @@ def test_intervals(spark):
     assert {(r.at, r.v) for r in intervals.preceding(points, right, "key", "at", "v").collect()} == {(5, 1), (50, 2)}
 
 
-def test_trace_caps(spark):
+def test_reach_and_hops(spark):
     edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "a", "c"), ("e3", "a", None), ("e4", "b", "a"), ("e5", "c", "d")], "id string, source string, target string")
-    assert traversal.trace(edges, "a", 1, 10) == (["a", "b", "c"], [("e1", "a", "b"), ("e2", "a", "c"), ("e3", "a", None)], True)
-    nodes, kept, cut = traversal.trace(edges, "a", 2, 2)
-    assert nodes == ["a", "b"] and cut and ("e2", "a", "c") not in kept
-    assert traversal.trace(edges, "d", 2, 10, incoming=True)[0] == ["d", "c", "a"]
     found = traversal.reach(edges, spark.createDataFrame([("a",)], "id string"))
     assert {(r.id, r.depth) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
     hops = traversal.two_hops(edges, spark.createDataFrame([("d",)], "id string"))
@@ -140,7 +138,58 @@ def test_shared_folder_where_none_is_set(spark):
     from tessellar import storage
 
     held = {"conf": SimpleNamespace(get=lambda k, d: None), "sparkContext": SimpleNamespace(getCheckpointDir=lambda: held["dir"], setCheckpointDir=lambda x: held.update(dir=x)), "dir": None}
+    held["sparkContext"].master = "local[2]"
     fake = SimpleNamespace(**{k: held[k] for k in ("conf", "sparkContext")})
     first = storage.shared_dir(fake)
     assert first.startswith("file:///") and storage.shared_dir(fake) == first
+    held["sparkContext"].master, held["dir"] = "spark://host:7077", None
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(fake)
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", None).rstrip("/")
+
+
+def test_mentions(spark):
+    texts = spark.createDataFrame([(1, "xone two three four five sixth"), (2, "one two three four five six"), (3, "a b"), (4, "one  two three four five six"), (5, None)], "id int, text string")
+    declared = spark.createDataFrame([("long", "one two three four five six"), ("short", "a b"), ("part", "ne two three four five six"), ("gone", None), ("none", "one two six")], "name string, needle string")
+    from tessellar.operators import mentions
+
+    want = {(1, "long"), (2, "long"), (3, "short"), (1, "part"), (2, "part")}
+    assert {(r.id, r.name) for r in mentions.literal(texts, declared, "text", "needle").collect()} == want
+
+
+def test_budget(spark):
+    rows = [("a", k, n) for k, n in enumerate([3, 0, 4, 0, 5, 9, 1])] + [("b", 1, 2), (None, 7, 20), (None, 8, 1)]
+    got = aggregates.within_budget(spark.createDataFrame(rows, "key string, at int, n long"), "key", "at", "n", 10).collect()
+    assert {(r.key, r.at, r.used, r.taken) for r in got} == {("a", 0, 3, 3), ("a", 1, 3, 0), ("a", 2, 7, 4), ("a", 3, 7, 0), ("a", 4, 12, 3), ("b", 1, 2, 2), (None, 7, 20, 10)}
+
+
+def test_positions_and_references(spark):
+    text = F.lit("ä b\n\nx needle é")
+    found = value(spark, tx.evidence_of(text, F.lit("needle")))
+    assert (found.start_byte, found.end_byte, found.line, found.column) == (8, 14, 3, 3)
+    assert value(spark, tx.evidence_of(text, F.lit("absent"))) is None
+    for reference, lines, want in (("f#L2-L9", 9, ("f", 2, 9)), ("f#L3", 9, ("f", 3, 3)), ("f#L2-L9", 8, None), ("f#L5-L4", 9, None), ("f", 9, None), ("f#L0", 9, None)):
+        got = value(spark, tx.narrowed(F.lit(reference), F.lit(lines)))
+        assert (got and tuple(got)) == want
+    assert value(spark, tx.path_link(F.lit("a b/ü*~.rs"))) == "a%20b/%C3%BC%2A~.rs"
+
+
+def test_scope_predicates(spark):
+    from tessellar.functions import scope
+
+    for path, want in (("src/a.rs", True), ("a/.git/b.py", False), ("vendor/x.py", False), ("README.MD", True), ("x/Cargo.toml", True), ("cargo.toml", False), ("a.txt", False)):
+        assert value(spark, scope.explanation_material(F.lit(path))) is want, path
+    for call, want in (("std::env::var", True), ("open", True), ("opened", False), ("os.path", False), ("subprocess.run", True)):
+        assert value(spark, scope.runtime_boundary(F.lit(call))) is want
+    for a, b, want in (("a/b", "a", True), ("a", "a/b", True), ("ab", "a", False), ("x", "x", True)):
+        assert value(spark, scope.paths_related(F.lit(a), F.lit(b))) is want
+
+
+def test_inspect(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "p", f"p/n{k}", "same" if k > 2 else f"name{k}", "f", None) for k in range(30)], "id string, package string, qualified string, name string, kind string, path string")
+    edges = spark.createDataFrame([(f"e{k:02d}", "n1", f"n{k % 30}", "calls") for k in range(60)] + [("x", "n5", "n1", "calls")], "id string, source string, target string, kind string")
+    out = lookup.inspect(nodes, edges, "name1").collect()
+    assert [r.section for r in out].count("outgoing") == 50 and all(r.truncated for r in out if r.section == "outgoing")
+    assert [r.id for r in out if r.section == "incoming"] == ["e01", "e31", "x"]
+    several = lookup.inspect(nodes, edges, "same").collect()
+    assert len(several) == 20 and all(r.section == "candidate" and r.truncated for r in several)
