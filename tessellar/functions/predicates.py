@@ -101,3 +101,38 @@ def component(path: Column, root: Column) -> Column:
     stem = F.regexp_replace(first, r"\.[^.]*$", "")
     plain = F.when(~first.contains("."), first).when(stem.isin("lib", "main", "mod", "__init__", "__main__"), "core").otherwise(stem)
     return F.when(under.startswith("tests/"), "tests").when(under.startswith("examples/"), "examples").otherwise(plain)
+
+
+# Names of statuses.
+STATUS_NAMES = {
+    "OK": 200, "CREATED": 201, "ACCEPTED": 202, "NO_CONTENT": 204, "BAD_REQUEST": 400, "UNAUTHORIZED": 401, "FORBIDDEN": 403, "NOT_FOUND": 404,
+    "METHOD_NOT_ALLOWED": 405, "CONFLICT": 409, "GONE": 410, "PAYLOAD_TOO_LARGE": 413, "UNSUPPORTED_MEDIA_TYPE": 415, "UNPROCESSABLE_ENTITY": 422,
+    "TOO_MANY_REQUESTS": 429, "INTERNAL_SERVER_ERROR": 500, "NOT_IMPLEMENTED": 501, "BAD_GATEWAY": 502, "SERVICE_UNAVAILABLE": 503, "GATEWAY_TIMEOUT": 504,
+}
+# What a project's root manifest, or else the endings of its files, say about its language.
+LANGUAGE_MANIFESTS = {"Cargo.toml": "rust", "pyproject.toml": "python", "setup.cfg": "python", "setup.py": "python"}
+LANGUAGE_ENDINGS = {"rs": "rust", "py": "python", "pyi": "python"}
+
+
+def status_constant(path: Column) -> Column:
+    """The number of StatusCode::NAME; null for other paths and names."""
+    named = F.create_map(*[F.lit(v) for pair in STATUS_NAMES.items() for v in pair])
+    return F.when(path.contains("StatusCode"), F.try_element_at(named, F.element_at(F.split(path, "::"), -1)))
+
+
+def status_value(text: Column) -> Column:
+    """An error status written as a number or as HTTP_nnn_NAME behind the last dot; else null."""
+    plain = F.trim(text).rlike("^[+-]?[0-9]+$")
+    named = F.regexp_extract(F.element_at(F.split(text, r"\."), -1), "^HTTP_([0-9]+)", 1)
+    code = F.when(plain, F.trim(text).try_cast("long")).otherwise(named.try_cast("long"))
+    return F.when(is_status(code), code)
+
+
+def languages(files, project: str, path: str):
+    """project, language: what the manifests in a project's root say if they agree, else the one kind of ending there is."""
+    test = lambda found, table, key: F.bool_or(F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), key) == found, F.lit(False)))
+    ending = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    by = [test(language, t, k).alias(f"{name}_{language}") for name, t, k in (("root", LANGUAGE_MANIFESTS, F.col(path)), ("ending", LANGUAGE_ENDINGS, ending)) for language in ("rust", "python")]
+    seen = files.groupBy(project).agg(*by)
+    one = lambda name: F.when(F.col(f"{name}_rust") & ~F.col(f"{name}_python"), "rust").when(F.col(f"{name}_python") & ~F.col(f"{name}_rust"), "python")
+    return seen.select(project, F.when(F.col("root_rust") | F.col("root_python"), one("root")).otherwise(one("ending")).alias("language"))

@@ -66,3 +66,11 @@ def inspect(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, aro
         part = placed.withColumn("truncated", size > around).where(F.col("place") <= around)
         out = out.unionByName(part.select(F.lit(section).alias("section"), "place", "id", F.col(far).alias("other"), "kind", "truncated"))
     return out
+
+
+def search(nodes: DataFrame, part: str, exact: str, limit: int) -> DataFrame:
+    """Nodes whose name, qualified name or path holds a text in any case, those of the exact name first; with their place."""
+    like = f"%{like_literal(part)}%"
+    hits = nodes.where(F.col("name").ilike(like) | F.col("qualified").ilike(like) | F.col("path").ilike(like))
+    order = [F.when(F.col("name") == exact, 0).otherwise(1), F.asc("qualified"), F.asc("path"), F.asc("id")]
+    return hits.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
