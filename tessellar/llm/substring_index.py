@@ -207,9 +207,10 @@ class SubstringIndex:
         earlier = made.join(least, ["w1", "w2"]).where("least < first")
         earlier = earlier.groupBy(*KEY).agg(F.collect_set("k").alias("ks"))  # of one stretch: at most WINDOW - ANCHOR + 1
         judged = firsts.select(*KEY, "first_doc", "last_doc").join(earlier, KEY, "left").where("first_doc < last_doc or ks is not null")
+        judged = keep(judged.drop("last_doc"), "substring-judged")  # a side of its own, so that a hot stretch of found is split
         whole = F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("windows")).alias("to")))
         single = F.transform("ks", lambda k: F.struct((F.col("at") + k).alias("from"), (F.col("at") + k + 1).alias("to")))
-        lost = found.join(judged.drop("last_doc"), KEY)  # a stretch's later holders lose it whole, its first what others had
+        lost = found.join(judged, KEY)  # a stretch's later holders lose it whole, its first what others had
         lost = lost.select("doc_id", "mark", F.when(F.col("first_doc") < F.col("doc_id"), whole).otherwise(single).alias("cuts")).where("cuts is not null")
         cuts = keep(lost.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts")), "substring-cuts")
         self._commit([*self.runs, ("entries", 0, run), ("windows", 0, self._write(merged_windows(made))), ("compared", 0, self._write(merged_keys(todo)))])
