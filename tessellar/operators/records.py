@@ -28,3 +28,8 @@ def validity(evidence: DataFrame, current: DataFrame, key: str, value: str) -> D
 def appeared(absent: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """Keys that were noted as absent and are there now."""
     return current.select(key).join(absent.select(key).distinct(), key, "left_semi")
+
+
+def put(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """stored with the rows of fresh inserted, or in the place of those of their key."""
+    return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions import predicates as p
-from ..operators import aggregates, diff, intervals, lookup
+from ..functions import text as tx
+from ..operators import aggregates, diff, intervals, lookup, records
 from .graph_queries import WITH_G
 from .registry import query
 from .snapshot_queries import SPANS_SQL, WITH_S, order_spans
@@ -156,3 +160,47 @@ def snapshot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each project's snapshots the latest: created last (here the longest), of equal ones the highest id."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("created"))
     return said.groupBy(F.col("conv_id").alias("snapshot")).agg(F.max_by("turn", F.struct("created", "turn")).alias("latest"), F.count(F.lit(1)).alias("stored"))
+
+
+@query(f"WITH {NODES_SQL} SELECT id, kind, package FROM nodes")
+def published_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes published as a new version and read back."""
+    path = f"{storage.tables_dir(spark)}/published-{uuid.uuid4().hex}"
+    storage.publish(nodes(spark, sf_dir).select("id", "kind", "package"), path)
+    return storage.published(spark, path)
+
+
+@query("""WITH stored AS (SELECT conv_id, turn, 'old' AS origin, length(text) AS n FROM conversations WHERE turn <= 2), fresh AS (SELECT conv_id, turn, 'new' AS origin, length(text) + 1 AS n FROM conversations WHERE turn >= 2)
+SELECT conv_id * 1000 + turn AS key, origin, n FROM fresh UNION ALL SELECT conv_id * 1000 + turn, origin, n FROM stored s WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.conv_id = s.conv_id AND f.turn = s.turn)""")
+def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of the first turns after the later ones were put: inserted, or in place of what they replace."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "turn", F.length("text").alias("n"))
+    stored = rows.where("turn <= 2").select("key", F.lit("old").alias("origin"), "n")
+    fresh = rows.where("turn >= 2").select("key", F.lit("new").alias("origin"), (F.col("n") + 1).alias("n"))
+    return records.put(stored, fresh, "key")
+
+
+@query("""SELECT EXISTS (SELECT 1 FROM documents WHERE text = '') AS empty_text, EXISTS (SELECT 1 FROM orders WHERE o_orderkey < 0) AS negative, EXISTS (SELECT 1 FROM conversations WHERE turn > 3) AS long_talk""")
+def exists_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is there any such row? Each test stops at the first."""
+    t = lambda name, where: not table(spark, sf_dir, name).where(where).isEmpty()
+    row = (t("documents", "text = ''"), t("orders", "o_orderkey < 0"), t("conversations", "turn > 3"))
+    return spark.createDataFrame([row], "empty_text boolean, negative boolean, long_talk boolean")
+
+
+@query(r"""WITH one AS (SELECT item_id, trim(regexp_replace(replace(replace(text, 'er ', 'er ( '), 'th ', 'th , '), '[ \t\n\r]+', ' ', 'g')) AS t FROM benchmark),
+c AS (SELECT item_id, regexp_replace(regexp_replace(t, ' ([.)\],?])', '\1', 'g'), '([.(\[]) ', '\1', 'g') AS t FROM one)
+SELECT item_id, CASE WHEN length(t) <= 60 THEN t ELSE left(t, 59) || '…' END AS compact FROM c""")
+def compact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with brackets and commas set in, as one line of sixty characters for an expression."""
+    text = F.replace(F.replace("text", F.lit("er "), F.lit("er ( ")), F.lit("th "), F.lit("th , "))
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.compact(text, 60).alias("compact"))
+
+
+@query("""WITH b AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*?)/?([?#].*)?$', 1) AS base FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(base, '/?[^/]*$', '') || CASE WHEN contains(base, '/') THEN '/' ELSE '' END || 'up.md' WHEN 1 THEN base || '/same.md' WHEN 2 THEN base || '/b.md' END AS path FROM b""")
+def joined_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative paths resolved from the page's own; what leaves the root has none."""
+    relative = F.element_at(F.array(*map(F.lit, ("../up.md", "./same.md", "a/../b.md", "../../../../out.md"))), (F.col("page_id") % 4 + 1).cast("int"))
+    base = F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", tx.join_path(base, relative).alias("path"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +39,31 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, folder) of everything published under path, oldest first."""
+    try:
+        rows = spark.read.schema("version long, folder string").json(f"{path}/versions").collect()
+    except AnalysisException:  # nothing yet
+        return []
+    return sorted((r.version, r.folder) for r in rows)
+
+
+def publish(df: DataFrame, path: str) -> int:
+    """Write df as the next version under path. Readers see it once its row is in the list of versions, which is the last
+    thing written, so a write that fails leaves the version before it in place."""
+    spark = df.sparkSession
+    version = max((v for v, _ in versions(spark, path)), default=0) + 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{folder}")
+    spark.createDataFrame([(version, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{path}/versions")
+    return version
+
+
+def published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version, or the latest one."""
+    found = [f for v, f in versions(spark, path) if version in (None, v)]
+    if not found:
+        raise ValueError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/{found[-1]}")

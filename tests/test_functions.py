@@ -193,3 +193,16 @@ def test_inspect(spark):
     assert [r.id for r in out if r.section == "incoming"] == ["e01", "e31", "x"]
     several = lookup.inspect(nodes, edges, "same").collect()
     assert len(several) == 20 and all(r.section == "candidate" and r.truncated for r in several)
+
+
+def test_publishing_is_all_or_nothing(spark, tmp_path):
+    from tessellar import storage
+
+    path = str(tmp_path / "nodes")
+    with pytest.raises(ValueError, match="nothing"):
+        storage.published(spark, path)
+    assert [storage.publish(spark.range(n), path) for n in (2, 3)] == [1, 2]
+    with pytest.raises(Exception, match="broken"):
+        storage.publish(spark.range(4).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), path)
+    assert storage.published(spark, path).count() == 3 and storage.published(spark, path, 1).count() == 2
+    assert storage.publish(spark.range(5), path) == 3
