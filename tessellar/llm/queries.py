@@ -170,6 +170,30 @@ WITH w AS MATERIALIZED (
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+RULES_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)
+), again AS (SELECT doc_id, x FROM windows GROUP BY ALL HAVING count(*) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN again USING (doc_id, x)) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, t, len(ws) AS n, len(list_distinct(ws)) AS kinds, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbols, coalesce(c.n, 0) AS repeats, octet_length(encode(t)) AS size,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals,
+    length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(t, '[^!]', '', 'g')) AS marks, (length(t) - length(replace(t, '://', ''))) // 3 AS links,
+    length(t) - length(replace(replace(t, chr(65533), ''), chr(0), '')) AS broken
+  FROM w LEFT JOIN covered c USING (doc_id)
+), g AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS same, n < 50 OR 100 * repeats > 50 * n AS failed FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(same AS BIGINT) AS n_dup_lines,
+  CAST(repeats AS BIGINT) AS n_repeat_words, failed AS base_failed,
+  NOT (failed OR 10 * symbols > n OR 2 * marks > n OR letters > size / 5 AND capitals / letters > CAST(0.6 AS DOUBLE) OR 2 * same > n_lines OR 20 * kinds < least(n, 2000)
+       OR 2 * digits > size OR 4 * links > n OR 100 * broken > length(t)) AS kept
+FROM g
+"""
+
 ORACLE_SQL: dict[str, str] = {
-    "op2_ngram_jaccard": JACCARD_SQL, "op9_substring_index": SUBSTRING_SQL, "op3_source_mix": MIX_SQL, "op10_exact_index": EXACT_SQL,
+    "op7_rule_cascade": RULES_SQL, "op2_ngram_jaccard": JACCARD_SQL, "op9_substring_index": SUBSTRING_SQL, "op3_source_mix": MIX_SQL, "op10_exact_index": EXACT_SQL,
 }
