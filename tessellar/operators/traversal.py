@@ -222,3 +222,31 @@ def expanded(start: DataFrame, children: DataFrame, depth: int) -> DataFrame:
         level = keep(met.select("seed", F.concat("path", F.array("child")).alias("path"), F.lit(k).alias("depth"), F.array_contains("path", F.col("child")).alias("again")), "expanded")
         out.append(level)
     return union_all(out)
+
+
+def neighbourhood(edges: DataFrame, entries: list, depth: int = 2, max_nodes: int = 9, queue_limit: int = 12, calls: int = 24, questions: int = 4) -> tuple[list, list, bool]:
+    """(visited nodes, ids of unresolved calls, cut) around the first three entries. Of a node the first ``calls`` edges by id
+    are followed in start_byte order; a target waits while fewer than ``queue_limit`` do. One small query a node, nine at
+    most, each of a bounded result."""
+    waiting, seen, unknown, cut = [(e, 0) for e in entries[:3]], [], [], len(entries) > 3
+    while waiting:
+        node, at = waiting.pop(0)
+        if node in seen:
+            continue
+        if len(seen) >= max_nodes:
+            return seen, unknown, True
+        seen.append(node)
+        own = edges.where(F.col("source") == node).orderBy("id").limit(calls + 1).select("id", "target", "resolution", "start_byte").collect()
+        if at >= depth:
+            cut |= bool(own)
+            continue
+        cut |= len(own) > calls
+        for e in sorted(own[:calls], key=lambda e: e.start_byte):
+            if e.target is not None:
+                if len(waiting) < queue_limit:
+                    waiting.append((e.target, at + 1))
+                else:
+                    cut = True
+            elif e.resolution != "external" and len(unknown) < questions:
+                unknown.append(e.id)
+    return seen, unknown, cut

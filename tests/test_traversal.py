@@ -176,3 +176,33 @@ def test_first_above_and_expanded(spark):
     children = parents.toDF("parent", "child")
     paths = {(tuple(r.path), r.again) for r in traversal.expanded(start, children, 2).collect()}
     assert paths == {(("a",), False), (("a", "b"), False), (("a", "b", "c"), False), (("c",), False), (("c", "d"), False), (("c", "d", "e"), False), (("d",), False), (("d", "e"), False), (("z",), False), (("z", "z"), True)}
+
+
+def test_neighbourhood(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(6), None if rng.random() < 0.3 else rng.randrange(12), rng.choice(["resolved", "external", "unresolved"]), rng.randrange(1000)) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, source long, target long, resolution string, start_byte long").cache()
+    for entries in ([0, 1, 2, 3], [5], [11]):
+        queue, seen, unknown, cut = deque((e, 0) for e in entries[:3]), [], [], len(entries) > 3
+        while queue:
+            node, d = queue.popleft()
+            if node in seen:
+                continue
+            if len(seen) >= 9:
+                cut = True
+                break
+            seen.append(node)
+            own = sorted(r for r in rows if r[1] == node)
+            if d >= 2:
+                cut |= bool(own)
+                continue
+            cut |= len(own) > 24
+            for r in sorted(own[:24], key=lambda r: r[4]):
+                if r[2] is not None:
+                    if len(queue) < 12:
+                        queue.append((r[2], d + 1))
+                    else:
+                        cut = True
+                elif r[3] != "external" and len(unknown) < 4:
+                    unknown.append(r[0])
+        assert traversal.neighbourhood(df, entries) == (seen, unknown, cut)
