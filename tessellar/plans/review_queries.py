@@ -204,3 +204,18 @@ def joined_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     relative = F.element_at(F.array(*map(F.lit, ("../up.md", "./same.md", "a/../b.md", "../../../../out.md"))), (F.col("page_id") % 4 + 1).cast("int"))
     base = F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", tx.join_path(base, relative).alias("path"))
+
+
+COMPONENT_PATHS = ["p/src/{}/a.rs", "p/src/lib.rs", "p/tests/{}.py", "p/examples/{}.rs", "other/src/{}.py", "p/{}.rs"]
+
+
+@query(f"""WITH f AS (SELECT page_id, replace(({COMPONENT_PATHS!r})[page_id % 6 + 1], '{{}}', regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1)) AS path FROM pages),
+u AS (SELECT page_id, path, CASE WHEN starts_with(path, 'p/') THEN substr(path, 3) ELSE path END AS below FROM f),
+x AS (SELECT *, split_part(regexp_replace(below, '^src/', ''), '/', 1) AS first FROM u)
+SELECT page_id, path, CASE WHEN starts_with(below, 'tests/') THEN 'tests' WHEN starts_with(below, 'examples/') THEN 'examples' WHEN NOT contains(first, '.') THEN first
+  WHEN regexp_matches(first, '^(lib|main|mod|__init__|__main__)\\.[^.]*$') THEN 'core' ELSE regexp_replace(first, '\\.[^.]*$', '') END AS component FROM x""")
+def path_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component that a file's path names, under the root p."""
+    form = F.element_at(F.array(*map(F.lit, COMPONENT_PATHS)), (F.col("page_id") % 6 + 1).cast("int"))
+    path = F.replace(form, F.lit("{}"), F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?#]*)", 1))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("component", p.component(F.col("path"), F.lit("p")))
