@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """points (key, at) with the span (start, end, name) of the same key that holds them and starts last."""
-    met = points.join(spans, key).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
+def bins(start: Column, end: Column, width: int) -> Column:
+    """Numbers of the bins that [start, end) touches; none for an empty span."""
+    return F.when(start < end, F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
+
+
+def innermost(points: DataFrame, spans: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """points (key, at) with the span (start, end, name) of the same key that holds them and starts last. Both are dealt to
+    bins of a width near that of a usual span, so that a point only meets the spans of its own bin, however many a key has."""
+    dealt = spans.withColumn("__bin", F.explode(bins(F.col("start"), F.col("end"), width)))
+    met = points.withColumn("__bin", F.floor(F.col("at") / width)).join(dealt, [key, "__bin"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
     best = met.groupBy(*points.columns).agg(F.max(F.struct("start", "name")).alias("s"))
     return best.select(*points.columns, F.col("s.start").alias("start"), F.col("s.name").alias("name"))
 
 
-def overlapping(spans: DataFrame, others: DataFrame, key: str, n: int) -> DataFrame:
-    """For each span (id, start, end) at most n others (other, from, to) of its key that overlap it, narrowest first."""
-    met = spans.join(others, key).where((F.col("from") < F.col("end")) & (F.col("to") > F.col("start")))
+def overlapping(spans: DataFrame, others: DataFrame, key: str, n: int, width: int = 64) -> DataFrame:
+    """For each span (id, start, end) at most n others (other, from, to) of its key that overlap it, narrowest first. Spans
+    meet in the bin where the later of two begins, once."""
+    left = spans.withColumn("__bin", F.explode(bins(F.col("start"), F.col("end"), width)))
+    right = others.withColumn("__bin", F.explode(bins(F.col("from"), F.col("to"), width)))
+    met = left.join(right, [key, "__bin"]).where((F.col("from") < F.col("end")) & (F.col("to") > F.col("start")))
+    met = met.where(F.col("__bin") == F.floor(F.greatest("start", "from") / width)).drop("__bin")
     order = Window.partitionBy("id").orderBy(F.col("to") - F.col("from"), "other")
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 

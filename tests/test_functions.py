@@ -206,3 +206,24 @@ def test_publishing_is_all_or_nothing(spark, tmp_path):
         storage.publish(spark.range(4).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), path)
     assert storage.published(spark, path).count() == 3 and storage.published(spark, path, 1).count() == 2
     assert storage.publish(spark.range(5), path) == 3
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_intervals_in_bins(spark, width):
+    import random
+
+    rng = random.Random(4)
+    spans = [(f"k{rng.randrange(3)}", a, a + rng.randrange(0, 40), f"s{i}") for i in range(60) for a in [rng.randrange(-50, 50)]]
+    points = [(f"k{rng.randrange(3)}", rng.randrange(-60, 100)) for _ in range(80)]
+    s = spark.createDataFrame(spans, "key string, start long, end long, name string")
+    got = {(r.key, r.at): (r.start, r.name) for r in intervals.innermost(spark.createDataFrame(sorted(set(points)), "key string, at long"), s, "key", width).collect()}
+    want = {}
+    for k, at in set(points):
+        held = [(a, n) for key, a, b, n in spans if key == k and a <= at < b]
+        if held:
+            want[k, at] = max(held)
+    assert got == want
+    others = s.selectExpr("key", "name as other", "start as from", "end as to")
+    rows = intervals.overlapping(s.withColumnRenamed("name", "id"), others, "key", 10_000, width).collect()
+    pairs = {(n1, n2) for k1, a1, b1, n1 in spans for k2, a2, b2, n2 in spans if k1 == k2 and a2 < b1 and b2 > a1 and a1 < b1 and a2 < b2}
+    assert len(rows) == len(pairs) and {(r.id, r.other) for r in rows} == pairs
