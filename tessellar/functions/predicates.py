@@ -93,6 +93,12 @@ def like_literal(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def holds(text: Column, pattern: str) -> Column:
+    """LIKE that folds A-Z and nothing else."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(text, upper, lower).like(pattern.translate(str.maketrans(upper, lower)))
+
+
 def component(path: Column, root: Column) -> Column:
     """The component that a file's path names: tests, examples, its first folder under src, or its own stem; files that
     only name their folder belong to core."""

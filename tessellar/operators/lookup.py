@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.predicates import like_literal
+from ..functions.predicates import holds, like_literal
 
 
 def lookup_stage(query: str) -> Column:
     """1 exact id, 2 exact qualified name, 3 exact name, 4 part of the qualified name or start of the id; else null."""
     part = like_literal(query)
-    loose = F.col("qualified").ilike(f"%{part}%") | F.col("id").ilike(f"{part}%")
+    loose = holds(F.col("qualified"), f"%{part}%") | holds(F.col("id"), f"{part}%")
     return F.when(F.col("id") == query, 1).when(F.col("qualified") == query, 2).when(F.col("name") == query, 3).when(loose, 4)
 
 
@@ -71,6 +71,6 @@ def inspect(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, aro
 def search(nodes: DataFrame, part: str, exact: str, limit: int) -> DataFrame:
     """Nodes whose name, qualified name or path holds a text in any case, those of the exact name first; with their place."""
     like = f"%{like_literal(part)}%"
-    hits = nodes.where(F.col("name").ilike(like) | F.col("qualified").ilike(like) | F.col("path").ilike(like))
+    hits = nodes.where(holds(F.col("name"), like) | holds(F.col("qualified"), like) | holds(F.col("path"), like))
     order = [F.when(F.col("name") == exact, 0).otherwise(1), F.asc("qualified"), F.asc("path"), F.asc("id")]
     return hits.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))

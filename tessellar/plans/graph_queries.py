@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.predicates import holds
 from ..operators import aggregates, lookup, rules
 from .registry import query
 from .views import LINKS_SQL, NODES_SQL, USES_SQL, links, nodes, package_keys, table, use_keys, uses
@@ -69,7 +70,7 @@ SELECT id, qualified, (SELECT count(*) FROM hits) AS total, (SELECT count(*) FRO
 FROM hits ORDER BY qualified, id LIMIT 40 OFFSET 20""")
 def substring_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a search: 40 rows after 20, the exact name first in a general order."""
-    hit = F.col("qualified").ilike("%red%") | F.col("name").ilike("%red%") | F.col("path").ilike("%red%")
+    hit = holds(F.col("qualified"), "%red%") | holds(F.col("name"), "%red%") | holds(F.col("path"), "%red%")
     return lookup.page(nodes(spark, sf_dir).where(hit).select("id", "qualified"), [F.asc("qualified"), F.asc("id")], 20, 40)
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scope import REVIEWED_KINDS
 from ..operators import diff, traversal
 from ..sources.python_facts import facts, resolve
 from ..sources.worktree import capture, line_diffs
@@ -45,14 +46,10 @@ def analyse(spark: SparkSession, root: str, before: Snapshot | None = None) -> S
     return Snapshot(files, parsed, nodes, edges, wrong.unionByName(broken))
 
 
-#: Kinds of nodes that a review lists; containers change with whatever they hold.
-REVIEWED = ["function", "type", "field"]
-
-
 def changes(before: Snapshot, after: Snapshot) -> DataFrame:
     """stable_key, qualified, path, id, state, reasons, priority. Copies of a key cancel one for one by fingerprint; what
     is left alone on both sides is modified, anything else removed and added."""
-    kept = lambda s: s.nodes.where(F.col("kind").isin(REVIEWED))
+    kept = lambda s: s.nodes.where(F.col("kind").isin(REVIEWED_KINDS))
     states = diff.multiset_diff(kept(before), kept(after), "stable_key", ["fingerprint"]).select("stable_key", "state")
     row = lambda s, n: kept(s).groupBy("stable_key").agg(F.min(F.struct("start", "id", "qualified", "path", "signature", "visibility")).alias(n))
     met = states.join(row(before, "old"), "stable_key", "left").join(row(after, "new"), "stable_key", "left")
@@ -66,12 +63,13 @@ def changes(before: Snapshot, after: Snapshot) -> DataFrame:
 
 
 def review(before: Snapshot, after: Snapshot) -> dict[str, DataFrame]:
-    """changes in review order, callers within two reverse steps of what changed, and the line diffs of changed files."""
+    """changes in review order; for each changed definition up to 30 callers within two reverse steps, with their paths; and
+    the line diffs of changed files."""
     found = keep(changes(before, after), "changes")
     calls = before.edges.unionByName(after.edges).where("kind = 'calls' and target is not null")
     old = before.nodes.select("stable_key", "id").unionByName(after.nodes.select("stable_key", "id")).join(found.select("stable_key"), "stable_key", "left_semi")
     return {
         "changes": found.orderBy(F.desc("priority"), "path", "qualified", "id"),
-        "callers": traversal.two_hops(calls, old.select("id").distinct()),
+        "callers": traversal.impact(calls, old.select("id").distinct())[0].withColumnRenamed("seed", "target"),
         "files": line_diffs(before.files, after.files),
     }

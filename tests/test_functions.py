@@ -227,3 +227,7 @@ def test_intervals_in_bins(spark, width):
     rows = intervals.overlapping(s.withColumnRenamed("name", "id"), others, "key", 10_000, width).collect()
     pairs = {(n1, n2) for k1, a1, b1, n1 in spans for k2, a2, b2, n2 in spans if k1 == k2 and a2 < b1 and b2 > a1 and a1 < b1 and a2 < b2}
     assert len(rows) == len(pairs) and {(r.id, r.other) for r in rows} == pairs
+
+
+def test_only_ascii_is_folded(spark):
+    assert [value(spark, p.holds(F.lit(t), "%K\u00e4se\\_%")) for t in ("a k\u00e4SE_b", "K\u00c4SE_", "\u212a\u00e4se_", "k\u00e4sex")] == [True, False, False, False]
