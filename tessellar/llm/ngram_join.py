@@ -50,7 +50,7 @@ FREQUENT = 32
 #: Documents and tokens (8 bytes each) in a block of a long list, on average.
 BLOCK, BLOCK_TOKENS = 1500, 2_000_000
 #: Up to so many wanted rows (at most 24 bytes each) are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 600_000
 
 
 def token_set(text: str | None) -> np.ndarray:

@@ -149,8 +149,9 @@ def jaccard_components(rows):
     return sorted(repr((rows[i][0], len(sets[i]), least[find(i)])) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize(("frequent", "block"), [(ngram_join.FREQUENT, 1500), (1, 1500), (2, 2)])
-def test_jaccard(docs, rows, monkeypatch, frequent, block):
+@pytest.mark.parametrize(("frequent", "block", "limit"), [(ngram_join.FREQUENT, 1500, 600_000), (1, 1500, 0), (2, 2, 600_000)])
+def test_jaccard(docs, rows, monkeypatch, frequent, block, limit):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)  # few: nearly all documents that share a token are dense
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = sorted(repr(tuple(r)) for r in ngram_join.jaccard_components(docs).collect())
