@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import aggregates, diff, traversal
 from .registry import query
-from .views import LINKS_SQL, NODES_SQL, SNAPSHOTS_SQL, USES_SQL, links, nodes, package_keys, snapshots, table, use_keys, uses
+from .views import LINKS_SQL, NODES_SQL, SNAPSHOTS_SQL, USES_SQL, links, nodes, package_keys, snapshots, table, use_keys
 
 
 @query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
