@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import xor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, exact_index, mixing, ngram_join, packing, pii, quality_qda, rules, substring_index, token_counts
+from . import bit_planes, brown_lm, exact_index, mixing, ngram_join, packing, pii, quality_qda, rules, sharding, substring_index, token_counts, vector_codes
 from .common import documents
 
 
@@ -56,10 +58,23 @@ def op10_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_index.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.cluster_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(documents(spark, sf_dir))
+
+
+def op13_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_brown_lm, op2_ngram_jaccard, op3_source_mix, op4_quality_qda, op5_pii_trees, op6_hilbert_pack, op7_rule_cascade, op8_prefix_tokens, op9_substring_index, op10_exact_index,
+        op11_bit_planes, op12_feistel_shards, op13_limb_codes,
     )
 }
 
@@ -194,6 +209,128 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars
 FROM g
 """
 
+#: floor(sum / count) of whole numbers, also below zero.
+FLOOR_MEAN = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT)"
+
+
+#: Bytes of a text whose checksum is worked out in one piece.
+CRC_PIECE = 256
+
+
+def _crc_step(c: int, bits: int) -> int:
+    """So many zero bits through the reflected checksum polynomial."""
+    for _ in range(bits):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def _crc_sql(table: str) -> str:
+    """row, crc of a table (row, digits). The checksum is linear: that of a text is the XOR of its pieces' and of its start
+    value's, each carried through as many zero bytes as follow; 2**k zero bytes are a matrix of 32 columns."""
+    mask, nibbles = (1 << 32) - 1, ", ".join(str(_crc_step(k, 4)) for k in range(16))
+    step = lambda c, digit: f"xor({c} >> 4, [{nibbles}][xor({c} & 15, {digit}) + 1])"
+    carried = f"""
+  SELECT row, len(digits) // 2 AS d, {mask}::BIGINT AS v FROM {table}
+  UNION ALL
+  SELECT row, after, list_reduce(list_transform(range(1, len(piece), 2), lambda i: CAST('0x' || substr(piece, i, 2) AS BIGINT)),
+         lambda c, byte: {step(step("c", "(byte & 15)"), "(byte >> 4)")}, 0::BIGINT)
+  FROM (SELECT row, greatest(len(digits) // 2 - skip - {CRC_PIECE}, 0) AS after, substr(digits, 2 * skip + 1, {2 * CRC_PIECE}) AS piece
+        FROM (SELECT *, unnest(range(0, len(digits) // 2, {CRC_PIECE})) AS skip FROM {table}))"""
+    columns = [_crc_step(1 << b, 8) for b in range(32)]
+    for k in range(31):
+        terms = [f"(v >> {b} & 1) * {c}" for b, c in enumerate(columns)]
+        while len(terms) > 1:
+            terms = [f"xor({x}, {y})" for x, y in zip(terms[::2], terms[1::2], strict=True)]
+        carried = f"SELECT row, d, CASE WHEN d >> {k} & 1 = 1 THEN {terms[0]} ELSE v END AS v FROM ({carried})"
+        twice = lambda x, by=columns: [c for b, c in enumerate(by) if x >> b & 1]
+        columns = [reduce(xor, twice(c), 0) for c in columns]
+    return f"SELECT row, xor({mask}, bit_xor(v)) AS crc FROM ({carried}) GROUP BY row"
+
+
+def _clusters_sql() -> str:
+    k, rounds, scale, seed = bit_planes.CLUSTERS, bit_planes.ROUNDS, bit_planes.SCALE, bit_planes.SEED
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+  SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.row, c.c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN centres{r} c USING (pos) GROUP BY ALL) GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""centres{r + 1} AS MATERIALIZED (
+  SELECT c, pos, coalesce(m.x, o.x) AS x FROM centres{r} o LEFT JOIN (
+    SELECT c, pos, {FLOOR_MEAN} AS x FROM parts JOIN near{r} USING (row) GROUP BY ALL) m USING (c, pos))""")
+    return f"""
+WITH ints AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {bit_planes.WIDTH} AND list_aggregate(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), 'bool_and')
+), parts AS MATERIALIZED (SELECT row, unnest(range({bit_planes.WIDTH})) AS pos, unnest(v) AS x FROM ints
+), centres0 AS MATERIALIZED (
+  SELECT c, unnest(range({bit_planes.WIDTH})) AS pos, unnest(v) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM ints) WHERE c < {k}
+), {", ".join(steps)}, sums AS (SELECT c, sum(d) AS d FROM near{rounds} GROUP BY c
+), named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM centres{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance, CAST(s.d AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(d) FROM sums) AS BIGINT) AS inertia, centroid_sha256
+FROM near{rounds} n JOIN ints USING (row) JOIN sums s USING (c) JOIN named USING (c)
+"""
+
+
+def _codes_sql() -> str:
+    parts, entries, rounds, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+  SELECT row, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT v.row, part, b.e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM pieces v JOIN book{r} b USING (part, pos) GROUP BY ALL) GROUP BY row, part)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT part, e, pos, coalesce(m.x, o.x) AS x FROM book{r} o LEFT JOIN (
+    SELECT part, e, pos, {FLOOR_MEAN} AS x FROM pieces JOIN near{r} USING (row, part) GROUP BY ALL) m USING (part, e, pos))""")
+    return f"""
+WITH ints AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row, vec_id, label, len(embedding) // {parts} AS width,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE list_aggregate(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), 'bool_and')
+), pieces AS MATERIALIZED (
+  SELECT row, i // width AS part, i % width AS pos, x FROM (SELECT row, width, unnest(range(len(v))) AS i, unnest(v) AS x FROM ints)
+), book0 AS MATERIALIZED (SELECT part, row AS e, pos, x FROM pieces WHERE row < {entries}
+), {", ".join(steps)}, coded AS MATERIALIZED (
+  SELECT row, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY part) AS code, sum(d) AS error FROM near{rounds} GROUP BY row
+), full_rows AS (SELECT vec_id, label, code, error FROM coded JOIN ints USING (row))
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM full_rows
+"""
+
+
+def _shards_sql() -> str:
+    """The network, with products as HUGEINT."""
+    keys = sharding.round_keys(sharding.SEED)
+    mask = (1 << 32) - 1
+    body = "SELECT row, n, h, p >> h AS l, p & ((1::BIGINT << h) - 1) AS r FROM (SELECT * FROM walk WHERE inside IS NOT TRUE)"
+    for key in keys:
+        body = f"SELECT row, n, h, l, r, (r + {key}) & {mask} AS a FROM ({body})"
+        for m, shift in zip(sharding.MULTIPLIERS, (16, 15), strict=True):
+            body = f"SELECT row, n, h, l, r, CAST((CAST(xor(a, a >> {shift}) AS HUGEINT) * {m}) % {1 << 32} AS BIGINT) AS a FROM ({body})"
+        body = f"SELECT row, n, h, r AS l, xor(l, xor(a, a >> 13) & ((1::BIGINT << h) - 1)) AS r FROM ({body})"
+    return f"""
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, lower(hex(encode(coalesce(text, '')))) AS digits FROM documents
+), sums AS MATERIALIZED (
+  SELECT doc_id, len(digits) // 2 + 1 AS size, crc FROM texts JOIN ({_crc_sql("texts")}) USING (row)
+), numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY doc_id, size, crc) - 1 AS row, count(*) OVER () AS n FROM sums
+), walk AS (
+  SELECT row, n, greatest(1, CAST(ceil(length(bin(n - 1)) / 2.0) AS BIGINT)) AS h, row AS p, false AS inside FROM numbered
+  UNION ALL
+  SELECT row, n, h, (l << h) | r, ((l << h) | r) < n FROM ({body})
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p % {sharding.SHARDS} AS INTEGER) AS shard,
+       CAST(p // {sharding.SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, row AS row_number
+FROM numbered JOIN (SELECT row, p FROM walk WHERE inside) USING (row)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_bit_planes": _clusters_sql(), "op13_limb_codes": _codes_sql(), "op12_feistel_shards": _shards_sql(),
     "op7_rule_cascade": RULES_SQL, "op2_ngram_jaccard": JACCARD_SQL, "op9_substring_index": SUBSTRING_SQL, "op3_source_mix": MIX_SQL, "op10_exact_index": EXACT_SQL,
 }
