@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scans
+
 
 def located_edges(edges: DataFrame, nodes: DataFrame, how: str = "inner", targets: DataFrame | None = None) -> DataFrame:
     """Edges with the package of both ends; how='left' keeps edges of unknown targets. targets: the nodes that edges lead
@@ -54,15 +56,7 @@ def distinct_in_order(rows: DataFrame, keys: list[str], value: list[str], order:
 
 
 def within_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """Rows of each key in order until their sizes fill a budget, with used (the running sum) and taken (the last clamped).
-
-    Only rows of some size use the budget up, so its end lies among the first ``budget`` of them: these are cut on the map
-    side, their running sum gives the last place, and no other row of a key is sorted."""
-    sized = rows.where(F.col(size) > 0)
-    by_order = Window.partitionBy(key).orderBy(order)
-    first = sized.withColumn("__rank", F.row_number().over(by_order)).where(F.col("__rank") <= budget)
-    full = first.withColumn("__used", F.sum(size).over(by_order)).where(F.col("__used") >= budget)
-    ends = full.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__end"))
-    inside = rows.join(ends, F.col(key).eqNullSafe(F.col("__key")), "left").where(F.col("__end").isNull() | (F.col(order) <= F.col("__end")))
-    out = inside.drop("__key", "__end").withColumn("used", F.sum(size).over(by_order)).where(F.col("used") - F.col(size) < budget)
+    """Rows of each key in order until their sizes fill a budget, with used (the running sum) and taken (the last clamped)."""
+    summed = scans.running_sum(rows, [key], [order], size, "used")
+    out = summed.where(F.col("used") - F.col(size) < budget)
     return out.withColumn("taken", F.least(F.col(size), F.lit(budget) - (F.col("used") - F.col(size))))

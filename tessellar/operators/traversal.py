@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,16 +43,6 @@ def two_hops(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """id, ancestor, distance along parent references of a forest no deeper than depth: one join a level."""
-    parents = keep(nodes.where("parent is not null").select("id", "parent"), "parents")  # each level reads it again
-    level = parents.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    out, up = level, parents.toDF("ancestor", "next")
-    for k in range(2, depth + 1):
-        level = level.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(k).alias("distance"))
-        out = out.unionByName(level)
-    return out
-
 
 @dataclass
 class Walk:
@@ -224,29 +214,57 @@ def expanded(start: DataFrame, children: DataFrame, depth: int) -> DataFrame:
     return union_all(out)
 
 
-def neighbourhood(edges: DataFrame, entries: list, depth: int = 2, max_nodes: int = 9, queue_limit: int = 12, calls: int = 24, questions: int = 4) -> tuple[list, list, bool]:
-    """(visited nodes, ids of unresolved calls, cut) around the first three entries. Of a node the first ``calls`` edges by id
-    are followed in start_byte order; a target waits while fewer than ``queue_limit`` do. One small query a node, nine at
-    most, each of a bounded result."""
-    waiting, seen, unknown, cut = [(e, 0) for e in entries[:3]], [], [], len(entries) > 3
-    while waiting:
-        node, at = waiting.pop(0)
-        if node in seen:
-            continue
-        if len(seen) >= max_nodes:
-            return seen, unknown, True
-        seen.append(node)
-        own = edges.where(F.col("source") == node).orderBy("id").limit(calls + 1).select("id", "target", "resolution", "start_byte").collect()
-        if at >= depth:
-            cut |= bool(own)
-            continue
-        cut |= len(own) > calls
-        for e in sorted(own[:calls], key=lambda e: e.start_byte):
-            if e.target is not None:
-                if len(waiting) < queue_limit:
-                    waiting.append((e.target, at + 1))
-                else:
-                    cut = True
-            elif e.resolution != "external" and len(unknown) < questions:
-                unknown.append(e.id)
-    return seen, unknown, cut
+def neighbourhoods(edges: DataFrame, entries: DataFrame, depth: int = 2, max_nodes: int = 9, queue_limit: int = 12, calls: int = 24, questions: int = 4) -> DataFrame:
+    """seed, visited, unknown (ids of unresolved calls), cut around the first three entries (seed, place, id) of every seed.
+
+    edges: id, source, target, resolution, start_byte. Of a node the first ``calls`` edges by id are followed in start_byte
+    order; a target waits while fewer than ``queue_limit`` do. What waits is one level of one seed, at most queue_limit nodes:
+    a level is one job for all seeds, which brings the edges of all that wait and folds them into each seed's state in order.
+    """
+    node, edge = entries.schema["id"].dataType.simpleString(), edges.schema["id"].dataType.simpleString()
+    kind = f"struct<waiting:array<struct<id:{node},place:int>>,visited:array<{node}>,unknown:array<{edge}>,cut:boolean,over:boolean>"
+    few = first_of_source(edges, calls + 1)
+    steps = F.sort_array(F.collect_list(F.struct("__k", "start_byte", "id", "target", "resolution")))
+    ranked = few.withColumn("__k", F.row_number().over(Window.partitionBy("source").orderBy("id"))).groupBy("source").agg(steps.alias("steps"))
+    ranked = keep(ranked.select("source", F.array_sort(F.transform(F.slice("steps", 1, calls), lambda x: F.struct(x["start_byte"].alias("start_byte"), x["id"].alias("id"), x["target"].alias("target"), x["resolution"].alias("resolution")))).alias("steps"), (F.size("steps") > calls).alias("more")), "near-edges")
+    first = entries.withColumn("__p", F.row_number().over(Window.partitionBy("seed").orderBy("place"))).where("__p <= 4")
+    begun = first.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct(F.col("__p").alias("place"), "id"))).alias("e"))
+    start = F.struct(
+        F.transform(F.slice("e", 1, 3), lambda x: F.struct(x["id"].alias("id"), x["place"].alias("place"))).alias("waiting"), F.array().cast(f"array<{node}>").alias("visited"),
+        F.array().cast(f"array<{edge}>").alias("unknown"), (F.size("e") > 3).alias("cut"), F.lit(False).alias("over"),
+    ).cast(kind)
+    state = keep(begun.select("seed", start.alias("s")), "near-state")
+    for level in range(depth + 1):
+        asked = state.where("not s.over").select("seed", F.size("s.waiting").alias("__n"), F.explode("s.waiting").alias("w")).select("seed", "__n", "w.place", F.col("w.id").alias("source"))
+        met = asked.join(ranked, "source", "left")
+        items = met.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("place", "source", "steps", F.coalesce("more", F.lit(False)).alias("more"), "__n"))).alias("items"))
+
+        def followed(s: Column, x: Column) -> Column:
+            """The state after the edges of one node; __n - place nodes of its level still wait."""
+
+            def one(t: Column, e: Column) -> Column:
+                room = F.size(t["waiting"]) + x["__n"] - x["place"] < queue_limit
+                known = e["target"].isNotNull()
+                asks = ~known & (e["resolution"] != "external") & (F.size(t["unknown"]) < questions)
+                added = F.concat(t["waiting"], F.array(F.struct(e["target"].cast(node).alias("id"), (F.size(t["waiting"]) + 1).alias("place"))))
+                return F.struct(
+                    F.when(known & room, added).otherwise(t["waiting"]).alias("waiting"), t["visited"].alias("visited"),
+                    F.when(asks, F.concat(t["unknown"], F.array(e["id"]))).otherwise(t["unknown"]).alias("unknown"), (t["cut"] | (known & ~room)).alias("cut"), t["over"].alias("over"),
+                ).cast(kind)
+
+            seen = F.struct(s["waiting"].alias("waiting"), F.concat(s["visited"], F.array(x["source"])).alias("visited"), s["unknown"].alias("unknown"), s["cut"].alias("cut"), s["over"].alias("over")).cast(kind)
+            own = F.coalesce(x["steps"], F.array().cast(ranked.schema["steps"].dataType))
+            if level == depth:
+                return F.struct(seen["waiting"].alias("waiting"), seen["visited"].alias("visited"), seen["unknown"].alias("unknown"), (seen["cut"] | (F.size(own) > 0)).alias("cut"), seen["over"].alias("over")).cast(kind)
+            after = F.aggregate(own, seen, one)
+            return F.struct(after["waiting"].alias("waiting"), after["visited"].alias("visited"), after["unknown"].alias("unknown"), (after["cut"] | x["more"]).alias("cut"), after["over"].alias("over")).cast(kind)
+
+        def popped(s: Column, x: Column) -> Column:
+            full = F.struct(s["waiting"].alias("waiting"), s["visited"].alias("visited"), s["unknown"].alias("unknown"), F.lit(True).alias("cut"), F.lit(True).alias("over")).cast(kind)
+            again = F.array_contains(s["visited"], x["source"])
+            return F.when(s["over"] | again, s).when(F.size(s["visited"]) >= max_nodes, full).otherwise(followed(s, x))
+
+        emptied = F.struct(F.array().cast(f"array<struct<id:{node},place:int>>").alias("waiting"), F.col("s.visited").alias("visited"), F.col("s.unknown").alias("unknown"), F.col("s.cut").alias("cut"), F.col("s.over").alias("over")).cast(kind)
+        folded = state.join(items, "seed", "left").withColumn("s", F.when(F.col("items").isNull(), emptied).otherwise(F.aggregate(F.coalesce("items", F.array().cast(items.schema["items"].dataType)), emptied, popped)))
+        state = keep(folded.select("seed", "s"), "near-state")
+    return state.select("seed", "s.visited", "s.unknown", "s.cut")

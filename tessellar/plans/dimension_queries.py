@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..functions import text as tx
-from ..operators import aggregates, diff, rules, traversal
+from ..operators import aggregates, diff, rules
 from .flow_queries import CHANGED_SQL
 from .registry import query
 from .scope_queries import ENTRY_SQL, baseline_entries, public_contracts, runtime_boundaries
@@ -94,15 +94,6 @@ def baseline_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(rows(reading, "reading", F.concat_ws(":", "source", F.col("doc_id").cast("string"))))
 
 
-@query()
-def source_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Around the first three callers: nine nodes within two steps and the first four calls that are not resolved."""
-    edges = calls(spark, sf_dir)
-    first = [r.source for r in edges.select("source").distinct().orderBy("source").limit(4).collect()]
-    visited, unknown, cut = traversal.neighbourhood(edges.withColumn("start_byte", F.col("id") % 97), first)
-    rows = [("node", k, v, cut) for k, v in enumerate(visited)] + [("unknown", k, v, cut) for k, v in enumerate(unknown)]
-    return spark.createDataFrame(rows, "section string, place int, id long, truncated boolean")
-
 
 @query(f"""WITH {NODES_SQL}, files AS (SELECT path, kind FROM nodes WHERE kind IN ('customer', 'part')), units AS (SELECT path AS prefix, name FROM nodes WHERE kind IN ('region', 'nation')),
 own AS (SELECT f.path, arg_max(u.prefix, length(u.prefix)) AS prefix FROM files f JOIN units u ON f.path = u.prefix OR starts_with(f.path, u.prefix || '/') GROUP BY f.path)

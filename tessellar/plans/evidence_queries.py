@@ -10,7 +10,7 @@ from ..operators import aggregates, lookup
 from .graph_queries import WITH_G, relations_of
 from .registry import query
 from .scope_queries import ENTRY_SQL, mains
-from .views import NODES_SQL, nodes, table, uses
+from .views import nodes, table, uses
 
 
 @query("""WITH d AS (SELECT doc_id, text, instr(text, 'er') AS p FROM documents)
@@ -193,11 +193,3 @@ def understand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def understand_some(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some dimensions of the report alone; a filter on the literal dimension prunes the others' scans."""
     return understand(spark, sf_dir).where("dimension in ('data', 'changes')").groupBy("dimension").agg(F.count(F.lit(1)).alias("shown"), F.max("total").alias("total"))
-
-
-@query(f"""WITH {NODES_SQL}, mods AS (SELECT id, path, name, package FROM nodes WHERE kind IN ('nation', 'customer', 'order'))
-SELECT package AS component, count(*) AS members, min(id) AS first_member, count(DISTINCT split_part(path, '/', 3)) AS folders FROM mods GROUP BY package""")
-def component_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members by the component that their nearest named ancestor gives them."""
-    mods = nodes(spark, sf_dir).where("kind in ('nation', 'customer', 'order')")
-    return mods.groupBy(F.col("package").alias("component")).agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first_member"), F.count_distinct(F.split_part("path", F.lit("/"), F.lit(3))).alias("folders"))

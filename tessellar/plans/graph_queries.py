@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import holds
 from ..operators import aggregates, lookup, rules
 from .registry import query
 from .views import LINKS_SQL, NODES_SQL, USES_SQL, links, nodes, package_keys, table, use_keys, uses
@@ -65,14 +64,6 @@ def symbol_lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.find_nodes(all_nodes, wanted).select("id", "qualified", "path", "stage")
 
 
-@query(f"""WITH {NODES_SQL}, hits AS (SELECT id, qualified FROM nodes WHERE qualified ILIKE '%red%' OR name ILIKE '%red%' OR path ILIKE '%red%')
-SELECT id, qualified, (SELECT count(*) FROM hits) AS total, (SELECT count(*) FROM hits) > 60 AS truncated
-FROM hits ORDER BY qualified, id LIMIT 40 OFFSET 20""")
-def substring_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of a search: 40 rows after 20, the exact name first in a general order."""
-    hit = holds(F.col("qualified"), "%red%") | holds(F.col("name"), "%red%") | holds(F.col("path"), "%red%")
-    return lookup.page(nodes(spark, sf_dir).where(hit).select("id", "qualified"), [F.asc("qualified"), F.asc("id")], 20, 40)
-
 
 HUBS_SQL = f"{WITH_G}, hubs AS (SELECT target AS id FROM uses WHERE kind = 'uses_supplier' GROUP BY target ORDER BY count(*) DESC, target LIMIT 20)"
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import aggregates, diff, traversal
+from ..operators import aggregates, diff, forest, traversal
+from ..storage import keep
 from .registry import query
 from .views import LINKS_SQL, NODES_SQL, SNAPSHOTS_SQL, USES_SQL, links, nodes, package_keys, snapshots, table, use_keys
 
@@ -116,7 +117,8 @@ def scope_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes in a scope and all that contain them, by kind."""
     g = nodes(spark, sf_dir)
     scope = g.where((F.col("kind") != "part") & (F.col("package").contains("NATION_1") | F.col("path").contains("NATION_1") | (F.col("id") == "region:0")))
-    above = traversal.ancestors(g, 4).join(scope.select("id"), "id", "left_semi").select(F.col("ancestor").alias("id"))
+    tree = keep(forest.labels(g), "forest")
+    above = forest.enclosing(tree.join(scope.select("id"), "id", "left_semi"), tree).select(F.col("a_id").alias("id"))
     ids = scope.select("id").unionByName(above).distinct()
     return g.join(ids, "id", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .. import storage
 from ..functions import predicates as p
 from ..functions import text as tx
-from ..operators import aggregates, diff, intervals, lookup, records
+from ..operators import aggregates, diff, intervals, records
 from .graph_queries import WITH_G
 from .registry import query
 from .snapshot_queries import SPANS_SQL, WITH_S, order_spans
@@ -60,15 +60,6 @@ def component_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(first.groupBy("package").agg(shown.alias("evidence")), "package")
 
 
-@query(f"""WITH {NODES_SQL}, q AS (SELECT min(name) AS q FROM nodes WHERE kind = 'part')
-SELECT id, qualified, CAST(row_number() OVER (ORDER BY CASE WHEN name = q THEN 0 ELSE 1 END, qualified, path, id) AS INTEGER) AS place FROM nodes, q
-WHERE name ILIKE '%' || split_part(q, ' ', 1) || '%' OR qualified ILIKE '%' || split_part(q, ' ', 1) || '%' OR path ILIKE '%' || split_part(q, ' ', 1) || '%' ORDER BY place LIMIT 100""")
-def search_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search over three columns, the exact name first."""
-    g = nodes(spark, sf_dir)
-    name = g.where("kind = 'part'").agg(F.min("name")).first()[0] or ""
-    return lookup.search(g, name.split(" ")[0], name, 100).select("id", "qualified", "place")
-
 
 @query(f"""WITH {SPANS_SQL}, f AS (SELECT a.name AS id, b.name AS other, row_number() OVER (PARTITION BY a.name ORDER BY b.e - b.s, b.name) AS k FROM spans a JOIN spans b ON a.c = b.c AND b.s < a.e AND b.e > a.s AND a.name <> b.name)
 SELECT id, other, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY id, k) AS place FROM f WHERE k <= 4) WHERE place <= 12""")

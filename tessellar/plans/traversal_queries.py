@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import traversal
+from ..operators import condense, forest, traversal
+from ..storage import keep
 from .registry import query
 from .views import FOLLOWS_SQL, NODES_SQL, USES_SQL, follows, nodes, uses
 
@@ -58,7 +59,7 @@ def impact_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT u.id, n.parent, u.distance + 1 FROM up u JOIN nodes n ON u.ancestor = n.id WHERE n.parent IS NOT NULL)
 SELECT id, ancestor, distance FROM up""")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.ancestors(nodes(spark, sf_dir), 4)
+    return forest.ancestors(nodes(spark, sf_dir))
 
 
 @query(f"""WITH {NODES_SQL}, {USES_SQL}, t AS (SELECT u.source, n.package FROM uses u JOIN nodes n ON u.target = n.id AND u.kind = 'uses_supplier')
@@ -76,8 +77,6 @@ SELECT id, reach, top FROM r, m WHERE reach * 10 >= top * 9 ORDER BY id LIMIT 1"
 def trunk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of all starts that reach at least nine tenths of the widest reach within two steps; reaches are cut at 400,
     so that a start never holds more."""
-    edges = follows(spark, sf_dir).withColumn("id", F.col("target"))
-    walk = traversal.reach_capped(edges, edges.select(F.col("source").alias("id")), 400, 2)
-    reach = walk.nodes.where("id <> seed").groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
+    reach = keep(condense.near_reach(follows(spark, sf_dir), 400, 2).where("reach > 0"), "reach")
     top = reach.agg(F.max("reach").alias("top"))
     return reach.join(F.broadcast(top), F.col("reach") * 10 >= F.col("top") * 9).orderBy("id").limit(1)

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import scans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,8 +104,8 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str, unknown: tuple[str, ...] = ("error", "signup")) -> DataFrame:
     """id, source, target, resolution, kind: every event leads from the user before it, within an event type and hour, to
     its own; that of an error is not resolved and that of a signup is external."""
-    order = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
-    steps = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").withColumn("source", F.lag("user_id").over(order))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    steps = scans.running_last(events, ["event_type", "hour"], ["ts", "event_id"], "user_id", "source", before=True)
     target = F.when(~F.col("event_type").isin(list(unknown)), F.col("user_id")) if unknown else F.col("user_id")
     resolution = F.when(F.col("event_type") == "error", "unresolved").when(F.col("event_type") == "signup", "external").otherwise("resolved")
     return steps.where("source is not null").select(F.col("event_id").alias("id"), "source", target.alias("target"), resolution.alias("resolution"), F.col("event_type").alias("kind"))

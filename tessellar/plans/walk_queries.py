@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, traversal
+from ..operators import aggregates, condense, traversal
 from .registry import query
 from .views import CALLS_SQL, calls
 
@@ -125,8 +125,7 @@ reach AS MATERIALIZED (SELECT seed, least(count(*), 400) AS reach FROM r WHERE i
 
 def reach_sizes(edges: DataFrame) -> DataFrame:
     """seed, reach: up to 400 other users that each user reaches."""
-    found = traversal.reach_capped(edges, sources(edges.where("target is not null")), 400)
-    return found.nodes.where("id <> seed").groupBy("seed").agg(F.count(F.lit(1)).alias("reach"))
+    return condense.bounded_reach(edges, 400).where("reach > 0").select(F.col("id").alias("seed"), "reach")
 
 
 @query(f"{REACH_SQL} SELECT seed, reach FROM reach")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
 import os
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.ident import frame
 from ..functions.predicates import DENIED_COMPONENTS, admitted, glob_pattern
+from ..operators import line_diff
+from ..storage import keep
 
 #: Files beyond this size are not taken.
 MAX_BYTES = 32 << 20
@@ -85,15 +85,9 @@ def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
     return met.where(~F.col("was").eqNullSafe(F.col("now"))).select("path", state.alias("state"))
 
 
-def line_diffs(before: DataFrame, after: DataFrame, lines: int = 160, width: int = 800) -> DataFrame:
-    """path, state, diff (unified, context 3), truncated for each path whose content differs; lines and their width are
-    capped as stated. A file is compared in the task that holds both of its versions."""
+def line_diffs(before: DataFrame, after: DataFrame, lines: int = line_diff.LINES, width: int = line_diff.CHARS) -> DataFrame:
+    """path, state, diff, added, removed, truncated for each path whose content differs."""
     met = changed_paths(before, after).join(before.select("path", F.col("content").alias("was")), "path", "left").join(after.select("path", F.col("content").alias("now")), "path", "left")
-
-    @F.pandas_udf("array<string>")
-    def compared(was: pd.Series, now: pd.Series) -> pd.Series:
-        return pd.Series([list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "before", "after", n=3, lineterm="")) for a, b in zip(was, now, strict=True)])
-
-    whole = met.select("path", "state", compared("was", "now").alias("d"))
-    long = F.exists("d", lambda x: F.length(x) > width)
-    return whole.select("path", "state", F.transform(F.slice("d", 1, lines), lambda x: F.substring(x, 1, width)).alias("diff"), ((F.size("d") > lines) | long).alias("truncated"))
+    met = keep(met, "diff-pairs")
+    shown = line_diff.bounded(line_diff.diff(met, "path", "was", "now"), lines, width)
+    return met.select("path", "state").join(shown.withColumnRenamed("key", "path"), "path", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessellar.functions import ident
 from tessellar.functions import predicates as p
 from tessellar.functions import text as tx
-from tessellar.operators import aggregates, diff, intervals, lookup, records, rules, traversal
+from tessellar.operators import aggregates, diff, forest, intervals, lookup, records, rules, traversal
 
 
 def value(spark, column):
@@ -64,7 +64,7 @@ def test_lookup_stages(spark):
     assert lookup.find_nodes(nodes, "100%").count() == 0
     second = lookup.page(nodes, [F.asc("id")], 1, 1).first()
     assert (second.id, second.total, second.truncated) == ("2", 3, True)
-    assert [(r.id, r.ancestor) for r in traversal.ancestors(nodes).collect()] == [("2", "1")]
+    assert [(r.id, r.ancestor) for r in forest.ancestors(nodes).collect()] == [("2", "1")]
 
 
 def test_multiset_diff(spark):
@@ -208,15 +208,31 @@ def test_publishing_is_all_or_nothing(spark, tmp_path):
     assert storage.publish(spark.range(5), path) == 3
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_two_writers_of_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tessellar import storage
+
+    path = str(tmp_path / "shared")
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda n: (storage.publish(spark.range(n), path), n), range(1, 7)))
+    assert sorted(v for v, _ in made) == list(range(1, 7))
+    assert all(storage.published(spark, path, v).count() == n for v, n in made)
+    storage.put_version(spark.range(1), path, 9)
+    with pytest.raises(storage.VersionTaken):
+        storage.put_version(spark.range(2), path, 9)
+    assert storage.next_version(spark, path) == 10 and storage.published(spark, path).count() == 1
+
+
+@pytest.mark.parametrize("width", [3, 40, 1 << 40])
 def test_intervals_in_bins(spark, width):
     import random
 
     rng = random.Random(4)
-    spans = [(f"k{rng.randrange(3)}", a, a + rng.randrange(0, 40), f"s{i}") for i in range(60) for a in [rng.randrange(-50, 50)]]
+    spans = [(f"k{rng.randrange(3)}", a, a + rng.randrange(0, width if i % 5 == 0 else 40), f"s{i}") for i in range(60) for a in [rng.randrange(-50, 50)]]
     points = [(f"k{rng.randrange(3)}", rng.randrange(-60, 100)) for _ in range(80)]
     s = spark.createDataFrame(spans, "key string, start long, end long, name string")
-    got = {(r.key, r.at): (r.start, r.name) for r in intervals.innermost(spark.createDataFrame(sorted(set(points)), "key string, at long"), s, "key", width).collect()}
+    got = {(r.key, r.at): (r.start, r.name) for r in intervals.innermost(spark.createDataFrame(sorted(set(points)), "key string, at long"), s, "key").collect()}
     want = {}
     for k, at in set(points):
         held = [(a, n) for key, a, b, n in spans if key == k and a <= at < b]
@@ -224,7 +240,7 @@ def test_intervals_in_bins(spark, width):
             want[k, at] = max(held)
     assert got == want
     others = s.selectExpr("key", "name as other", "start as from", "end as to")
-    rows = intervals.overlapping(s.withColumnRenamed("name", "id"), others, "key", 10_000, width).collect()
+    rows = intervals.overlapping(s.withColumnRenamed("name", "id"), others, "key", 10_000).collect()
     pairs = {(n1, n2) for k1, a1, b1, n1 in spans for k2, a2, b2, n2 in spans if k1 == k2 and a2 < b1 and b2 > a1 and a1 < b1 and a2 < b2}
     assert len(rows) == len(pairs) and {(r.id, r.other) for r in rows} == pairs
 

@@ -178,11 +178,14 @@ def test_first_above_and_expanded(spark):
     assert paths == {(("a",), False), (("a", "b"), False), (("a", "b", "c"), False), (("c",), False), (("c", "d"), False), (("c", "d", "e"), False), (("d",), False), (("d", "e"), False), (("z",), False), (("z", "z"), True)}
 
 
-def test_neighbourhood(spark):
+def test_neighbourhoods(spark):
     rng = random.Random(8)
     rows = [(k, rng.randrange(6), None if rng.random() < 0.3 else rng.randrange(12), rng.choice(["resolved", "external", "unresolved"]), rng.randrange(1000)) for k in range(150)]
+    rows += [(200 + k, 20 + k % 5, 30 + k % 3 if k % 4 else 21, "resolved", 7) for k in range(60)] + [(300 + k, 50, 60 + k, "resolved", k) for k in range(40)]
     df = spark.createDataFrame(rows, "id long, source long, target long, resolution string, start_byte long").cache()
-    for entries in ([0, 1, 2, 3], [5], [11]):
+    seeds = {"many": [0, 1, 2, 3], "one": [5], "leaf": [11], "same": [20, 20, 21], "wide": [50, 0], "none": [99]}
+    want = {}
+    for name, entries in seeds.items():
         queue, seen, unknown, cut = deque((e, 0) for e in entries[:3]), [], [], len(entries) > 3
         while queue:
             node, d = queue.popleft()
@@ -197,7 +200,7 @@ def test_neighbourhood(spark):
                 cut |= bool(own)
                 continue
             cut |= len(own) > 24
-            for r in sorted(own[:24], key=lambda r: r[4]):
+            for r in sorted(own[:24], key=lambda r: (r[4], r[0])):
                 if r[2] is not None:
                     if len(queue) < 12:
                         queue.append((r[2], d + 1))
@@ -205,4 +208,6 @@ def test_neighbourhood(spark):
                         cut = True
                 elif r[3] != "external" and len(unknown) < 4:
                     unknown.append(r[0])
-        assert traversal.neighbourhood(df, entries) == (seen, unknown, cut)
+        want[name] = (seen, unknown, cut)
+    entries = spark.createDataFrame([(s, k, e) for s, es in seeds.items() for k, e in enumerate(es)], "seed string, place int, id long")
+    assert {r.seed: (r.visited, r.unknown, r.cut) for r in traversal.neighbourhoods(df, entries).collect()} == want
