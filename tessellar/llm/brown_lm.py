@@ -1,19 +1,22 @@
 """Language-model scores from a Brown class bigram.
 
-P(word | previous word) = P(class | previous class) * P(word | class). The end of a text has a class of its own. All other
-classes, CLASSES of them, are found by exchange clustering over units: each word that occurs LEAST times or more is a unit
-(the CLUSTERED most frequent ones where there are more, so that the least count grows with the corpus), and the rarer
-words, known or not, come together in POOLS by their last two bytes, each pool a unit that is clustered by the contexts of
-all its words. So every class is learned. Class transitions are smoothed towards class frequencies, emissions by 0.5.
-
-Counts are Spark aggregates over all training texts. Exchange moves a unit to the class that raises the likelihood of the
-class bigrams most. It is seeded by the pools and the SEEDS most frequent words, moved one after another over their own
-squared table, whose size the parameters fix; other words begin in the class of their pool. Then ROUNDS rounds run in
-tasks: a task holds all neighbours of its units and picks their classes by the class-by-class table, which is sent to it
-with the class of each unit. The first round moves all units; later ones move every other unit, and one that does not
-raise the likelihood is undone and is the last. Scoring needs the count of every word: the KNOWN most frequent words go to
-the tasks as a dictionary of bounded size, the rest of a text's distinct words are joined with the whole vocabulary, and
-what the join adds is summed by text.
+P(word | previous word) = WEIGHT * P(class | previous class) * P(word | class) + (1 - WEIGHT) * the base probability of the
+word, so that a word whose class was learned from few contexts is not lost on it. The end of a text has a class of its own. All other
+words have one of CLASSES classes, which are learned from their neighbours:
+
+* The most frequent words, KNOWN at most, are exchanged: each is moved to the class that raises the likelihood of the class
+  bigrams most, in sweeps in which groups of words take turns, until a sweep raises it no more than TOLERANCE of itself. Moves of
+  a group that do not raise it together are undone. Where the vocabulary is no larger than KNOWN, these are all words. Rarer ones stand
+  together in POOLS by their last two bytes meanwhile, as contexts of the others.
+* Each rarer word then gets the class that its own neighbours, counted over all training texts, favour by the same measure. A
+  pool's class is left to words that no training text has.
+
+Class transitions are smoothed towards class frequencies, emissions by 0.5. Counts are Spark aggregates over all training
+texts. Exchange is seeded by the SEEDS most frequent words and the pools, moved one after another over their own squared table, whose
+size the parameters fix; other words begin in the class of their pool. In a round a task holds all neighbours of its words
+and picks their classes by the class-by-class table, which is sent to it with the class of each word. Scoring sends the KNOWN
+words to the tasks as a dictionary of bounded size; the rest of a text's distinct words are joined with the vocabulary and its
+classes, and meet their text again by row.
 
 Training texts are those whose crc32(doc_id as text) mod 5 is not 1 (a null doc_id trains). A-Z are lower-cased, words
 are runs of other than the six ASCII blanks, and each text has one end, which also is the context of its first word.
@@ -30,19 +33,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, fold, keep, map_texts, small_batches
 
 KNOWN = 100_000
 SEEDS, CLASSES, POOLS, SWEEPS = 500, 64, 256, 5
-#: Words that are units of their own, at most, and how often they occur at least; rounds in tasks.
-CLUSTERED, LEAST, ROUNDS = 100_000, 5, 5
+#: Words take turns in so many groups; a sweep of all groups that raises the likelihood by less than this share of itself is
+#: the last.
+TURNS, TOLERANCE = 4, 5e-3
+#: Stands for a word whose class comes by a join.
+ABSENT = 255
 #: Units are dealt to so many buckets; neighbours counted at once in a task; units placed at once.
 BUCKETS, AT_ONCE, PLACED = 256, 2_000_000, 128
-#: Pseudo-counts of a class transition, spread by class frequency.
-SPREAD = 4.0
+#: Pseudo-counts of a class transition, spread by class frequency; and the share of the classes in a word's probability.
+SPREAD, WEIGHT = 4.0, 0.8
 #: The end of a text among words; no word is empty.
 END = b""
 
@@ -51,6 +57,11 @@ def pool_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % POOLS
 
 
+def pool() -> Column:
+    """The pool of column ``word``."""
+    return F.expr(f"cast(crc32(substring(word, -2, 2)) % {POOLS} as int)")
+
+
 def rows_with_bucket(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(crc_bucket("doc_id", 5), F.lit(0)).alias("bucket"))
 
@@ -177,14 +188,14 @@ def between_groups(pairs: DataFrame, group: np.ndarray, size: int) -> np.ndarray
     known = pairs.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, of = np.zeros(size * size, np.int64), known.value
+        table, of = np.zeros(size * size), known.value
         for batch in batches:
             for words, sizes, others, n in unpacked(batch):
                 ahead = others % 2 == 0
-                np.add.at(table, (of[np.repeat(words, sizes)] * size + of[others >> 1])[ahead], n[ahead])
+                table += np.bincount((of[np.repeat(words, sizes)] * size + of[others >> 1])[ahead], n[ahead], size * size)
         cells = np.flatnonzero(table)
         if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells].astype(np.int64))], names=["pair", "n"])
 
     got = pairs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size * size)
@@ -202,20 +213,27 @@ def likelihood(between: np.ndarray) -> float:
 
 def best_classes(between: np.ndarray, at: np.ndarray, ahead: np.ndarray, behind: np.ndarray, own: np.ndarray) -> np.ndarray:
     """For each of some units, of class ``at`` >= 1, the class >= 1 where it raises the likelihood most while the others
-    stay. ahead and behind are its counts by class, without its ``own`` pairs with itself."""
+    stay. ahead and behind are its counts by class, without its ``own`` pairs with itself. Only cells that a unit has counts
+    in change, so the work grows with the classes beside a unit, not with all pairs of classes."""
     n, size = ahead.shape
     one, to = np.arange(n), np.arange(1, size)
+    mine = to == at[:, None]
     gain = np.zeros((n, size - 1))
-    inner = np.diag(between)[1:] - (to == at[:, None]) * (ahead[one, at] + behind[one, at] + own)[:, None]
+    inner = np.diag(between)[1:] - mine * (ahead[one, at] + behind[one, at] + own)[:, None]
     for table, more, back in ((between, ahead, behind), (between.T, behind, ahead)):
-        cells = np.repeat(table[None, 1:], n, axis=0)  # the unit taken out of its class
-        cells[one, at - 1] -= more
-        cells[one, :, at] -= back[:, 1:]
-        cells[one, at - 1, at] -= own
-        raised = x_log(cells + more[:, None]) - x_log(cells)
-        gain += raised.sum(2) - raised[:, to - 1, to]  # the cell of a class with itself is counted below
+        unit, j = np.nonzero(more)
+        added = more[unit, j][:, None]
+        cells = table[1:, j].T - mine[unit] * added  # the unit taken out of its class
+        home = j == at[unit]
+        cells[home] -= back[unit[home], 1:] + mine[unit[home]] * own[unit[home], None]
+        raised = x_log(cells + added) - x_log(cells)
+        other = np.flatnonzero(j > 0)
+        raised[other, j[other] - 1] = 0  # the cell of a class with itself is counted below
+        if len(unit):
+            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            gain[unit[first]] += np.add.reduceat(raised, first, axis=0)
         mass, whole = table.sum(1)[1:], (more.sum(1) + own)[:, None]
-        left = mass - (to == at[:, None]) * whole
+        left = mass - mine * whole
         gain -= x_log(left + whole) - x_log(left)
     gain += x_log(inner + ahead[:, 1:] + behind[:, 1:] + own[:, None]) - x_log(inner)
     best = np.argmax(gain, axis=1)
@@ -250,17 +268,17 @@ def exchange(counts: np.ndarray) -> np.ndarray:
     return owner
 
 
-def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, turn: int | None) -> np.ndarray:
-    """owner after each unit, or each whose turn it is, has chosen by the counts as they are."""
+def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, turn: int) -> np.ndarray:
+    """owner after each unit whose turn it is has chosen by the counts as they are."""
     size = len(between)
     known = pairs.sparkSession.sparkContext.broadcast((owner, between))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table = known.value
+        (of, table), out = known.value, []
         for batch in batches:
             for words, sizes, others, n in unpacked(batch):
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                mine = np.flatnonzero((words > 0) & ((words // BUCKETS + words) % 2 == turn if turn is not None else True))
+                mine = np.flatnonzero((words > 0) & ((words // BUCKETS + words) % TURNS == turn))
                 for some in np.array_split(mine, -(-len(mine) // PLACED)) if len(mine) else ():
                     entry = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in some])
                     row = np.repeat(np.arange(len(some)), sizes[some])
@@ -270,12 +288,14 @@ def moves(pairs: DataFrame, owner: np.ndarray, between: np.ndarray, turn: int |
                     sums = np.bincount(cell[~itself], times[~itself], len(some) * 2 * size).reshape(-1, 2, size)
                     own = np.bincount(row[itself & (other % 2 == 0)], times[itself & (other % 2 == 0)], len(some))
                     best = best_classes(table, of[words[some]], sums[:, 0], sums[:, 1], own)
-                    yield pa.RecordBatch.from_arrays([pa.array(words[some], pa.int32()), pa.array(best, pa.int32())], names=["word", "class"])
+                    out.append((words[some].astype("<i4"), best.astype("<i4")))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*out, strict=True)], names=["words", "classes"])
 
-    out = owner.copy()
-    for r in pairs.mapInArrow(run, "word int, class int").toLocalIterator():
-        out[r["word"]] = r["class"]
-    return out
+    new = owner.copy()
+    for r in pairs.mapInArrow(run, "words binary, classes binary").collect():  # KNOWN numbers, packed
+        new[np.frombuffer(r["words"], "<i4")] = np.frombuffer(r["classes"], "<i4")
+    return new
 
 
 def cluster(pairs: DataFrame, clustered: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,107 +305,191 @@ def cluster(pairs: DataFrame, clustered: list[bytes]) -> tuple[np.ndarray, np.nd
     group = np.concatenate([np.arange(1 + first), 1 + first + pools, 1 + first + np.arange(POOLS)])
     owner = exchange(between_groups(pairs, group, 1 + first + POOLS))[group]
     between = between_groups(pairs, owner, size)
-    for k in range(ROUNDS):
-        tried = moves(pairs, owner, between, None if k == 0 else k % 2)
-        table = between_groups(pairs, tried, size)
-        if likelihood(table) <= likelihood(between):
-            if k:
-                break
-            continue
-        owner, between = tried, table
-    return owner, between
+    while True:
+        before = likelihood(between)
+        for turn in range(TURNS):
+            tried = moves(pairs, owner, between, turn)
+            table = between_groups(pairs, tried, size)
+            if likelihood(table) > likelihood(between):
+                owner, between = tried, table
+        if likelihood(between) - before <= TOLERANCE * abs(before):
+            return owner, between
+
+
+def contexts(train: DataFrame, classes: dict[bytes, int], pools: np.ndarray) -> DataFrame:
+    """word, code, n of the words without a class of their own yet: how often a class stands after (code = class) or before
+    (code = 256 + class) them. A neighbour that has none either counts with its pool's class (before: code = 512 + class)."""
+    known = train.sparkSession.sparkContext.broadcast((classes, pools))
+    schema = pa.schema([("word", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
+    small_batches(train.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, spelled = known.value
+        held: Counter = Counter()
+
+        def sent() -> pa.RecordBatch:
+            words, codes = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(codes, pa.int32()), pa.array(held.values(), pa.int64())], schema=schema)
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                words = fold(x).split()
+                own = [of.get(w, -1) for w in words]
+                rare = [k for k, c in enumerate(own) if c < 0]
+                if not rare:
+                    continue
+                beside = [0, *own, 0]
+                for k in rare:
+                    beside[k + 1] = int(spelled[pool_of(words[k])])
+                for k in rare:
+                    held[words[k], beside[k + 2]] += 1
+                    held[words[k], (512 if k and own[k - 1] < 0 else 256) + beside[k]] += 1
+                if len(held) >= AT_ONCE // 8:
+                    yield sent()
+                    held.clear()
+        if held:
+            yield sent()
+
+    return train.select("text").mapInArrow(run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+
+def own_classes(found: DataFrame, pools: np.ndarray, between: np.ndarray) -> DataFrame:
+    """word, class, codes, n: the class that each word's contexts favour, with its contexts."""
+    lists = found.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("c"))  # three for each class at most
+    schema = pa.schema([("word", pa.binary()), ("class", pa.int32()), ("codes", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    size = len(between)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            for part in range(0, len(words), PLACED):
+                some = slice(part, part + PLACED)
+                codes, times = batch.column(1)[some].to_pylist(), batch.column(2)[some].to_pylist()
+                sums = np.zeros((len(codes), 3, 256))
+                for k, (c, n) in enumerate(zip(codes, times, strict=True)):
+                    sums.reshape(len(codes), -1)[k, c] = n
+                at = np.array([pools[pool_of(w)] for w in words[some]], np.int64)
+                best = best_classes(between, at, sums[:, 0, :size], sums[:, 1, :size] + sums[:, 2, :size], np.zeros(len(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(words[some], pa.binary()), pa.array(best, pa.int32()), pa.array(codes, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))], schema=schema)
+
+    return lists.select("word", "c.code", "c.n").mapInArrow(run, "word binary, class int, codes array<int>, n array<long>")
+
+
+def moved_pairs(rare: DataFrame, pools: np.ndarray, size: int) -> np.ndarray:
+    """What the counts of neighbouring classes gain and lose as each rare word leaves its pool's class for its own. A pair of
+    two of them moves with the first; the second stands in it with its pool's class."""
+    lists = rare.select(pool().alias("p"), "class", F.explode(F.arrays_zip("codes", "n")).alias("x")).where("x.codes < 512")
+    out = np.zeros((size, size))
+    for r in lists.groupBy("p", "class", "x.codes").agg(F.sum("x.n").alias("n")).collect():  # POOLS * CLASSES * 2 * (CLASSES + 1) at most
+        old, new = pools[r.p], r["class"]
+        if r.codes < 256:
+            out[old, r.codes] -= r.n
+            out[new, r.codes] += r.n
+        else:
+            out[r.codes - 256, old] -= r.n
+            out[r.codes - 256, new] += r.n
+    return out
 
 
 @dataclass
 class Model:
-    """What scoring tasks need; everything but ``numbers`` and its three columns has a size set by the parameters."""
+    """What scoring tasks need, of a size set by the parameters."""
 
     numbers: dict[bytes, int]  # the KNOWN most frequent words
-    base: np.ndarray  # log10 of their base probability
-    emit: np.ndarray  # log10 P(word | class)
+    logs: np.ndarray  # log10 of their smoothed counts
     classes: np.ndarray
-    own: dict[bytes, int]  # classes of the clustered words that are not among them
-    pools: np.ndarray  # classes of the pools
-    steps: np.ndarray  # log10 P(class | class)
-    rare: np.ndarray  # by class: log10 of the emission's denominator
+    pools: np.ndarray  # classes of words that no training text has, by pool
+    cells: np.ndarray  # log10 of what a smoothed count is multiplied by, by the classes of the previous word and of its own
     unit: float  # log10 of the base denominator
-    end: tuple[float, float, int]  # base, emission, known
-
-    def class_of(self, word: bytes) -> int:
-        """Class of a word that is not among the KNOWN."""
-        return self.own.get(word) or int(self.pools[pool_of(word)])
+    end: tuple[float, int]  # log10 of the smoothed count, known
 
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
-    """(model, vocabulary, N)."""
+    """(model; word, c, class of the words beyond its dictionary; N)."""
     words = keep(vocabulary(train), "lm-vocabulary")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = most_frequent(words.where(F.length("word") > 0), KNOWN)
-    clustered = [w for w, _ in most_frequent(words.where(F.length("word") > 0).where(F.col("c") >= LEAST), CLUSTERED)]
-    pairs = keep(neighbours(train, {w: 1 + k for k, w in enumerate(clustered)}), "lm-neighbours")
-    owner, between = cluster(pairs, clustered)
-    size, pools = 1 + CLASSES, owner[1 + len(clustered) :]
-    mass = between.sum(0)  # tokens of each class
-    share = (mass + 0.5) / (mass.sum() + 0.5 * size)
-    steps = np.log10((between + SPREAD * share) / (between.sum(1, keepdims=True) + SPREAD))
-    kinds = np.zeros(size)  # distinct words of each class, and one yet unknown for each pool
-    kinds[0] = 1
-    np.add.at(kinds, owner[1:], 1)
-    pool = (F.crc32(F.expr("substring(word, -2, 2)")) % POOLS).cast("int")
-    for r in words.where(F.length("word") > 0).groupBy(pool.alias("p")).count().collect():
-        kinds[pools[r.p]] += r["count"]
-    for w in clustered:
-        kinds[pools[pool_of(w)]] -= 1
-    below = np.log10(mass + 0.5 * np.maximum(kinds, 1))
-    unit = float(np.log10(n + 0.5 * (v + 1)))
+    named = words.where(F.length("word") > 0)
+    top = most_frequent(named, KNOWN)
+    pairs = keep(neighbours(train, {w: 1 + k for k, (w, _) in enumerate(top)}), "lm-neighbours")
+    owner, between = cluster(pairs, [w for w, _ in top])
+    size, classes, pools = 1 + CLASSES, owner[1 : 1 + len(top)], owner[1 + len(top) :]
     c = np.array([x for _, x in top], float)
-    own = dict(zip(clustered, owner[1:].tolist()))
-    classes = np.array([own.get(w) or pools[pool_of(w)] for w, _ in top], np.int64)
+    mass, kinds = np.zeros(size), np.zeros(size)  # tokens and distinct words of each class, with one yet unknown for each pool
+    mass[0], kinds[0] = between.sum(0)[0], 1
+    np.add.at(mass, classes, c)
+    np.add.at(kinds, classes, 1)
+    np.add.at(kinds, pools, 1)
+    found = contexts(train, {w: int(k) for (w, _), k in zip(top, classes, strict=True)}, pools)
+    if v - 1 <= len(top):
+        found = found.limit(0)  # the dictionary has all words
+    rare = keep(own_classes(found, pools, between), "lm-rare")
+    between = between + moved_pairs(rare, pools, size)
+    beyond = keep(rare.select("word", "class").join(named, "word"), "lm-beyond")
+    for r in beyond.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        mass[r["class"]] += r.c
+        kinds[r["class"]] += r.n
+    whole = between.sum(0)
+    share = (whole + 0.5) / (whole.sum() + 0.5 * size)
+    steps = (between + SPREAD * share) / (between.sum(1, keepdims=True) + SPREAD)
+    unit = float(np.log10(n + 0.5 * (v + 1)))
+    cells = np.log10(WEIGHT * steps / (mass + 0.5 * np.maximum(kinds, 1)) + (1 - WEIGHT) * 10.0**-unit)
     numbers = {w: k for k, (w, _) in enumerate(top)}
-    own = {w: k for w, k in own.items() if w not in numbers}
-    ends = mass[0]
-    model = Model(numbers, np.log10(c + 0.5) - unit, np.log10(c + 0.5) - below[classes] if len(c) else c, classes, own, pools, steps, below, unit, (float(np.log10(ends + 0.5)) - unit, float(np.log10(ends + 0.5) - below[0]), int(ends > 0)))
-    return model, words, n
+    return Model(numbers, np.log10(c + 0.5), classes, pools, cells, unit, (float(np.log10(mass[0] + 0.5)), int(mass[0] > 0))), beyond, n
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     rows = rows_with_bucket(docs)
-    model, words, n = fit(rows.where("bucket <> 1"))
+    model, beyond, n = fit(rows.where("bucket <> 1"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(cols: dict) -> dict:
         m = sent.value
         number = Numbers(m.numbers)
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_part", "score_part", "words", "times")}
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "logs", "steps", "line", "words", "places")}
         for x in cols["text"]:
             text = fold(x).split()
             at = np.fromiter(map(number.__getitem__, text), np.int64, len(text))
-            rare = np.flatnonzero(at < 0)
-            c = np.zeros(len(text) + 2, np.int64)
             frequent = at >= 0
+            c = np.zeros(len(text) + 2, np.uint8)
+            c[1:-1] = ABSENT
             c[1:-1][frequent] = m.classes[at[frequent]]
-            seen = [text[k] for k in rare]
-            own = np.fromiter(map(m.class_of, seen), np.int64, len(seen))
-            c[1:-1][rare] = own
-            tf = Counter(seen)
+            seen: dict[bytes, list[int]] = {}
+            for k in np.flatnonzero(~frequent).tolist():
+                seen.setdefault(text[k], []).append(k)
             out["n_tokens"].append(len(text) + 1)
-            out["n_known"].append(int(frequent.sum()) + m.end[2])
-            out["base_part"].append(float(m.base[at[frequent]].sum() - len(seen) * m.unit) + m.end[0])
-            out["score_part"].append(float(m.steps[c[:-1], c[1:]].sum() + m.emit[at[frequent]].sum() - m.rare[own].sum()) + m.end[1])
-            out["words"].append(list(tf.keys()))
-            out["times"].append(list(tf.values()))
+            out["n_known"].append(int(frequent.sum()) + m.end[1])
+            out["logs"].append(float(m.logs[at[frequent]].sum()) + m.end[0])
+            out["steps"].append(None if seen else float(m.cells[c[:-1], c[1:]].sum()))
+            out["line"].append(c.tobytes() if seen else None)
+            out["words"].append(list(seen))
+            out["places"].append(list(seen.values()))
         return {"row": cols["row"], "doc_id": cols["doc_id"], "held_out": [b == 1 for b in cols["bucket"]], **out}
 
-    parts = map_texts(rows.withColumn("row", F.monotonically_increasing_id()), run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, score_part double, words array<binary>, times array<long>")
+    parts = map_texts(rows.withColumn("row", F.monotonically_increasing_id()), run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double, line binary, words array<binary>, places array<array<int>>")
     parts = keep(parts, "lm-parts")
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    met = rare.join(words, "word", "left")
-    logs = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    added = met.groupBy("row").agg(F.sum(logs).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    whole = parts.drop("words", "times").join(added, "row", "left")
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_part") + zero("logs")).alias("base_score"), (F.col("score_part") + zero("logs")).alias("score"),
-    )
+    rare = parts.where("line is not null").select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.places").alias("places"))
+    spelled = F.element_at(F.array(*[F.lit(int(k)) for k in model.pools]), pool() + 1)
+    met = rare.join(beyond, "word", "left").select("row", "places", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", spelled).alias("class"))
+    lists = met.groupBy("row").agg(F.collect_list(F.struct("places", "c", "class")).alias("found"))  # a text's own words
+    fixed = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs"]
+    rest = parts.where("line is not null").select(*fixed, "line").join(lists, "row")
+
+    def finish(cols: dict) -> dict:
+        m = sent.value
+        out: dict[str, list] = {"n_known": [], "logs": [], "steps": []}
+        for known, logs, line, found in zip(cols["n_known"], cols["logs"], cols["line"], cols["found"], strict=True):
+            c = np.frombuffer(line, np.uint8).copy()
+            for w in found:
+                c[1 + np.array(w["places"])] = w["class"]
+                logs += len(w["places"]) * float(np.log10(w["c"] + 0.5))
+                known += len(w["places"]) if w["c"] else 0
+            out["n_known"].append(known)
+            out["logs"].append(logs)
+            out["steps"].append(float(m.cells[c[:-1], c[1:]].sum()))
+        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "n_tokens": cols["n_tokens"], **out}
+
+    own = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "steps"]
+    whole = parts.where("line is null").select(*own).unionByName(map_texts(rest, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double"))
+    base = (F.col("logs") - F.col("n_tokens") * F.lit(model.unit)).alias("base_score")
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base, (F.col("logs") + F.col("steps")).alias("score"))

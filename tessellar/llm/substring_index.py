@@ -18,7 +18,7 @@ A document loses every word that lies in a window whose words also start in a do
 its own or an earlier batch; what was judged is not judged again, so batches come by ascending doc_id where all documents
 are to count, as ``dedup_substrings`` makes them. Words are unchanged runs of other than the six ASCII blanks. Null text
 has no words; a document of fewer than WINDOW words loses nothing; a null doc_id is never smaller nor larger; rows that
-repeat a doc_id do not count against each other; very long texts are cut into overlapping parts; empty input gives an
+repeat a doc_id do not count against each other; any long is a doc_id; very long texts are cut into overlapping parts; empty input gives an
 empty result; extra columns are ignored.
 """
 
@@ -28,11 +28,10 @@ import uuid
 from hashlib import sha256
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import tables_dir
+from ..storage import next_version, put_version, tables_dir, versions
 from .common import keep, map_texts, mix, words_of
 from .shingles import Spans, run_hashes, word_hashes
 
@@ -138,22 +137,21 @@ def windows_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class SubstringIndex:
-    """Runs in a folder. ``manifest`` gets a row for each run of each version; the highest version counts."""
+    """Runs in a folder. The manifest has a folder for each version, with a row for each of its runs; the highest version
+    counts. A version is put in place by a rename that fails where it exists, so of two writers that began from one version
+    one raises an error, and its runs are never seen."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
-        try:
-            rows = spark.read.schema("version long, kind string, level int, run string").json(f"{self.path}/manifest").collect()
-        except AnalysisException:  # a new index
-            rows = []
-        self.version = max((r.version for r in rows), default=0)
-        self.runs = [(r.kind, r.level, r.run) for r in rows if r.version == self.version and r.run]
+        manifest = f"{self.path}/manifest"
+        self.next, found = next_version(spark, manifest), versions(spark, manifest)
+        rows = spark.read.parquet(f"{manifest}/{found[-1][1]}").collect() if found else []
+        self.runs = [(r.kind, r.level, r.run) for r in rows if r.run]
 
     def _commit(self, runs: list[tuple[str, int, str]]) -> None:
-        self.version += 1
-        self.runs = runs
-        rows = [(self.version, *r) for r in runs] or [(self.version, "", 0, "")]
-        self.spark.createDataFrame(rows, "version long, kind string, level int, run string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        rows = self.spark.createDataFrame(runs or [("", 0, "")], "kind string, level int, run string").coalesce(1)
+        put_version(rows, f"{self.path}/manifest", self.next)
+        self.next, self.runs = self.next + 1, runs
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex}"
@@ -256,9 +254,8 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES, path: str | None =
     index = SubstringIndex(spark, path or f"{tables_dir(spark)}/substring-index-{uuid.uuid4().hex}")
     cuts = []
     for b in range(batches if least is not None else 1):
-        low, high = (least + (most - least + 1) * x // batches for x in (b, b + 1)) if least is not None else (0, 0)
-        inside = F.col("doc_id").between(low, high - 1)
-        cuts.append(index.add(found.where(inside), docs.where(F.col("doc_id") < high)))
+        low, last = (least + (most - least + 1) * b // batches, least + (most - least + 1) * (b + 1) // batches - 1) if least is not None else (0, 0)
+        cuts.append(index.add(found.where(F.col("doc_id").between(low, last)), docs.where(F.col("doc_id") <= last)))
     whole = cuts[0]
     for c in cuts[1:]:
         whole = whole.unionByName(c)

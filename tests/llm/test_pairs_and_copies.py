@@ -9,6 +9,7 @@ from hashlib import sha256
 import pytest
 from conftest import TABLES, duck
 
+from tessellar import storage
 from tessellar.llm import exact_index, ngram_join, queries, substring_index
 from tessellar.llm.common import documents
 
@@ -185,11 +186,11 @@ def test_prefix_shares_a_signature(spark, monkeypatch, frequent):
 
 
 def windows_removed(rows):
-    first = defaultdict(list)
+    first = defaultdict(set)
     for d, t, *_ in rows:
         w = split(t)
         for i in range(len(w) - 49):
-            first[tuple(w[i : i + 50])].append(d)
+            first[tuple(w[i : i + 50])].add(d)
     out = []
     for d, t, *_ in rows:
         w, gone = split(t), set()
@@ -228,6 +229,39 @@ def test_batches_in_separate_calls(spark, rows, tmp_path, fanout):
     assert sorted(got) == windows_removed(rows) and merged >= 1
 
 
+def test_two_writers_of_an_index(spark, rows, tmp_path):
+    frame = spark.createDataFrame(rows[:12], SCHEMA)
+    one, two = (substring_index.SubstringIndex(spark, str(tmp_path / "index")) for _ in range(2))
+    one.add(substring_index.entries(frame), frame)
+    with pytest.raises(storage.VersionTaken):
+        two.add(substring_index.entries(frame), frame)
+    assert substring_index.SubstringIndex(spark, str(tmp_path / "index")).runs == one.runs
+
+
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def extremes():
+    """Ids at both ends of a long, texts of a megabyte, and a near copy of one."""
+    rng = random.Random(12)
+    numbers = [str(rng.randrange(10**6)) for _ in range(150_000)]
+    near = list(numbers)
+    near[70_000:70_020] = ["changed"] * 20
+    rows = [(MOST, " ".join(numbers)), (LEAST, " ".join(near)), (0, "same " * 200_000), (2**62, "x" * 1_000_000), (-5, " ".join(numbers[1000:1100])), (7, "x" * 1_000_000), (8, None)]
+    return [(d, t, "key", "s") for d, t in rows]
+
+
+def test_extreme_ids_and_long_texts(spark):
+    rows = extremes()
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(repr(tuple(r)) for r in substring_index.dedup_substrings(frame).collect())
+    assert got == windows_removed(rows)
+    linked = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame).collect()}
+    assert linked[MOST][1] == linked[LEAST][1] == LEAST and linked[2**62] == (1, 7) and linked[0] == (1, 0) and linked[8] == (0, 8) and linked[-5][1] == -5
+    copies = {r.doc_id: (r.keep_id, r.group_size) for r in exact_index.exact_dedup(frame).collect()}
+    assert copies == {MOST: (MOST, 1), LEAST: (LEAST, 1), 0: (0, 1), 2**62: (7, 2), -5: (-5, 1), 7: (7, 2), 8: (8, 1)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     df = queries.QUERIES[name](spark, TABLES)
