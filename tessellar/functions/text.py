@@ -99,3 +99,22 @@ def narrowed(reference: Column, n_lines: Column) -> Column:
     first, last = part(2).cast("long"), F.coalesce(part(3), part(2)).cast("long")
     whole = F.struct(part(1).alias("id"), first.alias("first"), last.alias("last"))
     return F.when((first >= 1) & (first <= last) & (last <= n_lines), whole)
+
+
+def dependency_line(text: Column, alias: Column) -> Column:
+    """The number, from 1, of the line of a manifest that declares a dependency: a key of a dependencies section, or the head
+    of a section of its own; null without one. The section of a line is a running value over the lines before it."""
+    begun = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("line"), F.lit(0).alias("found"))
+
+    def step(state: Column, raw: Column) -> Column:
+        line = F.trim(F.regexp_replace(raw, r"^[\s]+|[\s]+$", ""))
+        head = line.startswith("[")
+        inside = F.when(head, line.contains("dependencies") & ~line.contains("dev-dependencies") & ~line.contains("build-dependencies")).otherwise(state["inside"])
+        key = F.regexp_replace(F.trim(F.split_part(line, F.lit("="), F.lit(1))), "^['\"]+|['\"]+$", "")
+        own = F.regexp_replace(line, r"\]+$", "").endswith(F.concat(F.lit("."), alias))
+        hit = inside & F.when(head, own).otherwise(line.contains("=") & (key == alias))
+        n = state["line"] + 1
+        return F.struct(inside.alias("inside"), n.alias("line"), F.when((state["found"] == 0) & hit, n).otherwise(state["found"]).alias("found"))
+
+    found = F.aggregate(lines(text), begun, step, lambda s: s["found"])
+    return F.when(found > 0, found)

@@ -1,4 +1,4 @@
-"""The dimensions of the understanding report one by one, and the baseline packet."""
+"""The understanding report, by dimensions that the other queries are the parts of, and the baseline packet."""
 
 from __future__ import annotations
 
@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..functions import text as tx
-from ..operators import aggregates, diff, rules
+from ..operators import aggregates, diff, reports, rules
+from ..operators.traversal import union_all
+from ..storage import keep
+from . import evidence_queries, graph_queries, report_queries, review_queries, snapshot_queries, text_queries, traversal_queries, walk_queries  # noqa: F401  they register the parts
 from .flow_queries import CHANGED_SQL
-from .registry import query
-from .scope_queries import ENTRY_SQL, baseline_entries, public_contracts, runtime_boundaries
-from .views import CALLS_SQL, NODES_SQL, calls, nodes, snapshots, table
+from .registry import ORACLES, QUERIES, query
+from .scope_queries import ENTRY_SQL, baseline_entries, public_contracts
+from .views import NODES_SQL, nodes, snapshots, table
 
 CAP = 100
 
 
-def capped_sql(items: str, ctes: str = "") -> str:
-    """The first items (item, title, summary) by title and item, with place, total and whether more follow."""
-    return f"""WITH {ctes + ', ' if ctes else ''}items AS ({items}) SELECT item, title, summary, CAST(place AS INTEGER) AS place, total, total > {CAP} AS truncated FROM (
-  SELECT *, row_number() OVER (ORDER BY title, item) AS place, count(*) OVER () AS total FROM items) WHERE place <= {CAP}"""
-
-
 def capped(rows: DataFrame, item: Column, title: Column, summary: Column) -> DataFrame:
     items = rows.select(item.cast("string").alias("item"), title.cast("string").alias("title"), summary.cast("string").alias("summary"))
     total = items.agg(F.count(F.lit(1)).alias("total"))
@@ -29,44 +26,105 @@ def capped(rows: DataFrame, item: Column, title: Column, summary: Column) -> Dat
     return first.withColumn("truncated", F.col("total") > CAP)
 
 
-@query(capped_sql("SELECT CAST(doc_id AS VARCHAR) AS item, left(string_split(text, chr(10))[1], 80) AS title, source AS summary FROM documents WHERE text <> ''"))
-def dimension_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts by their first line."""
-    docs = table(spark, sf_dir, "documents").where("text <> ''")
-    return capped(docs, F.col("doc_id"), F.substring(F.element_at(tx.lines(F.col("text")), 1), 1, 80), F.col("source"))
-
-
-@query(capped_sql("SELECT package AS item, package AS title, CAST(count(*) AS VARCHAR) AS summary FROM nodes WHERE kind <> 'order' GROUP BY package", NODES_SQL))
-def dimension_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes(spark, sf_dir).where("kind <> 'order'").groupBy("package").agg(F.count(F.lit(1)).alias("n"))
-    return capped(rows, F.col("package"), F.col("package"), F.col("n"))
-
-
-@query(capped_sql("SELECT CAST(source AS VARCHAR) AS item, 'scenario ' || source AS title, count(*) || ' calls, ' || count(*) FILTER (target IS NULL) || ' open' AS summary FROM calls GROUP BY source", CALLS_SQL))
-def dimension_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calls(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target").isNull()).alias("open"))
-    summary = F.concat(F.col("n").cast("string"), F.lit(" calls, "), F.col("open").cast("string"), F.lit(" open"))
-    return capped(rows, F.col("source"), F.concat(F.lit("scenario "), F.col("source").cast("string")), summary)
-
-
-@query(capped_sql("SELECT p_type || '/' || p_brand AS item, p_type AS title, min(p_name) || ' (' || count(*) || ')' AS summary FROM part GROUP BY p_type, p_brand"))
-def dimension_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.min("p_name").alias("name"), F.count(F.lit(1)).alias("n"))
-    return capped(rows, F.concat_ws("/", "p_type", "p_brand"), F.col("p_type"), F.concat("name", F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
-
-
-@query(capped_sql("""SELECT user_id || ':' || spelling AS item, spelling AS title, CAST(count(*) AS VARCHAR) AS summary FROM (
-  SELECT user_id, CASE event_type WHEN 'error' THEN 'std::fs::read' WHEN 'signup' THEN 'os.getenv' WHEN 'view' THEN 'subprocess.run' WHEN 'click' THEN 'open' END AS spelling FROM events) WHERE spelling IS NOT NULL GROUP BY user_id, spelling"""))
-def dimension_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = runtime_boundaries(spark, sf_dir)
-    return capped(rows, F.concat_ws(":", F.col("user_id").cast("string"), "spelling"), F.col("spelling"), F.col("calls"))
-
-
-@query(capped_sql("SELECT CAST(l.doc_id AS VARCHAR) AS item, CASE WHEN quality = 1 THEN 'passes' ELSE 'fails' END AS title, coalesce(source, 'absent') AS summary FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id"))
-def dimension_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    rows = table(spark, sf_dir, "labels").join(docs, "doc_id", "left")
-    return capped(rows, F.col("doc_id"), F.when(F.col("quality") == 1, "passes").otherwise("fails"), F.coalesce("source", F.lit("absent")))
+#: The parts of every dimension: section, the query that has its rows, and item, title, summary and filter as SQL over them.
+PARTS: dict[str, list[tuple[str, str, str, str, str, str]]] = {
+    "intent": [
+        ("purpose", "excerpt_first_line", "concat_ws('', doc_id)", "excerpt", "'first line'", "excerpt <> ''"),
+        ("documentation", "component_evidence", "package", "documentation", "concat_ws(' ', paths, 'paths')", "documentation IS NOT NULL"),
+        ("entry", "entry_points", "concat_ws('', node)", "concat_ws(':', kind, unit)", "kind", "true"),
+        ("contract", "public_contracts", "concat_ws('', node)", "concat_ws(':', unit, node)", "kind", "true"),
+    ],
+    "architecture": [
+        ("component", "component_summary", "package", "package", "concat_ws(' ', n, 'members of', kinds, 'kinds')", "true"),
+        ("relation", "component_relations", "concat_ws('>', source_package, target_package, kind)", "concat_ws(' uses ', source_package, target_package)", "concat_ws(' ', relations, kind)", "true"),
+        ("declared", "declared_dependencies", "concat_ws('>', package, manifest, target)", "concat_ws('', package)", "concat_ws(' ', 'declared in', manifest)", "true"),
+        ("unresolved", "unresolved_links", "concat_ws('>', page_id, href)", "target_host", "'no such component'", "true"),
+    ],
+    "behaviour": [
+        ("scenario", "scenario_multi", "concat_ws('', seed)", "concat_ws(' ', 'scenario', seed)",
+         "concat_ws(' ', nodes, 'nodes,', edges, 'edges,', unknown, 'unknown,', external, 'external', CASE WHEN truncated THEN '(cut)' END)", "true"),
+        ("trunk", "unresolved_in_reach", "concat_ws('', trunk)", "concat_ws(' ', 'trunk', trunk)", "concat_ws(' ', unresolved, 'unresolved,', external, 'external')", "true"),
+        ("error", "error_order", "concat_ws('', event_id)", "concat_ws(' ', 'exit', place)", "concat_ws('', user_id)", "true"),
+    ],
+    "data": [
+        ("type", "members_capped", "parent", "parent", "concat_ws(' ', total, 'members', CASE WHEN truncated THEN '(cut)' END)", "place = 1"),
+        ("member", "members_capped", "concat_ws('', member)", "concat_ws('.', parent, place)", "parent", "true"),
+        ("write", "flow_events", "name", "concat_ws(' ', 'state', name)", "concat_ws(' ', n, 'accesses')", "section = 'state'"),
+        ("shared", "shared_state_order", "concat_ws('', supplier)", "concat_ws(' ', 'shared', place)", "concat_ws(' ', n, CASE WHEN held THEN 'held' END)", "true"),
+    ],
+    "runtime": [
+        ("config", "config_reads", "concat_ws('', field)", "concat_ws(' ', 'field', field)", "concat_ws(' ', reads, 'reads:', first_reads)", "true"),
+        ("feature", "feature_maps", "package", "package", "features", "true"),
+        ("boundary", "runtime_boundaries", "concat_ws(':', user_id, spelling)", "spelling", "concat_ws(' ', calls, 'calls')", "true"),
+        ("condition", "component_summary", "package", "package", "concat_ws(' ', orders, 'conditional')", "orders > 0"),
+    ],
+    "verification": [
+        ("test", "test_associations", "concat_ws('', component)", "concat_ws(' ', 'component', component)", "concat_ws(' ', tests, 'tests,', unknown, 'unknown calls')", "true"),
+        ("linked", "linked_tests", "package", "package", "concat_ws(' ', tests, 'tests,', links, 'links')", "true"),
+        ("evidence", "evidence_validity", "concat_ws('', doc_id)", "CASE WHEN absent THEN 'absent' WHEN valid THEN 'valid' ELSE 'stale' END", "concat_ws('', doc_id)", "true"),
+    ],
+    "knowledge": [
+        ("record", "knowledge_order", "concat_ws('', conv_id)", "concat_ws(' ', 'record', place)", "concat_ws(' ', 'revision', turn)", "true"),
+        ("mark", "mark_states", "concat_ws('', conv_id)", "CASE WHEN needs_review > 0 THEN 'needs review' ELSE 'current' END", "concat_ws(' ', marks, 'marks')", "true"),
+    ],
+}
+
+
+def report_sql(names: list[str], limit: int = CAP, offset: int = 0) -> str:
+    """The page of some dimensions, over the SQL of their parts."""
+    rows = []
+    for name in names:
+        for k, (section, source, item, title, summary, where) in enumerate(PARTS[name]):
+            rows.append(f"SELECT '{name}' AS dimension, {k} AS ordinal, '{section}' AS section, {item} AS item, coalesce({title}, '') AS title, {summary} AS summary FROM ({ORACLES[source]}) WHERE {where}")
+    return f"""SELECT dimension, section, item, title, summary, CAST(place AS INTEGER) AS place, total, CASE WHEN total > {offset + limit} THEN {offset + limit} END AS next_offset FROM (
+  SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY ordinal, title, item) AS place, count(*) OVER (PARTITION BY dimension) AS total FROM ({" UNION ALL ".join(rows)}))
+WHERE place > {offset} AND place <= {offset + limit}"""
+
+
+def report(spark: SparkSession, sf_dir: str, names: list[str], limit: int = CAP, offset: int = 0) -> DataFrame:
+    """The page of some dimensions, from the queries that have their parts. A query that several parts read is worked out once."""
+    held: dict[str, DataFrame] = {}
+    items = []
+    for name in names:
+        for k, (section, source, *rest) in enumerate(PARTS[name]):
+            if source not in held:
+                held[source] = keep(QUERIES[source](spark, sf_dir), "report-part")
+            items.append(reports.section(held[source], name, k, section, *rest))
+    return reports.paged(union_all(items), limit, offset)
+
+
+def _dimension(name: str, text: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(spark, sf_dir, [name])
+
+    run.__name__, run.__doc__ = f"dimension_{name}", text
+    query(report_sql([name]))(run)
+
+
+for _name, _text in (
+    ("intent", "Purposes, documentation, entries and contracts."), ("architecture", "Components, their relations, declared dependencies, and links without a component."),
+    ("behaviour", "Capped scenarios, the trunk and its exits."), ("data", "Types with their members, what is written, and what is shared."),
+    ("runtime", "Configuration, features, boundaries and conditions."), ("verification", "Tests that walks lead to components, linked tests, and evidence."), ("knowledge", "Records and marks."),
+):
+    _dimension(_name, _text)
+
+
+@query(report_sql(["architecture"], 50, 100))
+def dimension_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The architecture dimension from where the first page ends, fifty items."""
+    return report(spark, sf_dir, ["architecture"], 50, 100)
+
+
+@query(report_sql(list(PARTS)))
+def understand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dimensions, each with its first hundred items, total and where the next page begins."""
+    return report(spark, sf_dir, list(PARTS))
+
+
+@query(f"SELECT dimension, count(*) AS shown, any_value(total) AS total FROM ({report_sql(['data', 'knowledge'])}) GROUP BY dimension")
+def understand_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some dimensions of the report alone; the queries of the others do not run."""
+    return report(spark, sf_dir, ["data", "knowledge"]).groupBy("dimension").agg(F.count(F.lit(1)).alias("shown"), F.max("total").alias("total"))
 
 
 @query(f"""{CHANGED_SQL}, items AS (SELECT CAST(part AS VARCHAR) AS item, p_brand AS title, p_name AS summary FROM changed JOIN part ON part = p_partkey)

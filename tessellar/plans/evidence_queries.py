@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import routes
 from ..functions import text as tx
 from ..operators import aggregates, lookup
-from .graph_queries import WITH_G, relations_of
-from .registry import query
+from ..storage import keep
+from .graph_queries import WITH_G, dependents_rank, relations_of
+from .registry import ORACLES, query
 from .scope_queries import ENTRY_SQL, mains
-from .views import nodes, table, uses
+from .views import CALLS_SQL, calls, nodes, table, uses
 
 
 @query("""WITH d AS (SELECT doc_id, text, instr(text, 'er') AS p FROM documents)
@@ -22,13 +24,37 @@ def first_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("e.start_byte").cast("long").alias("start_byte"), F.col("e.end_byte").cast("long").alias("end_byte"), F.col("e.line").alias("line"), F.col("e.column").alias("column"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_position(list_transform(string_split(text, chr(10)), lambda x: contains(x, 'und') OR contains(x, 'and')), true) AS line, len(string_split(text, chr(10))) AS n FROM documents)
-SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(n AS INTEGER) AS n FROM d WHERE line > 0""")
+@query("""WITH s AS (SELECT s_nationkey AS nation, s_name AS name, s_acctbal >= 0 AS own, row_number() OVER (PARTITION BY s_nationkey, s_acctbal >= 0 ORDER BY s_name) AS k FROM supplier)
+SELECT nation, name, CASE WHEN own THEN CAST(k + 3 AS INTEGER) END AS line FROM s""")
 def dependency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of every text that names the dependency."""
-    lines = tx.lines(F.col("text"))
-    at = F.array_position(F.transform(lines, lambda x: x.contains("und") | x.contains("and")), F.lit(True))
-    return table(spark, sf_dir, "documents").select("doc_id", at.cast("int").alias("line"), F.size(lines).alias("n")).where("line > 0")
+    """Where a nation's manifest declares each of its suppliers. Those in debt are declared for development only, after the
+    others, and have no line."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), (F.col("s_acctbal") < 0).alias("late"))
+    listed = lambda late: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("late") == late, F.col("name")))), lambda n: F.concat(F.lit('"'), n, F.lit('" = "1"\n'))), "")
+    manifest = own.groupBy("nation").agg(F.concat(F.lit('[package]\nname = "n"\n[dependencies]\n'), listed(False), F.lit("[dev-dependencies]\n"), listed(True)).alias("text"))
+    return own.join(manifest, "nation").select("nation", "name", tx.dependency_line(F.col("text"), F.col("name")).alias("line"))
+
+
+DECLARED_SQL = """declared AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path, starts_with(url, 'https') AS secure, contains(url, '?') AS asks, contains(url, '#') AS marked FROM pages),
+form AS (SELECT *, CASE WHEN marked THEN 'websocket' WHEN asks AND secure THEN 'listed' WHEN asks THEN 'route' WHEN secure THEN 'post' ELSE 'get' END AS kind FROM declared),
+prefixes AS (SELECT host, CASE WHEN count(*) > 1 THEN '/' || replace(host, '.', '/') ELSE '' END AS prefix FROM declared GROUP BY host)"""
+
+
+@query(f"""WITH {DECLARED_SQL} SELECT page_id, unnest(CASE kind WHEN 'websocket' THEN ['WS'] WHEN 'listed' THEN ['PUT', 'PATCH'] WHEN 'route' THEN ['GET'] ELSE [upper(kind)] END) AS method, prefix || path AS path FROM form JOIN prefixes USING (host) WHERE path <> ''""")
+def decorator_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of handlers that pages stand for: each has a decorator on its host's router, whose initialiser names a prefix
+    where the host has several pages."""
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"), url)
+    secure = url.startswith("https")
+    quoted = lambda mark: F.concat(F.lit(mark), F.col("path"), F.lit(mark))
+    call = F.when(url.contains("#"), F.concat(F.lit("websocket("), quoted('"'), F.lit(")"))).when(url.contains("?") & secure, F.concat(F.lit("api_route("), quoted("'"), F.lit(", methods=['put', \"patch\"])")))
+    call = call.when(url.contains("?"), F.concat(F.lit("route( "), quoted('"'), F.lit(")"))).when(secure, F.concat(F.lit("post("), quoted('"'), F.lit(", tags=[])"))).otherwise(F.concat(F.lit("get("), quoted("'"), F.lit(")")))
+    decorated = pages.select("page_id", F.concat(F.lit("@"), F.col("host"), F.lit("."), call).alias("decorator"))
+    made = F.when(F.col("n") > 1, F.concat(F.lit('APIRouter(tags=["x"], prefix = "/'), F.replace("host", F.lit("."), F.lit("/")), F.lit('")'))).otherwise("APIRouter()")
+    routers = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select(F.col("host").alias("router"), made.alias("initialiser"))
+    met = decorated.select("page_id", routes.router_name(F.col("decorator")).alias("router"), F.explode(routes.decorator_routes(F.col("decorator"))).alias("r")).join(routers, "router")
+    return met.select("page_id", "r.method", routes.joined_route(routes.router_prefix(F.col("initialiser")), F.col("r.path")).alias("path"))
 
 
 @query("""WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, doc_id % 4 AS a, doc_id % 4 + doc_id % 3 AS b FROM documents)
@@ -148,12 +174,15 @@ def reading_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(ranked, "package").unionByName(rows(starts, "start")).unionByName(rows(deps, "dependency"))
 
 
-@query(f"""WITH {ENTRY_SQL}, e AS (SELECT node, unit, CASE kind WHEN 'bin' THEN 0 WHEN 'example' THEN 1 ELSE 2 END AS rank FROM mains WHERE kind IN ('bin', 'example', 'build'))
+@query(f"""WITH {ENTRY_SQL}, {CALLS_SQL.strip()}, res AS (SELECT resolution, count(*) AS n FROM calls GROUP BY resolution), e AS (SELECT node, unit, CASE kind WHEN 'bin' THEN 0 WHEN 'example' THEN 1 ELSE 2 END AS rank FROM mains WHERE kind IN ('bin', 'example', 'build'))
 SELECT 'entry' AS section, CAST(node AS VARCHAR) AS name, CAST(rank AS BIGINT) AS value FROM (SELECT * FROM e ORDER BY rank, unit, node LIMIT 30)
 UNION ALL SELECT 'total', 'entries', count(*) FROM e UNION ALL SELECT 'files', source, count(*) FROM documents GROUP BY source
-UNION ALL SELECT 'files', 'unlinked', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'calls', event_type, count(*) FROM events GROUP BY event_type""")
+UNION ALL SELECT 'files', 'unlinked', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'calls', event_type, count(*) FROM events GROUP BY event_type
+UNION ALL SELECT 'package', package, dependents FROM ({ORACLES["dependents_rank"]}) UNION ALL SELECT 'capability', resolution, n FROM res
+UNION ALL SELECT 'completeness', CASE WHEN coalesce(sum(n) FILTER (resolution = 'unresolved'), 0) > 0 THEN 'partial' ELSE 'complete' END, CAST(coalesce(sum(n) FILTER (resolution = 'unresolved'), 0) AS BIGINT) FROM res""")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries by rank (30, and their total), files by source, those without a unit, and calls by kind."""
+    """Entries by rank (30, and their total), files by source, those without a unit, calls by kind, packages by dependents, what
+    calls could be resolved, and whether that is complete."""
     kind = F.when(F.col("kind") == "bin", 0).when(F.col("kind") == "example", 1).otherwise(2)
     entries = mains(spark, sf_dir, ["bin", "example", "build"]).withColumn("rank", kind)
     first = entries.orderBy("rank", "unit", "node").limit(30).select(F.lit("entry").alias("section"), F.col("node").cast("string").alias("name"), F.col("rank").cast("long").alias("value"))
@@ -163,33 +192,9 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     unlinked = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
     out = first.unionByName(one(entries, "total", "entries")).unionByName(by(docs, "files", "source")).unionByName(one(unlinked, "files", "unlinked"))
-    return out.unionByName(by(table(spark, sf_dir, "events"), "calls", "event_type"))
-
-
-DIMENSIONS = {
-    "intent": ("documents", "doc_id", "n_chars > 2000"), "architecture": ("nation", "n_nationkey", "n_regionkey >= 0"), "behaviour": ("events", "event_id", "event_type = 'view'"),
-    "data": ("part", "p_partkey", "p_size > 5"), "runtime": ("events", "event_id", "event_type = 'error'"), "verification": ("labels", "doc_id", "quality = 1"),
-    "changes": ("orders", "o_orderkey", "o_orderstatus = 'F'"), "knowledge": ("conversations", "conv_id", "role = 'user'"),
-}
-UNDERSTAND_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS dimension, item, CAST(place AS INTEGER) AS place, total, total > 100 AS truncated FROM (SELECT {key} AS item, row_number() OVER (ORDER BY {key}) AS place, count(*) OVER () AS total FROM {t} WHERE {where}) WHERE place <= 100"
-    for name, (t, key, where) in DIMENSIONS.items()
-)
-
-
-@query(UNDERSTAND_SQL)
-def understand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight dimensions, each with its first hundred items, total and whether it is cut."""
-    parts = None
-    for name, (source, key, where) in DIMENSIONS.items():
-        rows = table(spark, sf_dir, source).where(where).select(F.col(key).cast("long").alias("item"))
-        first = aggregates.top(rows, [F.asc("item")], 100).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
-        part = first.select(F.lit(name).alias("dimension"), "item", "place", "total", (F.col("total") > 100).alias("truncated"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
-@query(f"SELECT dimension, count(*) AS shown, any_value(total) AS total FROM ({UNDERSTAND_SQL}) WHERE dimension IN ('data', 'changes') GROUP BY dimension")
-def understand_some(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some dimensions of the report alone; a filter on the literal dimension prunes the others' scans."""
-    return understand(spark, sf_dir).where("dimension in ('data', 'changes')").groupBy("dimension").agg(F.count(F.lit(1)).alias("shown"), F.max("total").alias("total"))
+    out = out.unionByName(by(table(spark, sf_dir, "events"), "calls", "event_type"))
+    packages = dependents_rank(spark, sf_dir).select(F.lit("package").alias("section"), F.col("package").alias("name"), F.col("dependents").alias("value"))
+    resolved = keep(by(calls(spark, sf_dir), "capability", "resolution"), "resolutions")
+    open_calls = F.coalesce(F.sum(F.when(F.col("name") == "unresolved", F.col("value"))), F.lit(0)).alias("value")
+    state = resolved.agg(open_calls).select(F.lit("completeness").alias("section"), F.when(F.col("value") > 0, "partial").otherwise("complete").alias("name"), "value")
+    return out.unionByName(packages).unionByName(resolved).unionByName(state)

@@ -247,3 +247,29 @@ def test_intervals_in_bins(spark, width):
 
 def test_only_ascii_is_folded(spark):
     assert [value(spark, p.holds(F.lit(t), "%K\u00e4se\\_%")) for t in ("a k\u00e4SE_b", "K\u00c4SE_", "\u212a\u00e4se_", "k\u00e4sex")] == [True, False, False, False]
+
+
+def test_declared_routes(spark):
+    from tessellar.functions import routes
+
+    for decorator, want in (
+        ('@app.get("/items/{id}")', [("GET", "/items/{id}")]), ("@app.route('/a', methods=['get', \"post\"])", [("GET", "/a"), ("POST", "/a")]), ('@app.websocket("/ws")', [("WS", "/ws")]),
+        ('@router.api_route("/b")', [("GET", "/b")]), ('@app.get("relative")', []), ("@cached", []), ("@app.get()", []), ('@app.other("/x")', []), (' @@put("/p", name=\'n\')', [("PUT", "/p")]),
+    ):
+        assert [tuple(r) for r in value(spark, routes.decorator_routes(F.lit(decorator)))] == want, decorator
+    for attribute, want in (
+        ('#[get("/x")]', ("GET", "/x")), ('#[actix_web::post("/y", name = "n")]', ("POST", "/y")), ('#[route("/z", method = "GET")]', ("", "/z")), ('#[any("/w")]', ("ANY", "/w")),
+        ('#[get("x")]', None), ("#[derive(Debug)]", None), ('get("/x")', None), ("#[get]", None),
+    ):
+        found = value(spark, routes.attribute_route(F.lit(attribute)))
+        assert (found and tuple(found)) == want, attribute
+    for made, want in (('APIRouter(prefix="/items")', "/items"), ("APIRouter(tags=[1], prefix = '/a/b')", "/a/b"), ('APIRouter(prefix="items")', ""), ("APIRouter()", "")):
+        assert value(spark, routes.router_prefix(F.lit(made))) == want
+    assert value(spark, routes.joined_route(F.lit("/a//"), F.lit("/b"))) == "/a/b"
+    assert value(spark, routes.router_name(F.lit("@a.b.get('/')"))) == "a.b" and value(spark, routes.router_name(F.lit("@get('/')"))) is None
+
+
+def test_dependency_lines(spark):
+    text = '[package]\nx = "1"\n[dev-dependencies]\nserde = "1"\n[target.unix.dependencies]\n "serde" = "1"\n[dependencies.tokio]\nversion = "1"\n'
+    for alias, want in (("serde", 6), ("tokio", 7), ("x", None), ("version", 8), ("serd", None)):
+        assert value(spark, tx.dependency_line(F.lit(text), F.lit(alias))) == want, alias
