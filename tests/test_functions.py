@@ -148,13 +148,18 @@ def test_shared_folder_where_none_is_set(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", None).rstrip("/")
 
 
-def test_mentions(spark):
+def test_mentions(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "xone two three four five sixth"), (2, "one two three four five six"), (3, "a b"), (4, "one  two three four five six"), (5, None)], "id int, text string")
     declared = spark.createDataFrame([("long", "one two three four five six"), ("short", "a b"), ("part", "ne two three four five six"), ("gone", None), ("none", "one two six")], "name string, needle string")
     from tessellar.operators import mentions
 
-    want = {(1, "long"), (2, "long"), (3, "short"), (1, "part"), (2, "part")}
-    assert {(r.id, r.name) for r in mentions.literal(texts, declared, "text", "needle").collect()} == want
+    declared = declared.unionByName(spark.createDataFrame([("piece", "four f"), ("eight", "three four"), ("one", "x"), ("empty", ""), ("twice", "b")], "name string, needle string"))
+    want = {(1, "long"), (2, "long"), (3, "short"), (1, "part"), (2, "part"), (1, "one"), (2, "one"), (4, "one"), (3, "twice")}
+    want |= {(k, name) for k in (1, 2, 4) for name in ("piece", "eight")}
+    for limit in (mentions.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(mentions, "BROADCAST_BYTES", limit)
+        found = [(r.id, r.name) for r in mentions.literal(texts, declared, "text", "needle").collect()]
+        assert sorted(found) == sorted(want)
 
 
 def test_budget(spark):
