@@ -33,3 +33,11 @@ def appeared(absent: DataFrame, current: DataFrame, key: str) -> DataFrame:
 def put(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """stored with the rows of fresh inserted, or in the place of those of their key."""
     return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def chosen(stored: DataFrame, wanted: DataFrame, key: str, name: str, created: str) -> DataFrame:
+    """The stored row (key, name, created) that each wanted (key, name) asks for by name; where the name is null the one created
+    last, of equal ones the greatest name. by_id tells which. A name that is not stored has no row."""
+    last = stored.groupBy(key).agg(F.max_by(name, F.struct(created, name)).alias("__last"))
+    asked = wanted.join(last, key).select(key, F.coalesce(name, "__last").alias(name), F.col(name).isNotNull().alias("by_id"))
+    return stored.join(asked, [key, name])

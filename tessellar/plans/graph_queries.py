@@ -90,13 +90,15 @@ def neighbours_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.neighbours(edges, big).select("source", "target", "kind")
 
 
-@query("""SELECT n_regionkey AS region, min(left(n_name, 1)) AS initial, count(*) AS nations FROM nation GROUP BY n_regionkey
-HAVING count(DISTINCT left(n_name, 1)) = 1""")
+@query("""WITH m AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS package, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS module FROM pages)
+SELECT package, min(split_part(module, '/', 1)) AS namespace, count(*) AS modules FROM m WHERE module <> '' GROUP BY package HAVING count(DISTINCT split_part(module, '/', 1)) = 1 AND bool_or(contains(module, '/'))""")
 def unique_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups kept by a condition on the distinct first segments of their members."""
-    first = F.substring("n_name", 1, 1)
-    found = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.min(first).alias("initial"), F.count(F.lit(1)).alias("nations"), F.count_distinct(first).alias("k"))
-    return found.where("k = 1").drop("k")
+    """The namespace of packages whose modules (paths of a host's pages) all begin alike, where one at least has a segment more."""
+    module = F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1).alias("module")
+    modules = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("package"), module).where("module <> ''")
+    first = F.split_part("module", F.lit("/"), F.lit(1))
+    found = modules.groupBy("package").agg(F.min(first).alias("namespace"), F.count(F.lit(1)).alias("modules"), F.max(first).alias("last"), F.bool_or(F.col("module").contains("/")).alias("dotted"))
+    return found.where("namespace = last and dotted").drop("last", "dotted")
 
 
 RULES = [(0, "*/customer/*/order/*", "parts/Brand#1*"), (1, "ASIA/*", "*/supplier/?"), (2, "EUROPE/*", "EUROPE/*/supplier/*")]
@@ -223,9 +225,9 @@ def relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NODES_SQL}, tiers AS (SELECT id, path, CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END AS tier FROM nodes WHERE kind <> 'order')
-SELECT id, tier, CAST(row_number() OVER (ORDER BY tier, path, id) AS INTEGER) AS place FROM tiers ORDER BY tier, path, id LIMIT 30""")
+SELECT id, tier, CAST(row_number() OVER (ORDER BY tier, path, id) AS INTEGER) AS place FROM tiers ORDER BY tier, path, id LIMIT 100""")
 def search_rank_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries by rank of their kind, then path and id; 30 of them."""
+    """Entries by rank of their kind, then path and id; 100 of them."""
     tier = F.when(F.col("kind") == "region", 0).when(F.col("kind") == "nation", 1).otherwise(2)
     found = nodes(spark, sf_dir).where("kind <> 'order'").select("id", "path", tier.alias("tier"))
-    return aggregates.top(found, [F.asc("tier"), F.asc("path"), F.asc("id")], 30).drop("path")
+    return aggregates.top(found, [F.asc("tier"), F.asc("path"), F.asc("id")], 100).drop("path")

@@ -154,9 +154,10 @@ def incremental_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(F.broadcast(cache.agg(F.count(F.lit(1)).alias("cached"))))
 
 
-@query("""SELECT role, count(*) AS n, CAST(max(turn) AS BIGINT) AS last_turn, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*) AS n, CAST(max(turn) AS BIGINT) AS last_turn, count(DISTINCT c.conv_id) AS conversations, count(*) FILTER (l.doc_id IS NULL) AS invalid
+FROM conversations c LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON c.conv_id = l.doc_id GROUP BY role""")
 def knowledge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations")
-    return said.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last_turn"), F.count_distinct("conv_id").alias("conversations"))
-
-
+    """Records by role, and those whose evidence (the label of their id) is not there."""
+    there = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), F.lit(True).alias("there")).distinct()
+    said = table(spark, sf_dir, "conversations").join(there, "conv_id", "left")
+    return said.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last_turn"), F.count_distinct("conv_id").alias("conversations"), F.count_if(F.col("there").isNull()).alias("invalid"))

@@ -94,16 +94,34 @@ def members_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.first_of_each(part, ["parent"], [F.asc("p_name"), F.asc("member")], 100).drop("p_name")
 
 
-@query(f"""{WITH_G}, i AS (SELECT target AS node, id, source AS other, row_number() OVER (PARTITION BY target ORDER BY id) AS k, count(*) OVER (PARTITION BY target) AS n FROM uses)
-SELECT node, sha256(string_agg(other, '|' ORDER BY k)) AS fingerprint, any_value(n) <= 1000 AS complete FROM i WHERE k <= 1001 GROUP BY node""")
+@query(f"""{WITH_G}, e AS (SELECT target AS node, 'in' AS way, id, source AS other FROM uses UNION ALL SELECT source, 'out', id, target FROM uses),
+i AS (SELECT *, row_number() OVER (PARTITION BY node, way ORDER BY id) AS k, count(*) OVER (PARTITION BY node, way) AS n FROM e)
+SELECT node, sha256(string_agg(way || ':' || other, '|' ORDER BY way, k)) AS fingerprint, max(n) <= 1000 AS complete FROM i WHERE k <= 1001 GROUP BY node""")
 def mark_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What marks of parts and suppliers depend on: up to 1,001 relations in order as one digest, complete below that."""
-    edges = uses(spark, sf_dir).select(F.col("target").alias("node"), "id", F.col("source").alias("other"))
-    first = aggregates.first_of_each(edges, ["node"], [F.asc("id")], 1001)
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]), "|")
+    """What the mark of a node depends on: up to 1,001 relations each way in order, as one digest; complete below that."""
+    edges = uses(spark, sf_dir)
+    turn = lambda node, way, other: edges.select(F.col(node).alias("node"), F.lit(way).alias("way"), "id", F.col(other).alias("other"))
+    first = aggregates.first_of_each(turn("target", "in", "source").unionByName(turn("source", "out", "target")), ["node", "way"], [F.asc("id")], 1001)
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("way", "place", "other"))), lambda x: F.concat_ws(":", x["way"], x["other"])), "|")
     return first.groupBy("node").agg(F.sha2(whole, 256).alias("fingerprint"), (F.max("total") <= 1000).alias("complete"))
 
 
+@query(f"""{WITH_G} SELECT id, source, CAST(row_number() OVER (ORDER BY source, id) AS INTEGER) AS place FROM uses ORDER BY source, id LIMIT 500""")
+def ordered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 edges in the total order of source and id."""
+    return aggregates.top(uses(spark, sf_dir).select("id", "source"), [F.asc("source"), F.asc("id")], 500)
+
+
+@query("""WITH wanted AS (SELECT conv_id, min(turn) FILTER (role = 'assistant' AND length(text) > 60) AS id FROM conversations GROUP BY conv_id),
+latest AS (SELECT conv_id, arg_max(turn, {'a': length(text), 'b': turn}) AS turn FROM conversations GROUP BY conv_id)
+SELECT conv_id AS snapshot, coalesce(w.id, l.turn) AS turn, w.id IS NOT NULL AS by_id, length(c.text) AS created FROM wanted w JOIN latest l USING (conv_id) JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = coalesce(w.id, l.turn)""")
+def snapshot_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots asked for by id, and the latest one where no id is given."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("snapshot"), "turn", "role", F.length("text").alias("created"))
+    asked = F.min(F.when((F.col("role") == "assistant") & (F.col("created") > 60), F.col("turn"))).alias("turn")
+    return records.chosen(said.drop("role"), said.groupBy("snapshot").agg(asked), "snapshot", "turn", "created")
+
+
 LANGUAGE_SQL = """SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS project, CASE page_id % 5 WHEN 0 THEN 'Cargo.toml' WHEN 1 THEN 'src/a.rs' WHEN 2 THEN 'lib/b.py' WHEN 3 THEN 'notes.md' ELSE 'c.pyi' END AS path FROM pages"""
 
 
