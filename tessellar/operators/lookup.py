@@ -48,9 +48,10 @@ def symbols(nodes: DataFrame, package: str | None = None, path: str | None = Non
     return page(found, [F.asc("path"), F.asc("id")], offset, limit)
 
 
-def inspect(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, around: int = 50) -> DataFrame:
+def inspect(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, around: int = 50, source: DataFrame | None = None, marks: DataFrame | None = None, lines: int = 45, chars: int = 600) -> DataFrame:
     """section, place, id, other, kind, truncated: the candidates of a query, or its one node with up to ``around`` edges on
-    each side. Only the candidates, of which there are limit + 1 at most, are looked at before the edges are."""
+    each side, the first ``lines`` lines of its source (id, line, text) cut to ``chars`` characters, and its mark (id, state).
+    Only the candidates, of which there are limit + 1 at most, are looked at before the rest is."""
     found = find_nodes(nodes, query, limit + 1).select("id", "qualified", "kind").collect()
     spark = nodes.sparkSession
     schema = "section string, place int, id string, other string, kind string, truncated boolean"
@@ -65,6 +66,14 @@ def inspect(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, aro
         size = F.count(F.lit(1)).over(Window.partitionBy())
         part = placed.withColumn("truncated", size > around).where(F.col("place") <= around)
         out = out.unionByName(part.select(F.lit(section).alias("section"), "place", "id", F.col(far).alias("other"), "kind", "truncated"))
+    if source is not None:
+        own = source.where(F.col("id") == node.id)
+        total = own.agg(F.max("line").alias("last"))
+        part = own.where(F.col("line") <= lines).join(F.broadcast(total))
+        out = out.unionByName(part.select(F.lit("snippet").alias("section"), F.col("line").cast("int").alias("place"), "id", F.substring("text", 1, chars).alias("other"), F.lit("line").alias("kind"), (F.col("last") > lines).alias("truncated")))
+    if marks is not None:
+        own = marks.where(F.col("id") == node.id)
+        out = out.unionByName(own.select(F.lit("mark").alias("section"), F.lit(1).alias("place"), "id", F.col("state").alias("other"), F.lit("mark").alias("kind"), F.lit(False).alias("truncated")))
     return out
 
 

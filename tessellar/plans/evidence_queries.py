@@ -11,6 +11,7 @@ from ..operators import aggregates, lookup
 from ..storage import keep
 from .graph_queries import WITH_G, dependents_rank, relations_of
 from .registry import ORACLES, query
+from .report_queries import mark_states
 from .scope_queries import ENTRY_SQL, mains
 from .views import CALLS_SQL, calls, nodes, table, uses
 
@@ -138,11 +139,16 @@ inc AS (SELECT u.*, row_number() OVER (ORDER BY u.id) AS place, count(*) OVER ()
 
 
 @query(f"""{INSPECT_SQL} SELECT 'node' AS section, 1 AS place, id, qualified AS other, kind, false AS truncated FROM hit
-UNION ALL SELECT 'incoming', CAST(place AS INTEGER), id, source, kind, n > 50 FROM inc WHERE place <= 50""")
+UNION ALL SELECT 'incoming', CAST(place AS INTEGER), id, source, kind, n > 50 FROM inc WHERE place <= 50
+UNION ALL SELECT 'snippet', CAST(i AS INTEGER), id, left(ls[i], 600), 'line', len(ls) > 45 FROM (SELECT hit.id, string_split(text, chr(10)) AS ls FROM hit JOIN documents ON hit.id = 'supplier:' || doc_id), unnest(range(1, 46)) t(i) WHERE i <= len(ls)
+UNION ALL SELECT 'mark', 1, hit.id, CASE WHEN m.needs_review > 0 THEN 'needs review' ELSE 'current' END, 'mark', false FROM hit JOIN ({ORACLES["mark_states"]}) m ON hit.id = 'supplier:' || m.conv_id""")
 def inspect_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplier of the least name with its edges."""
+    """The supplier of the least name with its edges, its source (the document of its number) and its mark."""
     name = table(spark, sf_dir, "supplier").agg(F.min("s_name")).first()[0] or ""
-    return lookup.inspect(nodes(spark, sf_dir), uses(spark, sf_dir), name)
+    of = lambda c: F.concat(F.lit("supplier:"), F.col(c).cast("string")).alias("id")
+    source = table(spark, sf_dir, "documents").select(of("doc_id"), F.posexplode(tx.lines(F.col("text"))).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    marks = mark_states(spark, sf_dir).select(of("conv_id"), F.when(F.col("needs_review") > 0, "needs review").otherwise("current").alias("state"))
+    return lookup.inspect(nodes(spark, sf_dir), uses(spark, sf_dir), name, source=source, marks=marks)
 
 
 @query(f"""{WITH_G}, q AS (SELECT min(p_name) AS name FROM part), hits AS (SELECT id, qualified, kind, path FROM nodes, q WHERE nodes.name = q.name)

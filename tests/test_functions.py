@@ -196,6 +196,12 @@ def test_inspect(spark):
     out = lookup.inspect(nodes, edges, "name1").collect()
     assert [r.section for r in out].count("outgoing") == 50 and all(r.truncated for r in out if r.section == "outgoing")
     assert [r.id for r in out if r.section == "incoming"] == ["e01", "e31", "x"]
+    source = spark.createDataFrame([("n1", k, f"{k} " + "x" * 700) for k in range(1, 61)] + [("n2", 1, "other")], "id string, line int, text string")
+    marks = spark.createDataFrame([("n1", "current"), ("n2", "needs review")], "id string, state string")
+    shown = lookup.inspect(nodes, edges, "name1", source=source, marks=marks).where("section in ('snippet', 'mark')").collect()
+    lines = sorted((r.place, r.other, r.truncated) for r in shown if r.section == "snippet")
+    assert lines == [(k, (f"{k} " + "x" * 700)[:600], True) for k in range(1, 46)]
+    assert [(r.id, r.other) for r in shown if r.section == "mark"] == [("n1", "current")]
     several = lookup.inspect(nodes, edges, "same").collect()
     assert len(several) == 20 and all(r.section == "candidate" and r.truncated for r in several)
 
