@@ -316,78 +316,89 @@ def cluster(pairs: DataFrame, clustered: list[bytes]) -> tuple[np.ndarray, np.nd
             return owner, between
 
 
+#: A context is (class before, class after) as one number; MIXED is added where the word before has no class of its own either.
+SIDE, MIXED = 128, 128 * 128
+
+
 def contexts(train: DataFrame, classes: dict[bytes, int], pools: np.ndarray) -> DataFrame:
-    """word, code, n of the words without a class of their own yet: how often a class stands after (code = class) or before
-    (code = 256 + class) them. A neighbour that has none either counts with its pool's class (before: code = 512 + class)."""
+    """word, context, n of the words without a class of their own yet. A neighbour that has none either counts with its pool's class."""
     known = train.sparkSession.sparkContext.broadcast((classes, pools))
-    schema = pa.schema([("word", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("word", pa.binary()), ("context", pa.int32())])
     small_batches(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, spelled = known.value
-        held: Counter = Counter()
-
-        def sent() -> pa.RecordBatch:
-            words, codes = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(codes, pa.int32()), pa.array(held.values(), pa.int64())], schema=schema)
-
+        of, spelled = Numbers(known.value[0]), known.value[1]
         for batch in batches:
+            held: list[bytes] = []
+            found: list[np.ndarray] = []
             for x in batch.column(0).to_pylist():
                 words = fold(x).split()
-                own = [of.get(w, -1) for w in words]
-                rare = [k for k, c in enumerate(own) if c < 0]
-                if not rare:
-                    continue
-                beside = [0, *own, 0]
-                for k in rare:
-                    beside[k + 1] = int(spelled[pool_of(words[k])])
-                for k in rare:
-                    held[words[k], beside[k + 2]] += 1
-                    held[words[k], (512 if k and own[k - 1] < 0 else 256) + beside[k]] += 1
-                if len(held) >= AT_ONCE // 8:
-                    yield sent()
-                    held.clear()
-        if held:
-            yield sent()
+                own = np.zeros(len(words) + 2, np.int64)
+                own[1:-1] = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+                rare = np.flatnonzero(own < 0)
+                if len(rare):
+                    seen = [words[k] for k in (rare - 1).tolist()]
+                    mixed = own[rare - 1] < 0
+                    own[rare] = spelled[np.fromiter(map(pool_of, seen), np.int64, len(seen))]
+                    held += seen
+                    found.append(mixed * MIXED + own[rare - 1] * SIDE + own[rare + 1])
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(np.concatenate(found).astype(np.int32))], schema=schema)
 
-    return train.select("text").mapInArrow(run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(run, "word binary, context int").groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
 def own_classes(found: DataFrame, pools: np.ndarray, between: np.ndarray) -> DataFrame:
-    """word, class, codes, n: the class that each word's contexts favour, with its contexts."""
-    lists = found.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("c"))  # three for each class at most
-    schema = pa.schema([("word", pa.binary()), ("class", pa.int32()), ("codes", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    """word, old (its pool's class), class, contexts, n: the class that each word's contexts favour. Words that stand once are
+    told by their pool's class and one context, so a task works out each such case once."""
+    lists = found.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("c")).select("word", "c.context", "c.n")  # of rare words
+    schema = pa.schema([("word", pa.binary()), ("old", pa.int32()), ("class", pa.int32()), ("contexts", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
     size = len(between)
 
+    def best(unit: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+        sums = lambda side: np.bincount(unit * size + side, n, len(at) * size).reshape(-1, size)
+        return best_classes(between, at, sums(after), sums(before), np.zeros(len(at)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single = np.zeros((size, size, size), np.int32)  # pool's class, before, after -> class; 0: not worked out yet
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            for part in range(0, len(words), PLACED):
-                some = slice(part, part + PLACED)
-                codes, times = batch.column(1)[some].to_pylist(), batch.column(2)[some].to_pylist()
-                sums = np.zeros((len(codes), 3, 256))
-                for k, (c, n) in enumerate(zip(codes, times, strict=True)):
-                    sums.reshape(len(codes), -1)[k, c] = n
-                at = np.array([pools[pool_of(w)] for w in words[some]], np.int64)
-                best = best_classes(between, at, sums[:, 0, :size], sums[:, 1, :size] + sums[:, 2, :size], np.zeros(len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(words[some], pa.binary()), pa.array(best, pa.int32()), pa.array(codes, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))], schema=schema)
-
-    return lists.select("word", "c.code", "c.n").mapInArrow(run, "word binary, class int, codes array<int>, n array<long>")
-
-
-def moved_pairs(rare: DataFrame, pools: np.ndarray, size: int) -> np.ndarray:
+            if not batch.num_rows:
+                continue
+            at = pools[np.fromiter(map(pool_of, batch.column(0).to_pylist()), np.int64, batch.num_rows)]
+            place, times = batch.column(1).flatten().to_numpy() % MIXED, batch.column(2).flatten().to_numpy()
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            before, after, unit = place // SIDE, place % SIDE, np.repeat(np.arange(len(at)), sizes)
+            out = np.zeros(len(at), np.int32)
+            first = np.cumsum(sizes) - sizes
+            once = (sizes == 1) & (times[first] == 1)
+            cell = (at[once], before[first[once]], after[first[once]])
+            new = np.unique(np.stack([x[single[cell] == 0] for x in cell]), axis=1)
+            if new.shape[1]:
+                k = np.arange(new.shape[1])
+                single[tuple(new)] = best(k, new[1], new[2], np.ones(len(k)), new[0])
+            out[once] = single[cell]
+            rest = np.flatnonzero(~once)
+            if len(rest):
+                number = np.full(len(at), -1)
+                number[rest] = np.arange(len(rest))
+                mine = number[unit] >= 0
+                out[rest] = best(number[unit[mine]], before[mine], after[mine], times[mine], at[rest])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32)), pa.array(out), batch.column(1), batch.column(2)], schema=schema)
+
+    return lists.mapInArrow(run, "word binary, old int, class int, contexts array<int>, n array<long>")
+
+
+def moved_pairs(rare: DataFrame, size: int) -> np.ndarray:
     """What the counts of neighbouring classes gain and lose as each rare word leaves its pool's class for its own. A pair of
     two of them moves with the first; the second stands in it with its pool's class."""
-    lists = rare.select(pool().alias("p"), "class", F.explode(F.arrays_zip("codes", "n")).alias("x")).where("x.codes < 512")
+    each = rare.where("old <> class").select("old", "class", F.explode(F.arrays_zip("contexts", "n")).alias("x")).select("old", "class", "x.contexts", "x.n")
+    place = F.col("contexts") % MIXED
+    sides = F.array(F.struct(F.lit(True).alias("ahead"), (place % SIDE).alias("j"), F.lit(True).alias("counts")), F.struct(F.lit(False).alias("ahead"), F.floor(place / SIDE).cast("int").alias("j"), (F.col("contexts") < MIXED).alias("counts")))
+    ends = F.array(F.struct(F.col("old").alias("c"), (-F.col("n")).alias("d")), F.struct(F.col("class").alias("c"), F.col("n").alias("d")))
+    both = each.select(F.explode(sides).alias("s"), ends.alias("e")).where("s.counts").select("s.ahead", "s.j", F.explode("e").alias("e"))
     out = np.zeros((size, size))
-    for r in lists.groupBy("p", "class", "x.codes").agg(F.sum("x.n").alias("n")).collect():  # POOLS * CLASSES * 2 * (CLASSES + 1) at most
-        old, new = pools[r.p], r["class"]
-        if r.codes < 256:
-            out[old, r.codes] -= r.n
-            out[new, r.codes] += r.n
-        else:
-            out[r.codes - 256, old] -= r.n
-            out[r.codes - 256, new] += r.n
+    for r in both.groupBy("ahead", "j", F.col("e.c").alias("c")).agg(F.sum("e.d").alias("d")).collect():  # two for each pair of classes at most
+        out[(r.c, r.j) if r.ahead else (r.j, r.c)] += r.d
     return out
 
 
@@ -423,7 +434,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, int]:
     if v - 1 <= len(top):
         found = found.limit(0)  # the dictionary has all words
     rare = keep(own_classes(found, pools, between), "lm-rare")
-    between = between + moved_pairs(rare, pools, size)
+    between = between + moved_pairs(rare, size)
     beyond = keep(rare.select("word", "class").join(named, "word"), "lm-beyond")
     for r in beyond.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         mass[r["class"]] += r.c
@@ -446,7 +457,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def run(cols: dict) -> dict:
         m = sent.value
         number = Numbers(m.numbers)
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "logs", "steps", "line", "words", "places")}
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "logs", "steps", "line", "which", "words")}
         for x in cols["text"]:
             text = fold(x).split()
             at = np.fromiter(map(number.__getitem__, text), np.int64, len(text))
@@ -454,42 +465,52 @@ def score_texts(docs: DataFrame) -> DataFrame:
             c = np.zeros(len(text) + 2, np.uint8)
             c[1:-1] = ABSENT
             c[1:-1][frequent] = m.classes[at[frequent]]
-            seen: dict[bytes, list[int]] = {}
-            for k in np.flatnonzero(~frequent).tolist():
-                seen.setdefault(text[k], []).append(k)
+            seen: dict[bytes, int] = {}
+            which = [seen.setdefault(text[k], len(seen)) for k in np.flatnonzero(~frequent).tolist()]
             out["n_tokens"].append(len(text) + 1)
             out["n_known"].append(int(frequent.sum()) + m.end[1])
             out["logs"].append(float(m.logs[at[frequent]].sum()) + m.end[0])
             out["steps"].append(None if seen else float(m.cells[c[:-1], c[1:]].sum()))
             out["line"].append(c.tobytes() if seen else None)
+            out["which"].append(np.array(which, "<i4").tobytes())
             out["words"].append(list(seen))
-            out["places"].append(list(seen.values()))
         return {"row": cols["row"], "doc_id": cols["doc_id"], "held_out": [b == 1 for b in cols["bucket"]], **out}
 
-    parts = map_texts(rows.withColumn("row", F.monotonically_increasing_id()), run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double, line binary, words array<binary>, places array<array<int>>")
+    parts = map_texts(rows.withColumn("row", F.monotonically_increasing_id()), run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double, line binary, which binary, words array<binary>")
     parts = keep(parts, "lm-parts")
-    rare = parts.where("line is not null").select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.places").alias("places"))
+    rare = parts.where("line is not null").select("row", F.posexplode("words").alias("at", "word"))
     spelled = F.element_at(F.array(*[F.lit(int(k)) for k in model.pools]), pool() + 1)
-    met = rare.join(beyond, "word", "left").select("row", "places", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", spelled).alias("class"))
-    lists = met.groupBy("row").agg(F.collect_list(F.struct("places", "c", "class")).alias("found"))  # a text's own words
-    fixed = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs"]
-    rest = parts.where("line is not null").select(*fixed, "line").join(lists, "row")
-
-    def finish(cols: dict) -> dict:
-        m = sent.value
-        out: dict[str, list] = {"n_known": [], "logs": [], "steps": []}
-        for known, logs, line, found in zip(cols["n_known"], cols["logs"], cols["line"], cols["found"], strict=True):
-            c = np.frombuffer(line, np.uint8).copy()
-            for w in found:
-                c[1 + np.array(w["places"])] = w["class"]
-                logs += len(w["places"]) * float(np.log10(w["c"] + 0.5))
-                known += len(w["places"]) if w["c"] else 0
-            out["n_known"].append(known)
-            out["logs"].append(logs)
-            out["steps"].append(float(m.cells[c[:-1], c[1:]].sum()))
-        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "n_tokens": cols["n_tokens"], **out}
+    met = rare.join(beyond, "word", "left").select("row", "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", spelled).alias("class"))
+    lists = met.groupBy("row").agg(F.collect_list(F.struct("at", "c", "class")).alias("found"))  # a text's own words
+    rest = parts.where("line is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "line", "which").join(lists, "row")
+    rest = rest.select("doc_id", "held_out", "n_tokens", "n_known", "logs", "line", "which", "found.at", "found.c", "found.class")
+    own_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("steps", pa.float64())])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch at once: its texts' classes end to end, the places without one filled from the joined words."""
+        cells = sent.value.cells
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            lines, whichs = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            c, which = np.frombuffer(b"".join(lines), np.uint8).copy(), np.frombuffer(b"".join(whichs), "<i4").astype(np.int64)
+            starts = np.cumsum([0, *map(len, lines)])
+            of_place = np.repeat(np.arange(rows), [len(w) // 4 for w in whichs])
+            n_words = np.diff(batch.column(7).offsets.to_numpy())
+            base = np.cumsum(n_words) - n_words
+            slot = np.repeat(base, n_words) + batch.column(7).flatten().to_numpy()
+            count, kind = np.zeros(len(slot)), np.zeros(len(slot), np.uint8)
+            count[slot], kind[slot] = batch.column(8).flatten().to_numpy(), batch.column(9).flatten().to_numpy()
+            word = base[of_place] + which
+            c[np.flatnonzero(c == ABSENT)] = kind[word]
+            steps = np.append(cells[c[:-1], c[1:]], 0.0)
+            steps[starts[1:] - 1] = 0  # from one text to the next
+            logs = batch.column(4).to_numpy() + np.bincount(of_place, np.log10(count[word] + 0.5), rows)
+            seen = batch.column(3).to_numpy() + np.bincount(of_place, count[word] > 0, rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seen), pa.array(logs), pa.array(np.add.reduceat(steps, starts[:-1]))], schema=own_schema)
 
     own = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "steps"]
-    whole = parts.where("line is null").select(*own).unionByName(map_texts(rest, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double"))
+    whole = parts.where("line is null").select(*own).unionByName(rest.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double"))
     base = (F.col("logs") - F.col("n_tokens") * F.lit(model.unit)).alias("base_score")
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base, (F.col("logs") + F.col("steps")).alias("score"))
