@@ -1,9 +1,10 @@
 """Labels of a forest, so that questions about ancestors of any depth are interval lookups.
 
-The tour of a tree enters every node, then its children in id order, and leaves it. Places on the tour come from list ranking by
-pointer doubling: each element knows its next one; a round doubles how far it looks, so a chain of a thousand nodes takes eleven
-rounds and no tree has to fit a task. Siblings are linked by a range sort, so the children of one parent may be any number.
-A node is an ancestor of another where its [enter, leave) holds the other's enter.
+The tour of a tree enters every node, then its children in id order, and leaves it. Places on the tour follow from sizes of subtrees:
+a node is entered after its parent and all that lies under the siblings before it. Sizes, and the sums along a node's path from its
+root, come by pointer doubling over parents: a round doubles how far up a node looks, so a chain of a thousand nodes takes ten rounds, trees
+of four levels take two, and no tree has to fit a task. Nodes without children take no part in the rounds. Siblings are summed by a range
+sort, so the children of one parent may be any number. A node is an ancestor of another where its [enter, leave) holds the other's enter.
 """
 
 from __future__ import annotations
@@ -14,43 +15,75 @@ from pyspark.sql import functions as F
 from ..storage import keep
 from . import intervals, scans
 
-#: Elements beyond this many doublings would be more than a long can number.
+#: Up to so many rows (an id, another and a number each) are broadcast after they were counted. Every other join is a shuffle by
+#: hint: Spark would judge tables by their compressed files and send the driver what is many times larger.
+BROADCAST_ROWS = 20_000
+
+
+#: Rounds beyond which a path would have more steps than a long can number.
 MOST_ROUNDS = 64
 
 
+def _side(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _rounds(inner: DataFrame) -> int:
+    """A path without a cycle has fewer steps than there are nodes, and a round doubles the steps."""
+    return min(MOST_ROUNDS, inner.count().bit_length() + 1)
+
+
+def _sizes(inner: DataFrame) -> DataFrame:
+    """inner (id, parent, size: itself and its children without children) with size: all nodes of its subtree."""
+    now, rounds = keep(inner.withColumnRenamed("parent", "up"), "forest-sizes"), _rounds(inner)
+    for _ in range(rounds):  # size: nodes less than 2**k steps below; up: the ancestor 2**k steps above
+        below = keep(now.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more")), "forest-below")
+        n = below.count()
+        if not n:
+            return now.select("id", "size")
+        next_up = keep(now.select("id", F.col("up").alias("next")).join(_side(below.select("id"), n), "id", "left_semi"), "forest-up")
+        far = now.join(_side(below, n), "id", "left").join(_side(next_up.withColumnRenamed("id", "up"), n), "up", "left")
+        now = keep(far.select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "forest-sizes")
+    raise ValueError("parent references form a cycle")
+
+
+def _paths(inner: DataFrame) -> DataFrame:
+    """inner (id, parent, step) with root, depth, and enter: the sum of the steps from the root to the node."""
+    now, rounds = keep(inner.select("id", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), F.col("step").alias("enter"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "forest-paths"), _rounds(inner)
+    for _ in range(rounds):
+        asked = keep(now.where("up is not null").select(F.col("up").alias("id")).distinct(), "forest-asked")
+        n = asked.count()
+        if not n:
+            return now.drop("up")
+        far = keep(now.join(_side(asked, n), "id", "left_semi").select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("root").alias("__root"), F.col("enter").alias("__enter"), F.col("depth").alias("__depth")), "forest-far")
+        met = now.join(_side(far, n), "up", "left")
+        more = lambda c: (F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c)
+        now = keep(met.select("id", F.col("__up").alias("up"), F.coalesce("__root", "root").alias("root"), more("enter"), more("depth")), "forest-paths")
+    raise ValueError("parent references form a cycle")
+
+
 def labels(nodes: DataFrame) -> DataFrame:
     """id, root, enter, leave, depth for every node (id, parent). Ids are unique; a parent that is null or not a node makes a
     root. enter and leave count within a tree, from 0. A parent reference that comes back to its own node is an error."""
-    known = nodes.select("id", "parent")
-    parents = known.select(F.col("id").alias("parent"), F.lit(True).alias("__known"))
-    tied = known.join(parents, "parent", "left").select("id", F.when(F.col("__known"), F.col("parent")).alias("parent"))
-    numbers = keep(scans.numbered(tied, ["parent", "id"], "n"), "forest-numbers")  # siblings are neighbours
-    following = numbers.select((F.col("n") - 1).alias("n"), F.col("n").alias("sibling"), F.col("parent").alias("__parent"))
-    met = numbers.join(following, "n", "left").withColumn("sibling", F.when(F.col("__parent") == F.col("parent"), F.col("sibling"))).drop("__parent")
-    above = numbers.select(F.col("id").alias("parent"), F.col("n").alias("above"))
-    first = numbers.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.min("n").alias("first"))
-    linked = keep(met.join(above, "parent", "left").join(first, "id", "left").select("id", "n", "above", "first", "sibling"), "forest-links")
-    enter, leave = lambda n: F.col(n) * 2, lambda n: F.col(n) * 2 + 1
-    inward = linked.select(enter("n").alias("at"), F.coalesce(enter("first"), leave("n")).alias("next"), F.lit(1).alias("ahead"), F.lit(1).alias("rise"))
-    outward = linked.select(leave("n").alias("at"), F.coalesce(enter("sibling"), leave("above")).alias("next"), F.when(F.coalesce("sibling", "above").isNull(), 0).otherwise(1).alias("ahead"), F.lit(-1).alias("rise"))
-    tour = inward.unionByName(outward).select("at", "next", F.col("ahead").cast("long").alias("ahead"), F.col("rise").cast("long").alias("rise"), F.when(F.col("next").isNull(), F.col("at")).alias("end"))
-    tour = keep(tour, "forest-tour")
-    for _ in range(MOST_ROUNDS):  # ahead: elements from here to next; rise: enters less leaves from here to before next
-        if tour.where("next is not null").isEmpty():
-            break
-        far = tour.select(F.col("at").alias("next"), F.col("next").alias("__next"), F.col("ahead").alias("__ahead"), F.col("rise").alias("__rise"), F.col("end").alias("__end"))
-        doubled = tour.join(far, "next", "left")
-        tour = keep(doubled.select(
-            "at", F.col("__next").alias("next"), (F.col("ahead") + F.coalesce("__ahead", F.lit(0))).alias("ahead"), (F.col("rise") + F.coalesce("__rise", F.lit(0))).alias("rise"), F.coalesce("end", "__end").alias("end"),
-        ), "forest-tour")
-    else:
-        raise ValueError("parent references form a cycle")
-    entered = tour.where("at % 2 = 0").select(F.expr("at div 2").alias("n"), F.col("ahead").alias("__enter"), F.col("rise").alias("__rise"), F.expr("end div 2").alias("__root"))
-    left = tour.where("at % 2 = 1").select(F.expr("at div 2").alias("n"), F.col("ahead").alias("__leave"))
-    roots = linked.where("above is null").select(F.col("n").alias("__root"), F.col("id").alias("root"))
-    heads = entered.select(F.col("n").alias("__root"), F.col("__enter").alias("__whole"))
-    found = linked.select("id", "n").join(entered, "n").join(left, "n").join(roots, "__root").join(heads, "__root")
-    return found.select("id", "root", (F.col("__whole") - F.col("__enter")).alias("enter"), (F.col("__whole") - F.col("__leave")).alias("leave"), (-F.col("__rise")).alias("depth"))
+    known = keep(nodes.select("id", "parent"), "forest-nodes")
+    asked = keep(known.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("children")), "forest-parents")
+    found = keep(known.join(_side(asked, asked.count()), "id", "left_semi").select("id", "parent"), "forest-inner")  # nodes that have children
+    n = found.count()
+    there = found.select(F.col("id").alias("parent"), F.lit(True).alias("__known"))
+    tie = lambda df: df.join(_side(there, n), "parent", "left").select("id", F.when(F.col("__known"), F.col("parent")).alias("parent"))
+    alone = keep(tie(known.join(_side(found.select("id"), n), "id", "left_anti")), "forest-leaves")
+    leaves = alone.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("leaves"))
+    inner = keep(tie(found), "forest-inner")
+    sizes = keep(_sizes(inner.join(_side(leaves, n), "id", "left").select("id", "parent", (F.coalesce("leaves", F.lit(0)) + 1).alias("size"))), "forest-sizes")
+    sized = inner.join(_side(sizes, n), "id").unionByName(alone.withColumn("size", F.lit(1).cast("long")))
+    children = scans.running_sum(sized.where("parent is not null"), ["parent"], ["id"], "size", "through")
+    placed = children.select("id", "parent", "size", ((F.col("through") - F.col("size")) * 2 + 1).alias("step"))  # all under the siblings before it
+    placed = keep(placed.unionByName(sized.where("parent is null").withColumn("step", F.lit(0).cast("long"))), "forest-placed")
+    paths = keep(_paths(placed.join(_side(found.select("id"), n), "id", "left_semi").select("id", "parent", "step")), "forest-paths")
+    above = paths.select(F.col("id").alias("parent"), "root", F.col("enter").alias("__enter"), F.col("depth").alias("__depth"))
+    met = placed.join(_side(above, n), "parent", "left")
+    enter = F.coalesce("__enter", F.lit(0)) + F.col("step")
+    return met.select("id", F.coalesce("root", "id").alias("root"), enter.alias("enter"), (enter + F.col("size") * 2 - 1).alias("leave"), F.coalesce(F.col("__depth") + 1, F.lit(0)).alias("depth"))
 
 
 def enclosing(below: DataFrame, above: DataFrame, self_too: bool = False) -> DataFrame:

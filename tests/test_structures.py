@@ -75,6 +75,16 @@ def test_forest_labels(spark):
     assert got == Counter((n, a, k) for n in parents for k, a in enumerate(chain_of(parents, n), 1))
 
 
+def test_labels_write_little_for_a_flat_forest(spark, monkeypatch):
+    """Nodes without children take no part in the rounds."""
+    rows, whole = [], forest.keep
+    monkeypatch.setattr(forest, "keep", lambda df, name: (kept := whole(df, name), rows.append(kept.count()))[0])
+    nodes = spark.range(3001).select(F.col("id").cast("string"), F.when(F.col("id") > 0, F.expr("(id - 1) div 20").cast("string")).alias("parent"))
+    found = forest.labels(nodes)
+    assert found.where("depth = 3").count() == 3001 - 421 and found.where("id = '0' and enter = 0 and leave = 6001").count() == 1
+    assert sum(rows) < 5 * 3001
+
+
 def test_chain_of_a_thousand(spark):
     nodes = spark.range(1000).select(F.col("id").cast("string"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
     found = forest.labels(nodes).withColumn("k", F.col("id").cast("long"))
