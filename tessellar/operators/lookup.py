@@ -77,6 +77,14 @@ def inspect(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, aro
     return out
 
 
+def holding(nodes: DataFrame, columns: list[str], part: str) -> DataFrame:
+    """Nodes with a column that holds a text in any case of ASCII letters; one scan."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(holds(F.col(c), f"%{like_literal(part)}%"), F.lit(False))
+    return nodes.where(found)
+
+
 def search(nodes: DataFrame, part: str, exact: str, limit: int) -> DataFrame:
     """Nodes whose name, qualified name or path holds a text in any case, those of the exact name first; with their place."""
     like = f"%{like_literal(part)}%"
