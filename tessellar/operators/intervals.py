@@ -1,8 +1,9 @@
 """Interval and as-of joins within a key.
 
-Spans lie in bins of their own size: one of level L (the least with 2**L not below its length) touches two bins of 2**L at most,
-however long it is. What is looked up (a point, or a span no longer than the other) touches two bins a level at most, on the
-levels that exist, 64 at most. So no span is cut into pieces, and rows only meet near each other.
+Spans lie in bins of about their own size: one of level L (2**L is not below its length; levels go up by STEP) touches two bins of
+2**L at most, however long it is. What is looked up (a point, or a span no longer than the other) touches two bins a level at most, on
+the levels that exist, 17 at most. So no span is cut into pieces, and rows only meet near each other. A bin is under 2**STEP times as
+long as its spans; in return points are copied to fewer levels.
 """
 
 from __future__ import annotations
@@ -14,9 +15,14 @@ from pyspark.sql.window import Window
 from . import scans
 
 
+STEP = 4
+MOST_LEVEL = 63
+
+
 def level_of(start: Column, end: Column) -> Column:
-    """The least level whose bins are not shorter than [start, end)."""
-    return F.when(end - start > 1, F.length(F.bin(end - start - 1))).otherwise(0)
+    """The least of the levels 0, STEP, 2 * STEP, ... whose bins are not shorter than [start, end)."""
+    least = F.when(end - start > 1, F.length(F.bin(end - start - 1))).otherwise(0)
+    return F.least(F.ceil(least / STEP) * STEP, F.lit(MOST_LEVEL)).cast("int")
 
 
 def bins(start: Column, end: Column, level: Column) -> Column:
@@ -26,7 +32,7 @@ def bins(start: Column, end: Column, level: Column) -> Column:
 
 
 def levels(spans: DataFrame, start: str = "start", end: str = "end") -> list[int]:
-    """The levels that spans lie on; a span is shorter than 2**63, so there are 64 at most."""
+    """The levels that spans lie on; a span is shorter than 2**63, so there are 17 at most."""
     return sorted(r[0] for r in spans.where(F.col(start) < F.col(end)).select(level_of(F.col(start), F.col(end)).cast("int")).distinct().collect())
 
 

@@ -310,4 +310,10 @@ def test_one_search_builds_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(trigrams, "build", lambda *a: pytest.fail("an index for one search"))
     monkeypatch.setattr(scans, "dealt", lambda *a: pytest.fail("all nodes are sorted for one search"))
-    assert QUERIES["substring_search_page"](spark, TABLES).count() == 40
+    assert QUERIES["search_exact_first"](spark, TABLES).count() > 0
+
+
+def test_spans_of_like_lengths_share_a_level(spark):
+    spans = spark.range(33, 121).select(F.lit(0).alias("start"), F.col("id").alias("end"))
+    assert intervals.levels(spans) == [8]
+    assert intervals.levels(spark.sql("select 0L as start, 9223372036854775807L as end")) == [63]
