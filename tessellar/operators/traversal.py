@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from ..storage import keep
 
+#: A cap on edges that no walk comes to.
+ALL_EDGES = 2**31 - 2
+
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
@@ -54,9 +57,14 @@ class Walk:
     cut: DataFrame
 
 
+def ranked_of_source(edges: DataFrame, n: int) -> DataFrame:
+    """The first n edges of every source in id order, with their __rank; Spark cuts each source on the map side first."""
+    return edges.withColumn("__rank", F.row_number().over(Window.partitionBy("source").orderBy("id"))).where(F.col("__rank") <= n)
+
+
 def first_of_source(edges: DataFrame, n: int) -> DataFrame:
-    """The first n edges of every source in id order; Spark cuts each source on the map side first."""
-    return edges.withColumn("__rank", F.row_number().over(Window.partitionBy("source").orderBy("id"))).where(F.col("__rank") <= n).drop("__rank")
+    """The first n edges of every source in id order."""
+    return ranked_of_source(edges, n).drop("__rank")
 
 
 def capped_walk(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int, max_edges: int, drop_past_nodes: bool = False) -> Walk:
@@ -67,19 +75,20 @@ def capped_walk(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int,
     kept, or with ``drop_past_nodes`` left out. At the last level any further edge only marks the walk as cut.
 
     Of a node at most max_edges + 1 edges are looked at, and a walk never holds more than max_nodes nodes, so that the rows
-    of a seed on a level are bounded; they are ranked in one window by seed.
+    of a seed on a level are bounded; they are ranked in one window by seed. Where every edge counts, the number of edges of
+    the nodes before it tells which edges of a node can still have a place: a seed meets no more than are left, and one.
     """
-    seed = seeds.select(F.col("id").alias("seed")).distinct()
+    seed = keep(seeds.select(F.col("id").alias("seed")).distinct(), "walk-seeds")
     nodes = [seed.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"))]
     kept: list[DataFrame] = []
     cut: list[DataFrame] = []
-    near = keep(first_of_source(edges, max_edges + 1), "walk-edges")
+    near = keep(ranked_of_source(edges, max_edges + 1), "walk-edges")
+    degrees = keep(near.groupBy("source").agg(F.max("__rank").alias("__degree")), "walk-degrees")
     columns = edges.columns
     for level in range(depth + 1):
         front = nodes[-1].select("seed", F.col("id").alias("source"), F.col("place").alias("__at"))
-        met = front.join(near, "source")
         if level == depth:
-            cut.append(met.select("seed"))
+            cut.append(front.join(degrees, "source", "left_semi").select("seed"))
             break
         seen = union_all(nodes).select("seed", F.col("id").alias("target"), F.lit(True).alias("__seen"))
         sums = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("__nodes"))
@@ -87,7 +96,15 @@ def capped_walk(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int,
             sums = sums.join(union_all([k.select("seed") for k in kept]).groupBy("seed").agg(F.count(F.lit(1)).alias("__edges")), "seed", "left")
         else:
             sums = sums.withColumn("__edges", F.lit(0).cast("long"))
-        met = met.join(seen, ["seed", "target"], "left").join(sums, "seed").fillna(0, ["__edges"])
+        sums = sums.fillna(0, ["__edges"])
+        if drop_past_nodes or max_edges >= ALL_EDGES:
+            met = front.join(near, "source").join(sums, "seed")
+        else:
+            ahead = F.sum("__degree").over(Window.partitionBy("seed").orderBy("__at")) - F.col("__degree")
+            room = F.lit(max_edges) - F.col("__edges") - F.col("__ahead")
+            open_ = front.join(degrees, "source").join(sums, "seed").withColumn("__ahead", ahead).withColumn("__room", room).where("__room >= 0")
+            met = open_.drop("__degree", "__ahead").join(near, "source").where("__rank <= __room + 1").drop("__room")
+        met = met.drop("__rank").join(seen, ["seed", "target"], "left")
         order = Window.partitionBy("seed").orderBy("__at", "id")
         same = Window.partitionBy("seed", "target")
         fresh = F.col("target").isNotNull() & F.col("__seen").isNull()
@@ -119,7 +136,7 @@ def trace(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 100,
 def reach_capped(edges: DataFrame, seeds: DataFrame, limit: int = 400, depth: int = 64) -> Walk:
     """Up to ``limit`` other nodes that each seed reaches, in visit order; exact where a seed reaches fewer."""
     one = edges.where("target is not null").groupBy("source", "target").agg(F.min("id").alias("id"))
-    return capped_walk(one, seeds, depth, limit + 1, 2**31 - 2)
+    return capped_walk(one, seeds, depth, limit + 1, ALL_EDGES)
 
 
 def impact(edges: DataFrame, seeds: DataFrame, limit: int = 30) -> tuple[DataFrame, DataFrame]:

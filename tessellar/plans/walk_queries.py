@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, condense, traversal
+from ..storage import keep
 from .registry import query
 from .views import CALLS_SQL, calls
 
@@ -52,7 +53,7 @@ def sources(edges: DataFrame) -> DataFrame:
 SELECT k.seed, k.place, k.depth, k.source, k.target, c.seed IS NOT NULL AS truncated FROM kept_ k LEFT JOIN cut_ c ON k.seed = c.seed""")
 def trace_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call neighbourhood of every user: two levels, 20 nodes and 100 edges."""
-    edges = calls(spark, sf_dir)
+    edges = keep(calls(spark, sf_dir), "calls")
     found = traversal.trace(edges, sources(edges), 2, 20)
     return found.edges.select("seed", "place", "depth", "source", "target").join(found.cut.withColumn("cut", F.lit(True)), "seed", "left").select(
         "seed", "place", "depth", "source", "target", F.coalesce("cut", F.lit(False)).alias("truncated")
@@ -77,7 +78,7 @@ SELECT seed, any_value(n.nodes) AS nodes, count(*) AS edges, count(*) FILTER (ta
 FROM met LEFT JOIN (SELECT DISTINCT seed FROM cut_) c USING (seed) JOIN (SELECT seed, count(*) AS nodes FROM nodes_ GROUP BY seed) n USING (seed) GROUP BY seed""")
 def scenario_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's scenario in one walk: depth 3, 60 nodes, 120 edges, with its unknown breakpoints and external boundaries."""
-    edges = calls(spark, sf_dir)
+    edges = keep(calls(spark, sf_dir), "calls")
     found = traversal.capped_walk(edges, sources(edges), 3, 60, 120)
     steps = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string")), ",")  # at most 120 edges
     out = found.edges.groupBy("seed").agg(
@@ -94,7 +95,7 @@ reached AS (SELECT DISTINCT seed, id // 10 AS component FROM nodes_ WHERE id <>
 SELECT component, count(*) AS tests, CAST(sum(u.unknown) AS BIGINT) AS unknown FROM reached JOIN (SELECT seed, count(*) FILTER (target IS NULL) AS unknown FROM kept_ GROUP BY seed) u USING (seed) GROUP BY component""")
 def test_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components by the tests (users before an error) whose walk reaches them, and the unknown calls of those walks."""
-    edges = calls(spark, sf_dir)
+    edges = keep(calls(spark, sf_dir), "calls")
     found = traversal.capped_walk(edges, sources(edges.where("kind = 'error'")), 3, 60, 120)
     reached = found.nodes.where("id <> seed").select("seed", F.expr("id div 10").alias("component")).distinct()
     unknown = found.edges.groupBy("seed").agg(F.count_if(F.col("target").isNull()).alias("unknown"))

@@ -73,6 +73,16 @@ def test_capped_walk(spark, edges, depth, max_nodes, max_edges, drop):
         assert (nodes["x0"], kept["x0"]) == (["x0", "x1"], ["g001", "g002"]) and "x0" not in cut
 
 
+def test_capped_walk_meets_no_more_edges_than_are_left(spark, edges, monkeypatch):
+    """A level of a walk meets the edges that can still have a place and one more, not all edges of its nodes."""
+    met, keep = [], traversal.keep
+    monkeypatch.setattr(traversal, "keep", lambda df, name: met.append((name, keep(df, name))) or met[-1][1])
+    df, rows = edges
+    traversal.capped_walk(df, spark.createDataFrame([(f"n{k}",) for k in range(24)], "id string"), 3, 60, 7)
+    levels = [kept.groupBy("seed").count().agg({"count": "max"}).first()[0] for name, kept in met if name == "walk-level"]
+    assert levels and max(n or 0 for n in levels) <= 8
+
+
 def test_trace_keeps_room_after_the_node_cap(spark):
     """Edges dropped at the node cap leave room for later edges between known nodes."""
     rows = [(f"a{k:02d}", "n0", f"n{k}") for k in (1, 2)] + [(f"b{k:02d}", "n1", f"m{k}") for k in range(16)] + [("c00", "n2", "n1")]
