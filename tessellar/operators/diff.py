@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a task of a comparison groups, about; the groups of so many take some 100 MB.
+TASK_ROWS = 500_000
+
+
+def tagged(before: DataFrame, after: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """columns of both sides with sign (1 before, -1 after), dealt by key to tasks of about TASK_ROWS rows, counted first. All
+    grouping by key and more then goes on inside these tasks; copies are counted as they come, so a hot key takes time but
+    no memory."""
+    both = before.select(*columns, F.lit(1).alias("sign")).unionByName(after.select(*columns, F.lit(-1).alias("sign")))
+    least = both.sparkSession.sparkContext.defaultParallelism
+    return both.repartition(max(least, -(-both.count() // TASK_ROWS)), *key)
+
+
 def multiset_diff(before: DataFrame, after: DataFrame, key: str, value: list[str]) -> DataFrame:
     """key, state, rows. Equal values cancel one for one; a key with exactly one row left on both sides is modified,
     whatever else is left is removed and added. Copies are counted, not numbered, so a hot key is one row a value."""
-    count = lambda df, n: df.groupBy(key, *value).agg(F.count(F.lit(1)).alias(n))
-    old, new = count(before, "old"), count(after, "new")
-    met = old.unionByName(new, allowMissingColumns=True).groupBy(key, *value)
-    left = met.agg((F.coalesce(F.sum("old"), F.lit(0)) - F.coalesce(F.sum("new"), F.lit(0))).alias("d"))
+    left = tagged(before, after, [key], [key, *value]).groupBy(key, *value).agg(F.sum("sign").alias("d"))
     sums = left.groupBy(key).agg(F.sum(F.greatest("d", F.lit(0))).alias("removed"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("added"))
     one = (F.col("removed") == 1) & (F.col("added") == 1)
     states = F.when(one, F.array(F.struct(F.lit("modified").alias("state"), F.lit(1).cast("long").alias("rows")))).otherwise(
@@ -24,10 +34,8 @@ def multiset_diff(before: DataFrame, after: DataFrame, key: str, value: list[str
 def by_key(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """key, state: added, removed or modified as the values of a key differ as multisets. Copies are counted by value, so no
     list of a key's values is gathered."""
-    tagged = lambda df, old: df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")).withColumn("old", F.lit(old))
-    signed = F.when(F.col("old"), F.col("n")).otherwise(-F.col("n"))
-    met = tagged(before, True).unionByName(tagged(after, False)).groupBy(key, value)
-    met = met.agg(F.sum(signed).alias("d"), F.bool_or("old").alias("was"), F.bool_or(~F.col("old")).alias("now"))
+    sides = [F.sum("sign").alias("d"), F.bool_or(F.col("sign") > 0).alias("was"), F.bool_or(F.col("sign") < 0).alias("now")]
+    met = tagged(before, after, [key], [key, value]).groupBy(key, value).agg(*sides)
     sums = met.groupBy(key).agg(F.bool_or(F.col("d") != 0).alias("differs"), F.bool_or("was").alias("was"), F.bool_or("now").alias("now"))
     state = F.when(~F.col("was"), "added").when(~F.col("now"), "removed").when(F.col("differs"), "modified")
     return sums.select(key, state.alias("state")).where("state is not null")
@@ -35,8 +43,8 @@ def by_key(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFra
 
 def one_sided(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct rows of one side only, with state added or removed."""
-    old, new = before.select(*columns).distinct(), after.select(*columns).distinct()
-    return new.exceptAll(old).withColumn("state", F.lit("added")).unionByName(old.exceptAll(new).withColumn("state", F.lit("removed")))
+    met = tagged(before, after, columns, columns).groupBy(*columns).agg(F.max("sign").alias("most"), F.min("sign").alias("least"))
+    return met.where("most = least").select(*columns, F.when(F.col("most") > 0, "removed").otherwise("added").alias("state"))
 
 
 def priority(state: Column, signature_changed: Column, public: Column) -> Column:

@@ -76,6 +76,14 @@ def test_multiset_diff(spark):
     assert {tuple(r) for r in diff.by_key(before.where("key is not null"), after, "key", "v").collect()} == {("a", "modified"), ("b", "modified"), ("c", "removed"), ("d", "added")}
 
 
+def test_comparisons_deal_rows_to_tasks_by_their_number(spark, monkeypatch):
+    """However few partitions a shuffle has, no task of a comparison groups more than about TASK_ROWS rows."""
+    monkeypatch.setattr(diff, "TASK_ROWS", 25, raising=False)
+    rows = spark.range(300).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("v"))
+    for df in (diff.multiset_diff(rows, rows.where("v > 0"), "key", ["v"]), diff.by_key(rows, rows.where("v > 0"), "key", "v"), diff.one_sided(rows, rows.where("v > 0"), ["key", "v"])):
+        assert df.rdd.getNumPartitions() == 20 and df.count() == 100
+
+
 def test_rules_and_owners(spark):
     paths = spark.createDataFrame([("a/b/c",), ("a/x",), ("z",)], "path string")
     prefixes = spark.createDataFrame([("a",), ("a/b",), ("",)], "prefix string")
