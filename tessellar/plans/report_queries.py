@@ -77,10 +77,11 @@ SELECT ordinal, kind, supplier, n, CAST(row_number() OVER (ORDER BY ordinal, sup
 def checklist_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of several sources in the order of the sources, a hundred in all."""
     before, after = snapshots(spark, sf_dir)
-    sided = diff.one_sided(before, after, ["supplier", "part"])
-    count = lambda df, k, kind: df.groupBy("supplier").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("ordinal"), F.lit(kind).alias("kind"), "supplier", "n")
-    items = count(sided.where("state = 'removed'"), 0, "interface").unionByName(count(sided.where("state = 'added'"), 1, "boundary"))
-    items = items.unionByName(count(before.select("supplier", "part").distinct(), 2, "artifact"))
+    met = diff.tagged(before, after, ["supplier", "part"], ["supplier", "part"]).groupBy("supplier", "part").agg(F.max("sign").alias("most"), F.min("sign").alias("least"))
+    kinds = (("interface", F.col("least") == 1), ("boundary", F.col("most") == -1), ("artifact", F.col("most") == 1))
+    sums = met.groupBy("supplier").agg(*[F.count_if(held).alias(kind) for kind, held in kinds])
+    item = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(kind).alias("kind"), F.col(kind).alias("n")) for k, (kind, _) in enumerate(kinds)])
+    items = sums.select("supplier", F.explode(item).alias("i")).select("i.ordinal", "i.kind", "supplier", "i.n").where("n > 0")
     return aggregates.top(items, [F.asc("ordinal"), F.asc("supplier")], 100)
 
 
