@@ -32,10 +32,11 @@ def folded(stored: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def relation_change(before_edges: DataFrame, after_edges: DataFrame, before_nodes: DataFrame, after_nodes: DataFrame) -> DataFrame:
-    """source_package, target_package, kind, sign: what a snapshot diff does to the relations between packages. edges: id,
-    source, target, kind; nodes: id, package. An edge counts where both ends are known and in different packages."""
+    """source_package, target_package, kind, sign: what a snapshot diff does to the relations between packages. edges: id
+    (where source, target and kind do not tell them apart), source, target, kind; nodes: id, package. An edge counts where
+    both ends are known and in different packages."""
     moved = signed(before_nodes.select("id", "package"), after_nodes.select("id", "package")).select("id").distinct()
-    edge = ["id", "source", "target", "kind"]
+    edge = [c for c in ("id", "source", "target", "kind") if c in before_edges.columns]
     changed = signed(before_edges.select(*edge), after_edges.select(*edge))
     ends = lambda nodes, side: nodes.select(F.col("id").alias(side), F.col("package").alias(f"{side}_package"))
 

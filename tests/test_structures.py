@@ -317,3 +317,11 @@ def test_spans_of_like_lengths_share_a_level(spark):
     spans = spark.range(33, 121).select(F.lit(0).alias("start"), F.col("id").alias("end"))
     assert intervals.levels(spans) == [8]
     assert intervals.levels(spark.sql("select 0L as start, 9223372036854775807L as end")) == [63]
+
+
+def test_relation_change_of_edges_that_their_ends_tell_apart(spark):
+    """Number keys and no id: an edge that goes is counted out, one that stays is not counted."""
+    nodes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id long, package string")
+    edges = spark.createDataFrame([(0, 1, "k"), (0, 2, "k")], "source long, target long, kind string")
+    found = deltas.relation_change(edges, edges.where("target = 1"), nodes, nodes)
+    assert [tuple(r) for r in found.collect()] == [("a", "c", "k", -1)]
