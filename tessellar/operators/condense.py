@@ -1,15 +1,14 @@
-"""Strongly connected components, and bounded reach over what they condense to.
+"""Strongly connected components, and bounded reach of every node.
 
 Components come from colouring: the least id is passed along edges until nothing changes; the node that has its own id as
 colour is a root, and what leads back to it within its colour is its component. Edges between colours lie in no component
 and are dropped, and so are those at ends of the graph, so every round works on less. A round of passing is one join and one minimum by node, combined on the map
 side; rounds grow with the longest path.
 
-Reach is worked out once for each component, from the ends of the condensed graph upwards: a component's set is its own nodes
-and the sets of those it leads to. A set beyond the limit is only marked as full, and so is all that leads to it; a
-component with more than limit successors is full at once. So a set has at most limit + 1 members, a merge takes
-at most limit + 1 sets, and no table pairs seeds with what they reach. Sets are sorted arrays: at limits of some hundreds they
-are smaller than bitmaps of the blocks that scattered ids touch.
+Reach is worked out by balls around every node whose radius doubles, until a ball holds all that its node reaches or more than a
+limit. A ball beyond the limit is not kept, and marks all that lead to it, so a set has at most limit members and rounds grow as
+the logarithm of the limit, not with the longest path. Sets are arrays: at limits of some hundreds they are smaller than bitmaps
+of the blocks that scattered ids touch.
 """
 
 from __future__ import annotations
@@ -70,38 +69,67 @@ def components(pairs: DataFrame) -> DataFrame:
     return everyone.join(union_all(found), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def balls(edges: DataFrame, limit: int) -> DataFrame:
+    """id, near, front, full of every node of the edges between different nodes. near: all nodes within less than some number
+    of steps, itself included; front: those at just so many. The number doubles every round while both together hold ``limit``
+    nodes at most; a node that has more (or leads to one that has) is full and keeps its last ball, one of ``limit`` successors
+    or more keeps itself alone. Who is not full has an empty front: near is all that it reaches.
+
+    A node at most twice as far off is near a node of the front, so a round joins the fronts alone. Each step of a walk finds
+    a new node or ends, so that a node is full or at its end after log2(limit) + 1 rounds, however long the paths are."""
+    pairs = keep(pairs_of(edges), "reach-pairs")
+    everyone = pairs.select(F.col("source").alias("id")).union(pairs.select("target")).distinct()
+    degrees = keep(pairs.groupBy("source").agg(F.count(F.lit(1)).alias("degree")), "reach-degrees")
+    narrow = degrees.where(F.col("degree") < limit).select("source")
+    own = pairs.join(narrow, "source", "left_semi").groupBy(F.col("source").alias("id")).agg(F.collect_list("target").alias("front"))  # limit - 1 at most
+    wide = degrees.where(F.col("degree") >= limit).select(F.col("source").alias("id"), F.lit(True).alias("full"))
+    none = F.array().cast(own.schema["front"].dataType)
+    state = everyone.join(own, "id", "left").join(wide, "id", "left")
+    state = keep(state.select("id", F.array("id").alias("near"), F.coalesce("front", none).alias("front"), F.coalesce("full", F.lit(False)).alias("full")), "reach-state")
+    while True:
+        asked = state.where("not full and size(front) > 0").select("id", F.explode("front").alias("at"))
+        if asked.isEmpty():
+            return state
+        far = state.select(F.col("id").alias("at"), F.when(~F.col("full"), F.col("near")).alias("__near"), F.when(~F.col("full"), F.col("front")).alias("__front"), F.col("full").alias("__full"))
+        told = asked.join(far, "at").groupBy("id").agg(F.flatten(F.collect_list("__near")).alias("__near"), F.flatten(F.collect_list("__front")).alias("__front"), F.bool_or("__full").alias("__full"))
+        met = state.join(told, "id", "left").withColumn("__near", F.when(~F.col("__full"), F.array_distinct(F.concat("near", "front", "__near"))))
+        met = met.withColumn("__front", F.array_except("__front", "__near"))  # distinct
+        grown = F.col("__near").isNotNull() & (F.size("__near") + F.size("__front") <= limit)
+        full = F.col("full") | (F.col("__full").isNotNull() & ~grown)
+        state = keep(met.select("id", F.when(grown, F.col("__near")).otherwise(F.col("near")).alias("near"), F.when(grown, F.col("__front")).otherwise(F.col("front")).alias("front"), full.alias("full")), "reach-state")
+
+
 def bounded_reach(edges: DataFrame, limit: int) -> DataFrame:
     """id, reach, members: of every node the number of other nodes that it reaches, limit at most; and below the limit the
-    sorted ids of its component and of all that it reaches (null at the limit)."""
-    pairs = keep(pairs_of(edges), "reach-pairs")
-    component = keep(components(pairs), "reach-components")
-    of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"__{side}"))
-    leads = pairs.join(of("source"), "source").join(of("target"), "target").where("__source <> __target")
-    leads = keep(leads.select(F.col("__source").alias("source"), F.col("__target").alias("target")).distinct(), "reach-edges")
-    sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    degrees = leads.groupBy(F.col("source").alias("component")).agg(F.count(F.lit(1)).alias("degree"))
-    sized = sizes.join(degrees, "component", "left").select("component", "size", F.coalesce("degree", F.lit(0)).alias("degree"))
-    small = component.join(sized.where(F.col("size") <= limit).select("component"), "component", "left_semi")
-    own = small.groupBy("component").agg(F.collect_list("id").alias("members"))  # limit ids at most
-    full = (F.col("size") > limit) | (F.col("degree") >= limit)
-    state = sized.join(own, "component", "left").select("component", F.col("degree").alias("open"), F.when(~full, F.col("members")).alias("members"), full.alias("full"))
-    state = keep(state.withColumn("done", F.col("full") | (F.col("open") == 0)), "reach-state")
-    # from the ends upwards: a component is done when all that it leads to is, or as soon as it is full
-    done: list[DataFrame] = []
+    sorted ids of all that it reaches and its own (null at the limit)."""
+    return reach_of(balls(edges, limit), limit)
+
+
+def reach_of(found: DataFrame, limit: int) -> DataFrame:
+    """What ``bounded_reach`` returns, from its balls."""
+    members = F.when(~F.col("full"), F.col("near"))
+    return found.select("id", F.coalesce(F.when(~F.col("full"), F.size("near") - 1), F.lit(limit)).cast("long").alias("reach"), F.sort_array(members).alias("members"))
+
+
+def whole_reach(edges: DataFrame, found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, id: all that the seeds (id) reach, themselves included. A round jumps to the fronts of balls (``balls`` of the
+    same edges), and along the edges of nodes that have too many successors for a ball."""
+    pairs = pairs_of(edges)
+    alone = F.col("full") & (F.size("front") == 0)
+    wide = found.where(alone).select(F.col("id").alias("source"))
+    wide = keep(pairs.join(wide, "source", "left_semi").select(F.col("source").alias("at"), "target"), "reach-wide")
+    open_ = keep(seeds.select(F.col("id").alias("seed"), "id").distinct(), "reach-open")
+    opened, met = [open_], [open_]
     while True:
-        now = state.where("done")
-        if now.isEmpty():
-            break
-        done.append(now.select("component", "members"))
-        told = leads.join(now.select(F.col("component").alias("target"), "members", "full"), "target").groupBy(F.col("source").alias("component"))
-        told = told.agg(F.count(F.lit(1)).alias("__n"), F.bool_or("full").alias("__full"), F.flatten(F.collect_list("members")).alias("__far"))
-        met = state.where("not done").join(told, "component", "left").withColumn("members", F.when(F.col("__far").isNull(), F.col("members")).otherwise(F.array_union("members", "__far")))
-        met = met.withColumn("full", F.coalesce("__full", F.lit(False)) | (F.size("members") > limit)).withColumn("open", F.col("open") - F.coalesce("__n", F.lit(0)))
-        met = met.select("component", "open", F.when(~F.col("full"), F.col("members")).alias("members"), "full")
-        state = keep(met.withColumn("done", F.col("full") | (F.col("open") == 0)), "reach-state")
-    sets = union_all(done) if done else state.select("component", "members")
-    met = component.join(sets, "component", "left")
-    return met.select("id", F.coalesce(F.when(F.col("members").isNotNull(), F.size("members") - 1), F.lit(limit)).cast("long").alias("reach"), F.sort_array("members").alias("members"))
+        ball = open_.withColumnRenamed("id", "at").join(found.select(F.col("id").alias("at"), "near", "front", "full"), "at").where(~alone)
+        ball = keep(ball.select("seed", "near", "front"), "reach-balls")
+        step = open_.withColumnRenamed("id", "at").join(wide, "at").select("seed", F.col("target").alias("id"))
+        met.append(ball.select("seed", F.explode(F.concat("near", "front")).alias("id")).unionByName(step))
+        ends = ball.select("seed", F.explode("front").alias("id")).unionByName(step).distinct()
+        open_ = keep(ends.join(union_all(opened), ["seed", "id"], "left_anti"), "reach-open")
+        if open_.isEmpty():
+            return union_all(met).distinct()
+        opened.append(open_)
 
 
 def near_reach(edges: DataFrame, limit: int, depth: int) -> DataFrame:

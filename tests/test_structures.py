@@ -144,6 +144,27 @@ def test_condensed_reach(spark):
     assert condense.bounded_reach(edges.limit(0), 400).collect() == []
 
 
+def test_reach_takes_few_rounds_on_long_paths(spark, monkeypatch):
+    """A path of 700, then a crowd with a way back to its end; rounds grow as the logarithm of the limit."""
+    rows = [(k, k + 1) for k in range(700)] + [(700, 1000 + k) for k in range(50)] + [(1000 + k, 2000 + (7 * k + j) % 90) for k in range(50) for j in range(9)] + [(2000, 650)]
+    pairs = defaultdict(list)
+    for s, t in rows:
+        pairs[s].append(t)
+    rounds = []
+    monkeypatch.setattr(condense, "keep", lambda df, name, real=condense.keep: rounds.append(name) or real(df, name))
+    edges = spark.createDataFrame(rows, "source long, target long").repartition(3)
+    balls = condense.balls(edges, 100)
+    assert rounds.count("reach-state") <= 9
+    for r in condense.reach_of(balls, 100).collect():
+        want = reached(pairs, r.id)
+        assert r.reach == min(len(want), 100) and (r.members is None if len(want) >= 100 else set(r.members) == want | {r.id})
+    rounds.clear()
+    got = condense.whole_reach(edges, balls, spark.createDataFrame([(0,), (640,), (2001,)], "id long")).collect()
+    assert rounds.count("reach-open") <= 30 and len(got) == len(set(got))
+    for seed in (0, 640, 2001):
+        assert {r.id for r in got if r.seed == seed} == reached(pairs, seed) | {seed}
+
+
 def plain_binding(scope, name, up, kinds, redirects, bindings, hops):
     at, caller = scope, scope
     for k in range(hops):
