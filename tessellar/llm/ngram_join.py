@@ -49,6 +49,8 @@ PERCENT = 80
 FREQUENT = 32
 #: Documents and tokens (8 bytes each) in a block of a long list, on average.
 BLOCK, BLOCK_TOKENS = 1500, 2_000_000
+#: A token with more than HOT rows in a share of 1 / SHARE of the documents is counted by partial sums.
+HOT, SHARE = 32, 64
 #: Up to so many wanted rows (at most 24 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 600_000
 
@@ -146,6 +148,22 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def token_lists(index: DataFrame) -> DataFrame:
+    """index (v, token, any more) with df, the number of rows of the token, where that is more than one. Rows are shuffled once, by
+    token, and counted where they come to lie. Tokens with more than HOT rows among the v of one hash in SHARE would fill a
+    task: they are few, are counted by partial sums, and their rows stay where they are. The share only picks the way; every
+    row is counted exactly on either."""
+    some = index.where(F.pmod(F.xxhash64("v"), F.lit(SHARE)) == 0).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    hot = keep(some.where(F.col("n") > HOT).select("token"), "jaccard-hot")
+    n = hot.count()
+    cold = index.join(broadcast_if(hot, n, BROADCAST_ROWS), "token", "left_anti")
+    cold = cold.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    if not n:
+        return cold
+    counts = index.join(broadcast_if(hot, n, BROADCAST_ROWS), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return cold.unionByName(index.join(broadcast_if(counts, n, BROADCAST_ROWS), "token"))
+
+
 def dense_lists(tokens: DataFrame) -> DataFrame:
     """tokens: v, n, token of all dense documents. Lists (token, v): rare single tokens, and combinations of frequent
     ones within hash groups, of prefixes in rare-first order."""
@@ -227,8 +245,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = keep(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("v")), "jaccard-classes")
     reps = among(rows.where("n > 0").withColumnRenamed("row", "v"), classes.select("v"), "v")
     index = reps.select("v", F.posexplode("shown").alias("pos", "token"))
-    counts = keep(index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-tokens")
-    lists = keep(index.join(broadcast_if(counts, counts.count(), BROADCAST_ROWS), "token"), "jaccard-lists")
+    lists = keep(token_lists(index), "jaccard-lists")
     small = reps.select("v", "doc_id", "mark", "n", F.size("shown").alias("m"), F.expr(f"int(n - ceil({PERCENT} * n / 100) + 1)").alias("need"))
     late = lists.where(F.col("df") > FREQUENT).groupBy("v").agg(F.sort_array(F.collect_list("pos")).alias("late"))
     cut = F.expr("aggregate(late, need - 1, (q, p) -> if(p <= q, q + 1, q))")  # place of the last token needed
@@ -239,7 +256,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     plain = keep(plain, "jaccard-plain")
     dense_sets = keep(sets_of(docs, touched.where("dense").withColumnRenamed("v", "row")).dropDuplicates(["v"]), "jaccard-dense-sets")
     tokens = dense_sets.where("n > 1").select("v", "n", F.explode("tokens").alias("token"))
-    common = counts.where(F.col("df") > FREQUENT).select("token")
+    common = lists.where(F.col("df") > FREQUENT).select("token").distinct()
     first = F.row_number().over(Window.partitionBy("v").orderBy("token"))
     open_tokens = tokens.join(common, "token", "left_anti").withColumn("place", first).where(F.expr(f"place <= n - ceil({PERCENT} * n / 100) + 1"))
     other = plain.withColumnRenamed("v", "b")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import pytest
@@ -280,3 +280,17 @@ def test_empty(spark, call):
 
 def test_whole_table_is_read(spark):
     assert queries.QUERIES["op10_exact_index"](spark, TABLES).count() == documents(spark, TABLES).count()
+
+
+@pytest.mark.parametrize("hot", [32, 0])
+def test_token_lists_shuffle_rows_once(spark, monkeypatch, hot):
+    """One token of every document, passages of a few, and tokens of one; counted the same way whatever is hot."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rows = [(v, pos, token) for v in range(3000) for pos, token in enumerate([-1, v // 3, 10_000 + v])]
+    index = spark.createDataFrame(rows, "v long, pos int, token long").repartition(5)
+    lists = ngram_join.token_lists(index)
+    df = Counter(r[2] for r in rows)
+    assert Counter(map(tuple, lists.select("v", "pos", "token", "df").collect())) == Counter((v, p, t, df[t]) for v, p, t in rows if df[t] > 1)
+    moved = [x for x in lists._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert not any("SortMergeJoin" in x for x in moved)
+    assert ngram_join.token_lists(index.limit(0)).collect() == []
