@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.predicates import glob_pattern
+from ..storage import keep
+from . import scans
+
+#: Paths and prefixes of a task that looks for owners, about.
+TASK_ROWS = 500_000
 
 # How the target of a relation was established where it counts as known.
 KNOWN_RESOLUTIONS = ["resolved", "semantic", "static", "interface", "virtual"]
@@ -35,13 +43,37 @@ def first_findings(found: DataFrame, n: int) -> DataFrame:
 
 
 def owners(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """path, prefix: the longest prefix that is the path or a folder above it. Every path is expanded to its own few
-    ancestors and joined by equality."""
+    """path, prefix: the longest prefix that is the path or a folder above it, once for each path that has one. Paths and
+    prefixes are dealt to counted ranges in the order in which a walk of the tree meets them, so that a folder above everything
+    is no hot key. A range keeps the prefixes above its row on a stack, and begins with those above its first row."""
+    side = lambda df, name, asked: df.select(F.col(name).alias("path"), F.lit(asked).alias("asked")).where("path is not null")
+    both = side(paths, "path", True).unionByName(side(prefixes, "prefix", False))
+    rows = keep(both.groupBy("path").agg(F.bool_or("asked").alias("asked"), F.bool_or(~F.col("asked")).alias("owns")), "owners")
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    walk = F.col("path")  # the sign below all others parts folders, so that what is under a path follows it at once
+    for sign, instead in (("\x01", "\x01\x02"), ("\x00", "\x01\x01"), ("/", "\x00")):
+        walk = F.replace(walk, F.lit(sign), F.lit(instead))
+    laid = scans.dealt(rows.withColumn("walk", walk), [], ["walk"], ranges)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    own = paths.select("path", F.explode(F.concat(F.array(F.lit("")), above)).alias("prefix"))
-    met = own.join(prefixes.select("prefix"), "prefix")
-    return met.groupBy("path").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    first = laid.groupBy(scans.RANGE).agg(F.min_by("path", "walk").alias("path")).select(scans.RANGE, F.explode(F.concat(F.array(F.lit("")), above)).alias("path"))
+    begun = laid.where("owns").drop(scans.RANGE).join(F.broadcast(first), "path").withColumn("asked", F.lit(False))  # a path's own few folders for each range
+    each = laid.unionByName(begun).repartitionById(ranges, scans.RANGE).sortWithinPartitions("walk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []  # prefixes above the row, and what paths below them begin with
+        for batch in batches:
+            found: list[tuple[str, str]] = []
+            for path, asked, owns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                while held and held[-1][0] != path and not path.startswith(held[-1][1]):
+                    held.pop()
+                if owns and not (held and held[-1][0] == path):
+                    held.append((path, path and path + "/"))
+                if asked and held:
+                    found.append((path, held[-1][0]))
+            yield pa.record_batch({"path": pa.array([f[0] for f in found], pa.string()), "prefix": pa.array([f[1] for f in found], pa.string())})
+
+    return each.select("path", "asked", "owns").mapInArrow(run, "path string, prefix string")
 
 
 def members(paths: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:

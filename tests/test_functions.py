@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 
 import pytest
@@ -84,6 +85,26 @@ def test_comparisons_deal_rows_to_tasks_by_their_number(spark, monkeypatch):
         assert df.rdd.getNumPartitions() == 20 and df.count() == 100
 
 
+def test_owners_deal_paths_to_ranges(spark, monkeypatch):
+    """However many paths a folder holds, no task gets more than a range of them; prefixes above a range reach it."""
+    monkeypatch.setattr(rules, "TASK_ROWS", 40, raising=False)
+    rng = random.Random(5)
+    odd = ["a", "a-b", "a b", "a\x00b", "a\x01", "\x01\x02", "b", "é", "", "a.b", "日"]
+    asked = ["/".join(rng.choice(odd) for _ in range(rng.randint(1, 6))) for _ in range(600)] + [f"hot/{i}" for i in range(400)] + ["", "/", None]
+    owning = [*rng.sample(asked[:600], 60), "hot", "hot/17", "", "a", "a", "/", None, "no/such"]
+    for some in (owning, [p for p in owning if p]):
+        out = rules.owners(spark.createDataFrame([(p,) for p in asked], "path string"), spark.createDataFrame([(p,) for p in some], "prefix string"))
+        want = set()
+        for path in {p for p in asked if p is not None}:
+            parts = path.split("/")
+            above = {"", *("/".join(parts[:i]) for i in range(1, len(parts) + 1))} & set(some)
+            want |= {(path, max(above, key=len))} if above else set()
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(held) <= 120 and len(held) > 8
+
+
 def test_rules_and_owners(spark):
     paths = spark.createDataFrame([("a/b/c",), ("a/x",), ("z",)], "path string")
     prefixes = spark.createDataFrame([("a",), ("a/b",), ("",)], "prefix string")
